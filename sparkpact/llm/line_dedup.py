@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import durable, map_texts, texts_of, utf8
 from .perfect_hash import PerfectHash
@@ -116,20 +117,22 @@ def _clean(text: bytes, drop: set[int]) -> bytes:
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 65_536, broadcast_bytes: int = 64 << 20, salts: int = 16) -> DataFrame:
-    """(id, text, n_lines, n_dropped): one row per input row, with the cleaned text."""
-    spark, docs = df.sparkSession, texts_of(df, id_col, text_col)
+    """(id, text, n_lines, n_dropped, row): one row per input row, with the cleaned text. row holds df's other columns."""
+    spark = df.sparkSession
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*others).alias("row"))
     repeated = durable(repeated_lines(df, id_col, text_col, min_chars))
     n = repeated.count()
     shards = max(1, -(-n // shard_keys))
     index = build_index(repeated, shards)
-    schema = f"`{id_col}` long, `{text_col}` string, n_lines long, n_dropped long"
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), docs.schema["row"]])
     if n * 24 > broadcast_bytes:
-        return _routed(docs, index, shards, min_chars, salts, id_col, text_col)
+        return _routed(docs, index, shards, min_chars, salts, schema).withColumnsRenamed({"id": id_col, "text": text_col})
     # at most broadcast_bytes, as just checked
     tables = spark.sparkContext.broadcast([(r["shard"], r["hash"], r["prints"], r["firsts"]) for r in index.drop("counts").collect()])
     opened: dict[int, Shard] = {}
 
-    def each(ids: pa.Array, texts: list[bytes]) -> dict:
+    def each(ids: pa.Array, texts: list[bytes]) -> list:
         if not opened:
             opened.update({s: Shard(*arrays) for s, *arrays in tables.value})
         out, lines_of, dropped, ids = [], [], [], ids.to_pylist()
@@ -158,17 +161,22 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         for d, text in enumerate(texts):
             out.append(_clean(text, drop.get(d, ())))
             dropped.append(len(drop.get(d, ())))
-        return {id_col: pa.array(ids, pa.int64()), text_col: pa.array(out, pa.binary()).cast(pa.string()), "n_lines": pa.array(lines_of, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
+        return [pa.array(ids, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines_of, pa.int64()), pa.array(dropped, pa.int64())]
 
-    return map_texts(docs, schema, each)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*each(batch.column("id"), utf8(batch.column("text"))), batch.column("row")], names=schema.names)
+
+    return docs.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
-def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, salts: int, id_col: str, text_col: str) -> DataFrame:
+def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, salts: int, schema: T.StructType) -> DataFrame:
     """The same by routing line hashes to the shards, for indexes that are too large to broadcast.
 
     Documents meet their dropped line numbers by id and text hash; the documents are shuffled once.
     """
-    docs = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("key", F.coalesce("id", F.lit(NO_ID)))
+    docs = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("key", F.coalesce("id", F.lit(NO_ID)))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +190,7 @@ def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, salt
             if out[0]:
                 yield pa.RecordBatch.from_pydict(dict(zip(("key", "text_hash", "line", "high", "low"), map(pa.array, map(np.concatenate, out)), strict=True)))
 
-    lines = docs.mapInArrow(hashes, "key long, text_hash long, line long, high long, low long")
+    lines = docs.select("key", "text_hash", "text").mapInArrow(hashes, "key long, text_hash long, line long, high long, low long")
     lines = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("high", 20), F.lit(shards))).withColumn("salt", F.pmod(F.xxhash64("key", "line"), F.lit(salts)))
     copies = index.drop("counts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     one = lines.select("shard", "salt", F.lit(1).alias("kind"), "key", "text_hash", "line", "high", "low", *(F.lit(None).cast("binary").alias(c) for c in ("hash", "prints", "firsts")))
@@ -213,9 +221,16 @@ def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, salt
         for batch in batches:
             texts, drops = utf8(batch.column("text")), [set(x or ()) for x in batch.column("gone").to_pylist()]
             out = [_clean(t, d) for t, d in zip(texts, drops, strict=True)]
-            yield pa.RecordBatch.from_pydict({id_col: batch.column("id"), text_col: pa.array(out, pa.binary()).cast(pa.string()), "n_lines": pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()), "n_dropped": pa.array([len(d) for d in drops], pa.int64())})
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()), pa.array([len(d) for d in drops], pa.int64()), batch.column("row")], names=schema.names)
+
+    return docs.join(gone, ["key", "text_hash"], "left").select("id", "text", "row", "gone").mapInArrow(clean, schema)
+
 
-    return docs.join(gone, ["key", "text_hash"], "left").select("id", "text", "gone").mapInArrow(clean, f"`{id_col}` long, `{text_col}` string, n_lines long, n_dropped long")
+def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """df with cleaned texts; chars_col, if df has it, counts their code points anew."""
+    cleaned = dedup_lines(df, id_col, text_col, **options)
+    fresh = {id_col: F.col(f"`{id_col}`").cast(df.schema[id_col].dataType), text_col: F.col(f"`{text_col}`"), chars_col: F.length(F.col(f"`{text_col}`")).cast("long")}
+    return cleaned.select(*((fresh.get(c) if c in fresh else F.col("row").getField(c)).alias(c) for c in df.columns))
 
 
 def digest(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

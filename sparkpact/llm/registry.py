@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, url_filter
+from . import decontaminate, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 from .bpe_counts import token_counts
 from .common import table
 
@@ -42,6 +42,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(documents, toxicity.fit(table(spark, sf_dir, "labels"), documents))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -50,8 +55,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_suffix_dedup, op3_url_filter, op4_simhash, op5_packing, op6_quality_rules, op8_token_counts, op9_line_dedup)
+    own = (op1_license_scan, op2_suffix_dedup, op3_url_filter, op4_simhash, op5_packing, op6_quality_rules, op7_toxicity, op8_token_counts, op9_line_dedup, op10_decontamination)
     return {f.__name__: f for f in own}
 
 

@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import durable, map_texts, texts_of
+from .common import durable, map_texts, texts_of, utf8
 from .components import connected_components
 
 SEED = 42
@@ -65,26 +66,18 @@ def key_masks(blocks: int, distance: int) -> list[int]:
     return [sum(c) for c in combinations(block_masks(blocks), blocks - distance)]
 
 
-def forest(prints: np.ndarray, distance: int, block: int = 1024) -> list[tuple[int, int]]:
-    """Links that join the components of the close pairs among distinct fingerprints, by labels that sink to the smallest."""
-    n = len(prints)
-    label = np.arange(n)
-    links: list[tuple[int, int]] = []
-    for a in range(0, n, block):
-        near = np.bitwise_count(prints[a : a + block, None] ^ prints[None, :]) <= distance
-        rows, columns = np.nonzero(near)
-        later = columns > rows + a
-        for i, j in zip((rows[later] + a).tolist(), columns[later].tolist(), strict=True):
-            x, y = i, j
-            while label[x] != x:
-                label[x] = label[label[x]]
-                x = label[x]
-            while label[y] != y:
-                label[y] = label[label[y]]
-                y = label[y]
-            if x != y:
-                label[max(x, y)] = min(x, y)
-                links.append((i, j))
+def forest(prints: np.ndarray, distance: int, block: int = 256) -> list[tuple[int, int]]:
+    """Links that join the components of the close pairs among distinct fingerprints, one fewer than each component has members."""
+    label, links = np.arange(len(prints)), []
+    for a in range(0, len(prints), block):
+        near = np.bitwise_count(prints[a : a + block, None] ^ prints[None, a:]) <= distance
+        for i in np.flatnonzero(near.sum(1) > 1).tolist():
+            close = np.flatnonzero(near[i]) + a
+            own = label[close]
+            if (own != own[0]).any():
+                labels, first = np.unique(own, return_index=True)
+                links += [(a + i, j) for j in close[first].tolist() if label[j] != label[a + i]]
+                label[np.isin(label, labels)] = labels[0]
     return links
 
 
@@ -154,15 +147,47 @@ def links(prints: DataFrame, distance: int = 3, blocks: int = 6, max_bucket: int
     return found.unionAll(_buckets(again, distance, None).select("a", "b"))
 
 
+def _groups(docs: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """docs(id, print, ...) to (print, component, component_id, copies) of each distinct fingerprint.
+
+    component_id is the smallest id of the component; copies is the largest number of rows with one fingerprint and id.
+    """
+    counted = docs.groupBy("print", "id").agg(F.count("*").alias("n"))
+    prints = durable(counted.groupBy("print").agg(F.min("id").alias("first_id"), F.max("n").alias("copies")))
+    parts = connected_components(links(prints.select("print"), distance, blocks))
+    named = prints.join(parts, prints["print"] == parts["node"], "left").withColumn("component", F.coalesce("component", "print")).drop("node")
+    # rows without an id come last; of equal ids the smallest fingerprint's
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "print")).alias("best"))
+    named = named.join(best, "component")
+    return named.select("print", F.col("best.first_id").alias("component_id"), F.col("best.print").alias("best_print"), "copies")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
     """(id, print, component_id): one row per input row."""
     docs = fingerprints(df, id_col, text_col, width)
-    prints = durable(docs.groupBy("print").agg(F.min("id").alias("first_id")))
-    parts = connected_components(links(prints.select("print"), distance, blocks))
-    named = prints.join(parts, prints["print"] == parts["node"], "left").select("print", "first_id", F.coalesce("component", "print").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "component").select("print", "component_id")
-    return docs.join(named, "print").select(F.col("id").alias(id_col), "print", "component_id")
+    found = docs.join(_groups(docs, distance, blocks).select("print", "component_id"), "print")
+    return found.select(F.col("id").alias(id_col), "print", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 5, blocks: int = 8) -> DataFrame:
+    """The rows of df, one for each component: the one with the smallest id."""
+    docs = fingerprints(df, id_col, text_col, width)
+    groups = durable(_groups(docs, distance, blocks))
+    kept = groups.where("print = best_print").select("print", "component_id", "copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                prints = np.array([fingerprint(t, width) for t in utf8(batch.column("text"))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints)], names=["row", "print"])
+
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kind = T.StructType([rows.schema["row"], T.StructField("print", T.LongType())])
+    marked = rows.mapInArrow(run, kind).join(kept, "print")
+    marked = marked.where(F.col("component_id").eqNullSafe(F.col("row").getField(id_col).cast("long")))
+    if not groups.where("copies > 1").isEmpty():  # rows that share both id and fingerprint: one of them stays
+        marked = marked.dropDuplicates(["print"])
+    return marked.select("row.*")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
