@@ -46,11 +46,34 @@ class ChunkIds:
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
-        new = [c for c in chunks if c not in self.known]
+        known, parts = self.known, {}
+        for c in chunks:
+            if c not in known:
+                parts[c] = _parted(c)
+        new = list({p for own in parts.values() for p in own if p not in known})
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
             encoded = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, encoded, strict=True))
+            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, encoded, strict=True))
+        known.update((c, b"".join(map(known.__getitem__, own))) for c, own in parts.items() if len(own) > 1)
+
+
+_TAIL = b".,;:!?*$%&#|"
+
+
+def _parted(chunk: bytes) -> list[bytes]:
+    """A chunk as a word and the punctuation behind it, where these are two pre-tokens in any case."""
+    word = chunk.rstrip(_TAIL)
+    if word == chunk or not word or b"<|" in chunk:
+        return [chunk]
+    last = word[-1]
+    letter = chr(last).isalnum() if last < 0x80 else word.decode()[-1].lower()[-1].isalpha()
+    return [word, chunk[len(word) :]] if letter else [chunk]
+
+
+def split_chunks(text: bytes) -> list[bytes]:
+    """White-space-separated chunks. The vocabulary is lower case; only special tokens' strings depend on the case."""
+    return (text if b"<|" in text else text.lower()).split()
 
 
 def document_pieces(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,7 +87,7 @@ def document_pieces(df: DataFrame, path: str, size: int = 2048, id_col: str = "d
         for batch in batches:
             ids, rows = batch.column("id").to_pylist(), []
             for a in range(0, len(ids), 512):
-                own = [t.split() for t in utf8(batch.column("text").slice(a, 512))]
+                own = [split_chunks(t) for t in utf8(batch.column("text").slice(a, 512))]
                 chunks.learn({c for words in own for c in words})
                 for doc, words in zip(ids[a : a + 512], own, strict=True):
                     data = memoryview(b"".join(map(chunks.known.__getitem__, words)) + END)
