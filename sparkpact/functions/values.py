@@ -76,9 +76,14 @@ class Val:
     def item(self, column: Column) -> "Val":
         """An element of the array, inside a higher-order function: null counts as null, not as missing."""
         if self.element is None or isinstance(self.element, T.VariantType):
-            return variant(column)
+            return variant(column["x"], column["k"])
         return typed(column, self.element, "null")
 
+    def plain_array(self) -> Column:
+        """The array with its elements as they are (inside a ``Val``, variants go with their type)."""
+        whole = self.get("array")
+        return F.transform(whole, lambda e: e["x"]) if isinstance(self.element, T.VariantType) else whole
+
     def keys(self) -> Column:
         """The object's keys, in their order."""
         if self.shape is None or isinstance(self.shape, T.VariantType):
@@ -90,14 +95,15 @@ class Val:
     def entries(self) -> Column:
         """The object as an array of (key, value)."""
         if self.shape is None or isinstance(self.shape, T.VariantType):
-            return F.map_entries(F.try_variant_get(self.kinds["object"], "$", "map<string,variant>"))
+            pairs = F.map_entries(F.try_variant_get(self.kinds["object"], "$", "map<string,variant>"))
+            return F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), probed(e["value"]).alias("value")))
         if isinstance(self.shape, T.StructType):
             return F.map_entries(F.from_json(F.to_json(self.kinds["object"]), "map<string,string>"))
         return F.map_entries(self.kinds["object"])
 
     def entry_item(self, column: Column) -> "Val":
         if self.shape is None or isinstance(self.shape, T.VariantType):
-            return variant(column)
+            return variant(column["x"], column["k"])
         return typed(column, self.shape.valueType if isinstance(self.shape, T.MapType) else T.StringType(), "null")
 
     def output(self, kind: str | None = None) -> Column:
@@ -106,6 +112,8 @@ class Val:
             return self.raw
         if kind is None:
             kind = next(iter(self.kinds)) if len(self.kinds) == 1 else "string" if "string" in self.kinds else None
+        if kind == "array":
+            return self.plain_array()
         return self.get(kind) if kind else F.lit(None).cast("string")
 
     def chosen(self, otherwise: "Val", when: Column) -> "Val":
@@ -135,19 +143,29 @@ def typed(c: Column, kind: T.DataType, null_as: str = "missing") -> Val:
     return Val({name: value}, raw=c, type=kind, element=kind.elementType if name == "array" else None, shape=kind if name == "object" else None, null_as=null_as, **flags)
 
 
-def variant(c: Column) -> Val:
-    """A VARIANT column: SQL's null is missing, a variant null is null."""
-    kind = F.coalesce(F.schema_of_variant(c), F.lit(""))
+def probed(c: Column) -> Column:
+    """A variant with its type's name; finding the type is dear, so it is done once and handed on."""
+    return F.struct(c.alias("x"), F.coalesce(F.schema_of_variant(c), F.lit("")).alias("k"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value bound: it is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def variant(c: Column, kind: Column | None = None) -> Val:
+    """A VARIANT column, with its type's name if that is known: SQL's null is missing, a variant null is null."""
+    kind = F.coalesce(F.schema_of_variant(c), F.lit("")) if kind is None else kind
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
     kinds = {
         "string": F.when(kind == "STRING", F.try_variant_get(c, "$", "string")),
         "number": F.when(number, F.try_variant_get(c, "$", "double")),
         "boolean": F.when(kind == "BOOLEAN", F.try_variant_get(c, "$", "boolean")),
         "date": F.when((kind == "DATE") | kind.startswith("TIMESTAMP"), F.try_variant_get(c, "$", "timestamp")),
-        "array": F.when(kind.startswith("ARRAY<"), F.try_variant_get(c, "$", "array<variant>")),
+        "array": F.when(kind.startswith("ARRAY<"), F.transform(F.try_variant_get(c, "$", "array<variant>"), probed)),
         "object": F.when(kind.startswith("OBJECT<"), c),
     }
-    return Val(kinds, c.isNull(), F.coalesce(F.is_variant_null(c), F.lit(False)), raw=c, type=T.VariantType(), element=T.VariantType(), shape=T.VariantType())
+    return Val(kinds, c.isNull(), kind == "VOID", raw=c, type=T.VariantType(), element=T.VariantType(), shape=T.VariantType())
 
 
 def constant(value: object) -> Val:

@@ -87,11 +87,11 @@ def create_rule(name: str, test: Callable[[Val], Column] | None = None, *, pytho
         except Exception:  # noqa: BLE001  see above
             return False
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda x: judge(None if x is None or x is pd.NaT else x)).astype(bool)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def run_json(values: pd.Series) -> pd.Series:
         return values.map(lambda x: judge(None if x is None else json.loads(x))).astype(bool)
 
@@ -105,15 +105,16 @@ def create_rule(name: str, test: Callable[[Val], Column] | None = None, *, pytho
 
 def elements_by_python(rule: Rule, v: Val) -> Column:
     """A Python rule on every element of an array: an array of booleans. (Spark has no Python inside its array functions.)"""
+    judge = rule.python
 
-    @F.pandas_udf("array<boolean>")
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda xs: None if xs is None else [rule.python(x.item() if hasattr(x, "item") else x) for x in xs])
+        return values.map(lambda xs: None if xs is None else [judge(x.item() if hasattr(x, "item") else x) for x in xs])
 
-    @F.pandas_udf("array<boolean>")
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def run_json(values: pd.Series) -> pd.Series:
-        return values.map(lambda xs: None if xs is None else [rule.python(None if x is None else json.loads(x)) for x in xs])
+        return values.map(lambda xs: None if xs is None else [judge(None if x is None else json.loads(x)) for x in xs])
 
     if isinstance(v.element, T.VariantType):
-        return run_json(F.transform(v.get("array"), lambda x: F.to_json(x)))
+        return run_json(F.transform(v.plain_array(), lambda x: F.to_json(x)))
     return run(v.get("array"))

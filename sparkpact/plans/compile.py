@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import ContractError
 from ..functions.compat import iso_text, number_text, to_instant, to_number
-from ..functions.values import Val, constant, typed
+from ..functions.values import Val, constant, let, probed, typed, variant
 from ..operators.array_rules import identity
 from ..operators.rule import ASSERTS, Rule, elements_by_python
 from . import issues as I
@@ -65,24 +65,43 @@ class Compiler:
         self.setting = setting
 
     # ---- in ----
-
-    def record(self, cls: type, v: Val, prefix: Column, depth: int = 0, tag: str | None = None) -> tuple[Column, Column]:
-        """(struct of the fields, issues) of a value that should be an object. tag: a key that belongs to a union."""
-        value, found = self._fields(cls, v, prefix, depth, tag)
-        return value, F.when(~v.has("object"), F.array(I.issue(prefix, I.INVALID_INPUT))).otherwise(found)
-
-    def _fields(self, cls: type, v: Val, prefix: Column, depth: int, tag: str | None) -> tuple[Column, Column]:
-        fields, lists, values = declared(cls), [], []
-        if self.setting.forbid_unknown:
-            lists.append(self._unknown({f.input_name for f in fields.values()} | ({tag} if tag else set()), v, prefix))
-        for f in fields.values():
-            if not f.takes_part(DECODE) or not f.visible(DECODE, self.setting.groups):
-                continue
-            value, found = self._field(f, v, prefix, depth)
-            values.append(value.alias(f.name))
-            if found is not None:
-                lists.append(found)
-        return F.struct(*values) if values else F.lit(None).cast("struct<>"), I.joined(lists)
+    # A result is a struct of a value and its issues. Documents are looked into once: what is found is bound by ``let``.
+
+    def record(self, cls: type, v: Val, prefix: Column, depth: int = 0, tag: str | None = None) -> Column:
+        """The result of a value that should be an object. tag: a key that belongs to a union."""
+        fields = declared(cls)
+        known = {f.input_name for f in fields.values()} | ({tag} if tag else set())
+        own = [f for f in fields.values() if f.takes_part(DECODE) and f.visible(DECODE, self.setting.groups)]
+
+        def body(v: Val) -> Column:
+            return self._body(own, known, v, prefix, depth)
+
+        if not isinstance(v.shape, T.VariantType) or not own:
+            return body(v)
+        children = {f.input_name: v.child(f.input_name).raw for f in own}
+        children = F.struct(*(probed(c).alias(f"c{k}") for k, c in enumerate(children.values())), v.has("object").alias("is_object"))
+        names = [*dict.fromkeys(f.input_name for f in own)]
+        return let(children, lambda s: body(_Probed(v, {n: s[f"c{k}"] for k, n in enumerate(names)}, s["is_object"])))
+
+    def _body(self, fields: list[FieldSpec], known: set[str], v: Val, prefix: Column, depth: int) -> Column:
+        below = {f.name: self._nested_field(f, v, prefix, depth) for f in fields if is_nested(f)}
+
+        def whole(below: dict[str, Column]) -> Column:
+            lists, values = [self._unknown(known, v, prefix)] if self.setting.forbid_unknown else [], []
+            for f in fields:
+                if f.name in below:
+                    value, found = below[f.name]["value"], below[f.name]["issues"]
+                else:
+                    value, found = self._field(f, v, prefix)
+                values.append(value.alias(f.name))
+                if found is not None:
+                    lists.append(found)
+            found = F.when(~v.has("object"), F.array(I.issue(prefix, I.INVALID_INPUT))).otherwise(I.joined(lists))
+            return result(F.struct(*values) if values else F.lit(None).cast("struct<>"), found)
+
+        if not below:
+            return whole({})
+        return let(F.struct(*(r.alias(n) for n, r in below.items())), lambda r: whole({n: r[n] for n in below}))
 
     def _unknown(self, allowed: set[str], v: Val, prefix: Column) -> Column:
         if isinstance(v.shape, T.StructType):
@@ -90,18 +109,20 @@ class Compiler:
         keys = F.filter(F.coalesce(v.keys(), F.array().cast("array<string>")), lambda k: ~k.isin(*allowed))
         return F.transform(keys, lambda k: I.issue(F.concat(prefix, k), I.UNKNOWN_KEY))
 
-    def _field(self, f: FieldSpec, record: Val, prefix: Column, depth: int) -> tuple[Column, Column | None]:
+    def _taken(self, f: FieldSpec, record: Val, prefix: Column) -> tuple[Val, Column, Column | None, Column]:
+        """The field's value after defaults and codecs, its path, what makes it not given, and what ends its treatment."""
         v = record.child(f.input_name)
         if self.setting.allow_class_defaults and has_default(f) and not f.optional:
             v = constant(f.default).chosen(v, v.missing)
-        path = F.concat(prefix, F.lit(f.name))
         gone, skipped = self._guard(f, v)
         for use in f.codecs:
             v = use.codec.decode(v)
-        value, found = self._inner(f, v, path, depth)
+        return v, F.concat(prefix, F.lit(f.name)), gone, skipped
+
+    def _guarded(self, f: FieldSpec, record: Val, v: Val, path: Column, gone: Column | None, skipped: Column, value: Column, found: Column | None) -> tuple[Column, Column | None]:
         value = F.when(~skipped, value)
-        missing = F.array(I.issue(path, I.MISSING, *self._extras(f, None, v)))
         if gone is not None:
+            missing = F.array(I.issue(path, I.MISSING, *self._extras(f, None, v)))
             found = F.when(gone, missing).when(skipped, I.none()).otherwise(found if found is not None else I.none())
         elif found is not None:
             found = F.when(skipped, I.none()).otherwise(found)
@@ -111,6 +132,15 @@ class Compiler:
             found = None if found is None else F.when(on, found).otherwise(I.none())
         return value, found
 
+    def _field(self, f: FieldSpec, record: Val, prefix: Column) -> tuple[Column, Column | None]:
+        v, path, gone, skipped = self._taken(f, record, prefix)
+        return self._guarded(f, record, v, path, gone, skipped, *self._plain(f, v, path))
+
+    def _nested_field(self, f: FieldSpec, record: Val, prefix: Column, depth: int) -> Column:
+        v, path, gone, skipped = self._taken(f, record, prefix)
+        inner = (self._nested if f.type.form in ("record", "records") else self._collection)(f, v, path, depth)
+        return let(inner, lambda r: result(*self._guarded(f, record, v, path, gone, skipped, r["value"], r["issues"])))
+
     @staticmethod
     def _guard(f: FieldSpec, v: Val) -> tuple[Column | None, Column]:
         """(what makes the field count as not given, what ends its treatment): the four presence policies."""
@@ -135,14 +165,6 @@ class Compiler:
     def _broken(self, f: FieldSpec, uses: list[RuleUse], v: Val, path: Column) -> list[Column]:
         return [I.when(~use.rule.passes(v), I.issue(path, use.rule.name, *self._extras(f, use, v))) for use in uses if self._runs(use)]
 
-    def _inner(self, f: FieldSpec, v: Val, path: Column, depth: int) -> tuple[Column, Column | None]:
-        kind = f.type.form if f.type else None
-        if kind in ("record", "records"):
-            return self._nested(f, v, path, depth)
-        if kind in ("set", "map"):
-            return self._collection(f, v, path, depth)
-        return self._plain(f, v, path)
-
     # ---- plain fields ----
 
     def _plain(self, f: FieldSpec, v: Val, path: Column) -> tuple[Column, Column | None]:
@@ -212,85 +234,96 @@ class Compiler:
             raise ContractError(f"{f.name}: {cls!r} declares no fields")
         return cls
 
-    def _deeper(self, f: FieldSpec, v: Val, prefix: Column, depth: int, tag: str | None = None, cls: type | None = None) -> tuple[Column, Column]:
+    def _deeper(self, f: FieldSpec, v: Val, prefix: Column, depth: int, tag: str | None = None, cls: type | None = None) -> Column:
         if depth >= self.setting.max_depth:
-            return F.lit(None).cast("struct<>"), F.when(v.either_missing_or_null(), I.none()).otherwise(F.array(I.issue(prefix, I.TOO_DEEP)))
+            return result(F.lit(None).cast("struct<>"), F.when(v.either_missing_or_null(), I.none()).otherwise(F.array(I.issue(prefix, I.TOO_DEEP))))
         return self.record(cls or self._contract(f), v, prefix, depth + 1, tag)
 
-    def _nested(self, f: FieldSpec, v: Val, path: Column, depth: int) -> tuple[Column, Column]:
-        def one(x: Val, at: Column, below: Column) -> tuple[Column, Column]:
+    def _nested(self, f: FieldSpec, v: Val, path: Column, depth: int) -> Column:
+        def one(x: Val, at: Column, below: Column) -> Column:
             return self._tagged(f, x, at, below, depth) if f.type.union else self._deeper(f, x, below, depth)
 
         if f.type.form == "record" and not any(u.each for u in f.rules):
-            value, found = one(v, path, F.concat(path, F.lit(".")))
+            inner = one(v, path, F.concat(path, F.lit(".")))
             if f.type.union:
-                return value, found
-            return value, F.when(v.has("object"), found).otherwise(F.array(I.issue(path, "isObject", *self._extras(f, None, v))))
+                return inner
+            wrong = F.array(I.issue(path, "isObject", *self._extras(f, None, v)))
+            return let(inner, lambda r: result(r["value"], F.when(v.has("object"), r["issues"]).otherwise(wrong)))
         own = self._broken(f, [u for u in f.rules if not u.each], v, path)
         return self._elements(f, v, path, own, one)
 
-    def _elements(self, f: FieldSpec, v: Val, path: Column, own: list[Column], one) -> tuple[Column, Column]:
+    def _elements(self, f: FieldSpec, v: Val, path: Column, own: list[Column], one) -> Column:
         wrong = F.array(I.issue(path, "isArray", *self._extras(f, None, v)))
         if "array" not in v.kinds:
-            return F.lit(None).cast("string"), wrong
-        whole = v.get("array")
+            return result(F.lit(None).cast("string"), wrong)
 
         def at(i: Column) -> Column:
             return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
 
-        value = F.transform(whole, lambda x, i: one(v.item(x), at(i), F.concat(at(i), F.lit(".")))[0])
-        below = F.flatten(F.transform(whole, lambda x, i: one(v.item(x), at(i), F.concat(at(i), F.lit(".")))[1]))
-        return value, F.when(whole.isNull(), wrong).otherwise(I.joined(([I.gathered(own)] if own else []) + [below]))
+        each = F.transform(v.get("array"), lambda x, i: one(v.item(x), at(i), F.concat(at(i), F.lit("."))))
+
+        def whole(r: Column) -> Column:
+            below = F.flatten(F.transform(r, lambda x: x["issues"]))
+            return result(F.transform(r, lambda x: x["value"]), F.when(r.isNull(), wrong).otherwise(I.joined(([I.gathered(own)] if own else []) + [below])))
 
-    def _tagged(self, f: FieldSpec, v: Val, at: Column, below: Column, depth: int) -> tuple[Column, Column]:
+        return let(each, whole)
+
+    def _tagged(self, f: FieldSpec, v: Val, at: Column, below: Column, depth: int) -> Column:
         """A union's value: a struct of the tag and one struct for each case, of which one is not null."""
-        kind = v.child(f.type.union.property)
-        tag, cases = kind.get("string"), f.type.union.cases
-        received = F.coalesce(F.concat(F.lit('"received":'), F.to_json(F.array(tag)).substr(F.lit(2), F.length(F.to_json(F.array(tag))) - F.lit(2)), F.lit(",")), F.lit(""))
+        tag, cases = v.child(f.type.union.property).get("string"), f.type.union.cases
+        received = F.coalesce(F.concat(F.lit('"received":'), _quoted(tag), F.lit(",")), F.lit(""))
         names = ",".join(f'"{n}"' for n in cases)
         context = F.concat(F.lit("{"), received, F.lit(f'"validSubTypes":[{names}]}}'))
-        values, found = [tag.alias("tag")], None
-        for name, cls in cases.items():
-            value, own = self._deeper(f, v, below, depth, f.type.union.property, cls)
-            if f.type.keep_tag:
-                value = F.struct(*(value.getField(n).alias(n) for n in self.visible_names(cls) if n != f.type.union.property), tag.alias(f.type.union.property))
-            values.append(F.when(tag == name, value).alias(name))
-            found = F.when(tag == name, own) if found is None else found.when(tag == name, own)
-        return F.struct(*values), found.otherwise(F.array(I.issue(at, I.BAD_TAG, None, context)))
+        inner = F.struct(tag.alias("tag"), *(F.when(tag == n, self._deeper(f, v, below, depth, f.type.union.property, cls)).alias(n) for n, cls in cases.items()))
+
+        def whole(r: Column) -> Column:
+            tag, values, found = r["tag"], [r["tag"].alias("tag")], F.when(F.lit(False), I.none())
+            for name, cls in cases.items():
+                value = r[name]["value"]
+                if f.type.keep_tag:
+                    kept = [value[n].alias(n) for n in self.visible_names(cls) if n != f.type.union.property]
+                    value = F.when(value.isNotNull(), F.struct(*kept, tag.alias(f.type.union.property)))
+                values.append(value.alias(name))
+                found = found.when(tag == name, r[name]["issues"])
+            return result(F.struct(*values), found.otherwise(F.array(I.issue(at, I.BAD_TAG, None, context))))
+
+        return let(inner, whole)
 
     def visible_names(self, cls: type) -> list[str]:
         return [f.name for f in declared(cls).values() if f.takes_part(DECODE) and f.visible(DECODE, self.setting.groups)]
 
-    def _collection(self, f: FieldSpec, v: Val, path: Column, depth: int) -> tuple[Column, Column]:
+    def _collection(self, f: FieldSpec, v: Val, path: Column, depth: int) -> Column:
         each = [u for u in f.rules if u.each]
         cls = f.type.resolve()
         if f.type.form == "set":
             own = self._broken(f, [u for u in f.rules if not u.each], v, path)
             if cls is not None:
-                value, found = self._elements(f, v, path, own, lambda x, at, below: self._deeper(f, x, below, depth))
-                return value, I.joined([found, self._each_of(f, each, v, path)]) if each else found
+                inner = self._elements(f, v, path, own, lambda x, at, below: self._deeper(f, x, below, depth))
+                return let(inner, lambda r: result(r["value"], I.joined([r["issues"], self._each_of(f, each, v, path)]))) if each else inner
             wrong = F.array(I.issue(path, "isArray", *self._extras(f, None, v)))
             if "array" not in v.kinds:
-                return F.lit(None).cast("string"), wrong
+                return result(F.lit(None).cast("string"), wrong)
             lists = ([I.gathered(own)] if own else []) + ([self._each_of(f, each, v, path)] if each else [])
-            return self._distinct(v, each), F.when(~v.has("array"), wrong).otherwise(I.joined(lists))
+            return result(self._distinct(v, each), F.when(~v.has("array"), wrong).otherwise(I.joined(lists)))
         wrong = F.array(I.issue(path, "isObject", *self._extras(f, None, v)))
         if "object" not in v.kinds:
-            return F.lit(None).cast("string"), wrong
-        entries, lists = v.entries(), []
-        if cls is not None:
+            return result(F.lit(None).cast("string"), wrong)
 
-            def below(e: Column) -> Column:
-                return F.concat(path, F.lit("["), e["key"], F.lit("]."))
+        def one(e: Column) -> Column:
+            if cls is None:
+                return result(v.entry_item(e["value"]).output(_kind_of_rules([u.rule for u in each])), I.none())
+            return self._deeper(f, v.entry_item(e["value"]), F.concat(path, F.lit("["), e["key"], F.lit("].")), depth)
 
-            value = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], self._deeper(f, v.entry_item(e["value"]), below(e), depth)[0])))
-            lists.append(F.flatten(F.transform(entries, lambda e: self._deeper(f, v.entry_item(e["value"]), below(e), depth)[1])))
-        else:
-            element = _kind_of_rules([u.rule for u in each])
-            value = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], v.entry_item(e["value"]).output(element))))
-        if each:
-            lists.append(self._each_of(f, each, v, path, F.transform(entries, lambda e: e["value"]), v.entry_item))
-        return value, F.when(v.has("object"), I.joined(lists)).otherwise(wrong)
+        entries = F.transform(v.entries(), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), one(e).alias("r")))
+
+        def whole(r: Column) -> Column:
+            value = F.map_from_entries(F.transform(r, lambda e: F.struct(e["key"], e["r"]["value"])))
+            lists = [F.flatten(F.transform(r, lambda e: e["r"]["issues"]))] if cls is not None else []
+            if each:
+                lists.append(self._each_of(f, each, v, path, F.transform(r, lambda e: e["value"]), v.entry_item))
+            return result(value, F.when(v.has("object"), I.joined(lists)).otherwise(wrong))
+
+        return let(entries, whole)
 
     def _each_of(self, f: FieldSpec, uses: list[RuleUse], v: Val, path: Column, whole: Column | None = None, item=None) -> Column:
         whole, item = (v.get("array"), v.item) if whole is None else (whole, item)
@@ -304,7 +337,8 @@ class Compiler:
         if element:
             return F.array_distinct(F.transform(whole, lambda x: v.item(x).get(element)))
         keys = F.transform(whole, lambda x, i: identity(v.item(x), i))
-        return F.filter(whole, lambda x, i: F.array_position(keys, identity(v.item(x), i)) == i + 1)
+        kept = F.filter(whole, lambda x, i: F.array_position(keys, identity(v.item(x), i)) == i + 1)
+        return F.transform(kept, lambda e: e["x"])
 
     # ---- out ----
 
@@ -350,11 +384,51 @@ class Compiler:
             if f.type.keep_tag:
                 names = [g.wire_name(ENCODE) for g in declared(cls).values() if g.takes_part(ENCODE) and g.visible(ENCODE, self.setting.groups)]
                 own = F.struct(*(own.getField(n).alias(n) for n in names if n != f.type.union.property), F.lit(name).alias(f.type.union.property))
-            own = F.to_variant_object(own)
+            own = as_variant(own, [g for g in declared(cls).values() if g.optional])
             out = F.when(tag == name, own) if out is None else out.when(tag == name, own)
         return out
 
 
+def result(value: Column, found: Column | None) -> Column:
+    return F.struct(value.alias("value"), (I.none() if found is None else found).alias("issues"))
+
+
+def is_nested(f: FieldSpec) -> bool:
+    return f.type is not None and f.type.form != "hint"
+
+
+def _quoted(text: Column) -> Column:
+    """A text as JSON; null stays null."""
+    inside = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), inside.substr(F.lit(2), F.length(inside) - F.lit(2)))
+
+
+class _Probed(Val):
+    """A document's object whose fields have been looked up and probed."""
+
+    def __init__(self, v: Val, children: dict[str, Column], is_object: Column):
+        object.__setattr__(self, "children", children)
+        object.__setattr__(self, "is_object", is_object)
+        super().__init__(v.kinds, v.missing, v.null, raw=v.raw, type=v.type, element=v.element, shape=v.shape, null_as=v.null_as)
+
+    def has(self, kind: str) -> Column:
+        return self.is_object if kind == "object" else super().has(kind)
+
+    def child(self, key: str) -> Val:
+        return variant(self.children[key]["x"], self.children[key]["k"]) if key in self.children else super().child(key)
+
+
+def as_variant(record: Column, optional: list[FieldSpec]) -> Column:
+    """A struct as a variant object; optional fields that are null are left out."""
+    loose = [f.wire_name(ENCODE) for f in optional if f.takes_part(ENCODE)]
+    if not loose:
+        return F.to_variant_object(record)
+    firm = F.to_json(record.dropFields(*loose), {"ignoreNullFields": "false"})
+    rest = F.to_json(F.struct(*(record[n].alias(n) for n in loose)))
+    parts = [F.nullif(x.substr(F.lit(2), F.length(x) - F.lit(2)), F.lit("")) for x in (firm, rest)]
+    return F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+
+
 def _kind_of_rules(rules: list[Rule]) -> str | None:
     return next((k for r in rules if (k := ASSERTS.get(r.name) or r.gate) in _SQL), None)
 

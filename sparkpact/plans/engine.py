@@ -33,6 +33,9 @@ class Config:
     max_depth: int = 8
 
 
+_RESULT = "__contract_result"
+
+
 class Engine:
     def __init__(self, config: Config | None = None, **options):
         known = {f.name for f in fields(Config)}
@@ -86,8 +89,8 @@ class Engine:
         c = self.config
         return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth))
 
-    def columns(self, cls: type, schema: T.StructType, groups: Iterable[str] | None = None, document: str | None = None) -> tuple[Column, Column]:
-        """(value, issues) for a frame of this schema; compiled once for each contract, schema and set of groups."""
+    def _whole(self, cls: type, schema: T.StructType, groups: Iterable[str] | None, document: str | None) -> Column:
+        """The result of a row, compiled once for each contract, schema and set of groups."""
         cls, compiler = self._contract(cls), self._compiler(groups)
         key = (cls, schema.json(), compiler.setting.groups, document)
         if key not in self._plans:
@@ -99,25 +102,33 @@ class Engine:
                 v = variant(F.try_parse_json(F.col(f"`{document}`")))
             else:
                 v = typed(F.col(f"`{document}`"), kind, self.config.null_as)
-            value, found = compiler.record(cls, v, F.lit(""))
-            if self.config.stop_at_first_error:
-                found = F.slice(found, 1, 1)
-            self._plans[key] = (value, found)
+            self._plans[key] = compiler.record(cls, v, F.lit(""))
         return self._plans[key]
 
+    def columns(self, cls: type, schema: T.StructType, groups: Iterable[str] | None = None, document: str | None = None) -> tuple[Column, Column]:
+        """(value, issues) for a frame of this schema."""
+        whole = self._whole(cls, schema, groups, document)
+        found = whole["issues"]
+        return whole["value"], F.slice(found, 1, 1) if self.config.stop_at_first_error else found
+
     def decode(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, document: str | None = None) -> DataFrame:
         """df with ``value`` (the record; null if it has issues) and ``issues``.
 
         document: a column that holds whole records, as JSON text, VARIANT or a struct. Otherwise the frame's columns are
         the record's keys.
         """
-        value, found = self.columns(cls, df.schema, groups, document)
-        return df.withColumn("issues", found).withColumn("value", F.when(F.size("issues") == 0, value))
+        out = self._checked(df, cls, groups, document)
+        return out.withColumn("value", F.when(F.size("issues") == 0, F.col(_RESULT)["value"])).drop(_RESULT)
 
     def check(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, document: str | None = None) -> DataFrame:
         """df with ``is_valid`` and ``issues``."""
-        _, found = self.columns(cls, df.schema, groups, document)
-        return df.withColumn("issues", found).withColumn("is_valid", F.size("issues") == 0)
+        return self._checked(df, cls, groups, document).drop(_RESULT).withColumn("is_valid", F.size("issues") == 0)
+
+    def _checked(self, df: DataFrame, cls: type, groups: Iterable[str] | None, document: str | None) -> DataFrame:
+        """df with the whole result as one column, from which issues and value are taken: Spark computes it once."""
+        found = F.col(_RESULT)["issues"]
+        out = df.withColumn(_RESULT, self._whole(cls, df.schema, groups, document))
+        return out.withColumn("issues", F.slice(found, 1, 1) if self.config.stop_at_first_error else found)
 
     def encode(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, column: str | None = None) -> DataFrame:
         """df with ``record``: the fields under their outgoing names. column: a struct of the fields, else df's columns are they."""
