@@ -1,8 +1,8 @@
 """Quality rules: plain base counts, then the divergence of a document's histograms from its language's reference.
 
 Two histograms are compared by Jensen-Shannon distance: character classes, and the share of each common word of the
-language (with one bin for all other words). The references are the corpus's own: one pass sums the histograms of all
-documents of each known language, so they have a fixed size. A document is rejected if a distance passes its threshold;
+language (with one bin for all other words). The references are the corpus's own: one pass takes the mean of the
+histograms of all documents of each known language, which has a fixed size. A document is rejected if a distance passes its threshold;
 documents below ``min_words`` words are not judged by distance. A document in an unknown language is compared with every
 reference and judged by the nearest.
 
@@ -103,16 +103,20 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), len(solid.translate(None, _CONTINUES)), len(text) - len(text.translate(None, b"#*$%&|<>")), again, repeated_words(words)
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The summed histograms of all documents of each known language: at most len(COMMON) rows come back."""
+def references(docs: DataFrame, min_words: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The mean histograms of all documents of ``min_words`` words of each known language: len(COMMON) short rows.
+
+    Every document counts alike, so a few very long ones don't set the reference.
+    """
     bins = {lang: len(CLASSES[0]) + len(words) + 1 for lang, words in COMMON.items()}
 
     def each(batches):
         total = {lang: np.zeros(n) for lang, n in bins.items()}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
-                if lang in total and text:
-                    total[lang] += np.concatenate((class_histogram(text), word_histograms(text, [lang])[lang]))
+                if lang in total and (words := word_histograms(text, [lang])[lang]).sum() >= min_words:
+                    classes = class_histogram(text)
+                    total[lang] += np.concatenate((classes / classes.sum(), words / words.sum()))
         yield pa.RecordBatch.from_pydict({"lang": pa.array([*total]), "sums": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
 
     parts = docs.where(F.col("lang").isin(*COMMON)).mapInArrow(each, "lang string, sums array<double>")
@@ -134,7 +138,7 @@ def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep: hand on all columns of df instead, of the rows that are kept.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    known = references(docs)
+    known = references(docs, min_words)
     names = [*known]
 
     def judge(text: bytes, lang: str | None) -> tuple:

@@ -253,7 +253,8 @@ def _counted_windows(bytes_of: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int, gram: int, max_contexts: int) -> DataFrame:
     """docs(id, text_hash, text) to (id, text_hash, spans): the starts of repeated windows, as (first, last)."""
     every = all_occurrences(docs, length, gram)
-    twice = every.groupBy("anchor").count().where("count > 1").select("anchor")
+    # as a table of its own, so that the join below shuffles both sides and Spark may split a hot anchor's rows
+    twice = durable(every.groupBy("anchor").count().where("count > 1").select("anchor"))
     shared = durable(every.join(twice, "anchor", "left_semi"))
     contexts = shared.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "start", "windows", "ahead")).alias("seen"))
     contexts = durable(contexts)

@@ -119,9 +119,9 @@ def fit(labels: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str
     counted = sample.mapInArrow(lambda b: _counted(b, None), "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n0, n1 = (min(counts[k], sample_rows // 2) for k in (0, 1))
     odds = F.log((F.col("n1") + 0.5) / (F.col("n0") + 0.5)) - F.lit(float(np.log((n1 + 1) / (n0 + 1))))
-    # log-odds against the sample's split, over its standard error
+    # log-odds against the sample's split, over its standard error; what could well be chance is no feature
     best = counted.where(F.col("n0") + F.col("n1") >= min_documents).withColumn("z", odds / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5)))
-    rows = best.orderBy(F.abs("z").desc(), "feature").limit(max_features).select("feature", "z").collect()
+    rows = best.where(F.abs("z") >= 2).orderBy(F.abs("z").desc(), "feature").limit(max_features).select("feature", "z").collect()
     features = {bytes(r["feature"]): k for k, r in enumerate(rows)}
     if not features:
         return nothing
