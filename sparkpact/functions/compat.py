@@ -79,7 +79,7 @@ def number_text(c: Column) -> Column:
     size = F.abs(c)
     return (
         F.when(F.isnan(c) | (size == F.lit(float("inf"))), c.cast("string"))
-        .when((c == F.floor(c)) & (size < 1e21), F.regexp_replace(whole, r"\A-0\z", "0"))
+        .when((c == F.rint(c)) & (size < 1e21), F.regexp_replace(whole, r"\A-0\z", "0"))
         .when((size >= 1e-6) & (size < 1e17), plain)
         .otherwise(F.regexp_replace(short, "E", "e+"))
     )

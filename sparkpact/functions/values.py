@@ -45,6 +45,7 @@ class Val:
     element: T.DataType | None = field(default=None)  # of the array
     shape: T.DataType | None = field(default=None)  # of the object
     null_as: str = "missing"
+    names: Column | None = None  # the object's keys, where a better order is known than the variant's, which is sorted
 
     def has(self, kind: str) -> Column:
         """Two-valued: whether the value is of the kind."""
@@ -85,7 +86,9 @@ class Val:
         return F.transform(whole, lambda e: e["x"]) if isinstance(self.element, T.VariantType) else whole
 
     def keys(self) -> Column:
-        """The object's keys, in their order."""
+        """The object's keys: in their order in a text, sorted in a VARIANT."""
+        if self.names is not None:
+            return self.names
         if self.shape is None or isinstance(self.shape, T.VariantType):
             return F.json_object_keys(F.to_json(self.kinds["object"]))
         if isinstance(self.shape, T.StructType):

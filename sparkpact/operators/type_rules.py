@@ -38,7 +38,7 @@ def is_number(*, allow_nan: bool | None = None, allow_infinity: bool | None = No
     return Rule("isNumber", test, constraints={k: x for k, x in given.items() if x is not None})
 
 
-is_int = Rule("isInt", lambda v: is_finite(v.get("number")) & (v.get("number") == F.floor(v.get("number"))), "number")
+is_int = Rule("isInt", lambda v: is_finite(v.get("number")) & (v.get("number") == F.rint(v.get("number"))), "number")
 
 
 def _number(name: str, value: float) -> float:

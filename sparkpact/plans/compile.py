@@ -33,6 +33,8 @@ class Setting:
     forbid_unknown: bool
     groups: frozenset[str]
     max_depth: int
+    #: Whether what is looked up may be bound inside a lambda. Spark runs no Python there, so contracts with Python rules go without.
+    binds: bool = True
 
 
 def is_kind(v: Val, kind: str) -> Column:
@@ -42,14 +44,15 @@ def is_kind(v: Val, kind: str) -> Column:
     return v.has(kind)
 
 
-def convert(v: Val, kind: str) -> Val:
-    """The value as the kind, where it can be converted."""
+def convert(v: Val, kind: str, inside: bool = False) -> Val:
+    """The value as the kind, where it can be converted. inside: of an array, whose own arrays become empty texts."""
     text, number, flag, date = (v.get(k) for k in ("string", "number", "boolean", "date"))
     own = F.when(is_kind(v, kind), v.get(kind))
     if kind == "string":
         other = F.coalesce(number_text(number), flag.cast("string"), iso_text(date), F.when(v.has("object"), F.lit("[object Object]")))
-        if "array" in v.kinds:
-            other = F.coalesce(other, F.array_join(F.transform(v.get("array"), lambda x: F.coalesce(*(convert(v.item(x), "string").get("string"),), F.lit(""))), ",", "")) if not isinstance(v.element, T.ArrayType) else other
+        if "array" in v.kinds and not inside:
+            texts = F.transform(v.get("array"), lambda x: F.coalesce(convert(v.item(x), "string", True).get("string"), F.lit("")))
+            other = F.coalesce(other, F.array_join(texts, ",", ""))
     elif kind == "number":
         other = F.coalesce(to_number(text), flag.cast("int").cast("double"), F.unix_millis(date).cast("double"))
     elif kind == "boolean":
@@ -64,6 +67,9 @@ class Compiler:
     def __init__(self, setting: Setting):
         self.setting = setting
 
+    def _let(self, value: Column, body) -> Column:
+        return let(value, body) if self.setting.binds else body(value)
+
     # ---- in ----
     # A result is a struct of a value and its issues. Documents are looked into once: what is found is bound by ``let``.
 
@@ -81,7 +87,7 @@ class Compiler:
         children = {f.input_name: v.child(f.input_name).raw for f in own}
         children = F.struct(*(probed(c).alias(f"c{k}") for k, c in enumerate(children.values())), v.has("object").alias("is_object"))
         names = [*dict.fromkeys(f.input_name for f in own)]
-        return let(children, lambda s: body(_Probed(v, {n: s[f"c{k}"] for k, n in enumerate(names)}, s["is_object"])))
+        return self._let(children, lambda s: body(_Probed(v, {n: s[f"c{k}"] for k, n in enumerate(names)}, s["is_object"])))
 
     def _body(self, fields: list[FieldSpec], known: set[str], v: Val, prefix: Column, depth: int) -> Column:
         below = {f.name: self._nested_field(f, v, prefix, depth) for f in fields if is_nested(f)}
@@ -101,7 +107,7 @@ class Compiler:
 
         if not below:
             return whole({})
-        return let(F.struct(*(r.alias(n) for n, r in below.items())), lambda r: whole({n: r[n] for n in below}))
+        return self._let(F.struct(*(r.alias(n) for n, r in below.items())), lambda r: whole({n: r[n] for n in below}))
 
     def _unknown(self, allowed: set[str], v: Val, prefix: Column) -> Column:
         if isinstance(v.shape, T.StructType):
@@ -139,7 +145,7 @@ class Compiler:
     def _nested_field(self, f: FieldSpec, record: Val, prefix: Column, depth: int) -> Column:
         v, path, gone, skipped = self._taken(f, record, prefix)
         inner = (self._nested if f.type.form in ("record", "records") else self._collection)(f, v, path, depth)
-        return let(inner, lambda r: result(*self._guarded(f, record, v, path, gone, skipped, r["value"], r["issues"])))
+        return self._let(inner, lambda r: result(*self._guarded(f, record, v, path, gone, skipped, r["value"], r["issues"])))
 
     @staticmethod
     def _guard(f: FieldSpec, v: Val) -> tuple[Column | None, Column]:
@@ -155,7 +161,7 @@ class Compiler:
         context = use.context if use is not None and use.context is not None else f.context
         constraints = use.rule.constraints_json if use is not None else None
         if callable(message):
-            message = message(f.name, value.output(), use.rule.constraints if use is not None else None)
+            message = message(f.name, value.output(), (use.rule.constraints if use is not None else None) or {})
         return message, context, constraints
 
     def _runs(self, use: RuleUse) -> bool:
@@ -248,7 +254,7 @@ class Compiler:
             if f.type.union:
                 return inner
             wrong = F.array(I.issue(path, "isObject", *self._extras(f, None, v)))
-            return let(inner, lambda r: result(r["value"], F.when(v.has("object"), r["issues"]).otherwise(wrong)))
+            return self._let(inner, lambda r: result(r["value"], F.when(v.has("object"), r["issues"]).otherwise(wrong)))
         own = self._broken(f, [u for u in f.rules if not u.each], v, path)
         return self._elements(f, v, path, own, one)
 
@@ -266,7 +272,7 @@ class Compiler:
             below = F.flatten(F.transform(r, lambda x: x["issues"]))
             return result(F.transform(r, lambda x: x["value"]), F.when(r.isNull(), wrong).otherwise(I.joined(([I.gathered(own)] if own else []) + [below])))
 
-        return let(each, whole)
+        return self._let(each, whole)
 
     def _tagged(self, f: FieldSpec, v: Val, at: Column, below: Column, depth: int) -> Column:
         """A union's value: a struct of the tag and one struct for each case, of which one is not null."""
@@ -287,7 +293,7 @@ class Compiler:
                 found = found.when(tag == name, r[name]["issues"])
             return result(F.struct(*values), found.otherwise(F.array(I.issue(at, I.BAD_TAG, None, context))))
 
-        return let(inner, whole)
+        return self._let(inner, whole)
 
     def visible_names(self, cls: type) -> list[str]:
         return [f.name for f in declared(cls).values() if f.takes_part(DECODE) and f.visible(DECODE, self.setting.groups)]
@@ -299,7 +305,7 @@ class Compiler:
             own = self._broken(f, [u for u in f.rules if not u.each], v, path)
             if cls is not None:
                 inner = self._elements(f, v, path, own, lambda x, at, below: self._deeper(f, x, below, depth))
-                return let(inner, lambda r: result(r["value"], I.joined([r["issues"], self._each_of(f, each, v, path)]))) if each else inner
+                return self._let(inner, lambda r: result(r["value"], I.joined([r["issues"], self._each_of(f, each, v, path)]))) if each else inner
             wrong = F.array(I.issue(path, "isArray", *self._extras(f, None, v)))
             if "array" not in v.kinds:
                 return result(F.lit(None).cast("string"), wrong)
@@ -323,7 +329,7 @@ class Compiler:
                 lists.append(self._each_of(f, each, v, path, F.transform(r, lambda e: e["value"]), v.entry_item))
             return result(value, F.when(v.has("object"), I.joined(lists)).otherwise(wrong))
 
-        return let(entries, whole)
+        return self._let(entries, whole)
 
     def _each_of(self, f: FieldSpec, uses: list[RuleUse], v: Val, path: Column, whole: Column | None = None, item=None) -> Column:
         whole, item = (v.get("array"), v.item) if whole is None else (whole, item)
@@ -409,7 +415,7 @@ class _Probed(Val):
     def __init__(self, v: Val, children: dict[str, Column], is_object: Column):
         object.__setattr__(self, "children", children)
         object.__setattr__(self, "is_object", is_object)
-        super().__init__(v.kinds, v.missing, v.null, raw=v.raw, type=v.type, element=v.element, shape=v.shape, null_as=v.null_as)
+        super().__init__(v.kinds, v.missing, v.null, raw=v.raw, type=v.type, element=v.element, shape=v.shape, null_as=v.null_as, names=v.names)
 
     def has(self, kind: str) -> Column:
         return self.is_object if kind == "object" else super().has(kind)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,15 +83,16 @@ class Engine:
             raise ContractError(f"{cls.__name__} is no sealed contract of this engine")
         return found
 
-    def _compiler(self, groups: Iterable[str] | None) -> C.Compiler:
+    def _compiler(self, groups: Iterable[str] | None, binds: bool = True) -> C.Compiler:
         if isinstance(groups, str) or groups is not None and not all(isinstance(g, str) for g in groups):
             raise ContractError("groups is a list of texts")
         c = self.config
-        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth))
+        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth, binds))
 
     def _whole(self, cls: type, schema: T.StructType, groups: Iterable[str] | None, document: str | None) -> Column:
         """The result of a row, compiled once for each contract, schema and set of groups."""
-        cls, compiler = self._contract(cls), self._compiler(groups)
+        cls = self._contract(cls)
+        compiler = self._compiler(groups, not C.uses_python(cls))
         key = (cls, schema.json(), compiler.setting.groups, document)
         if key not in self._plans:
             if document is None:
@@ -99,7 +100,8 @@ class Engine:
             elif isinstance(kind := schema[document].dataType, T.VariantType):
                 v = variant(F.col(f"`{document}`"))
             elif isinstance(kind, T.StringType):
-                v = variant(F.try_parse_json(F.col(f"`{document}`")))
+                text = F.col(f"`{document}`")
+                v = replace(variant(F.try_parse_json(text)), names=F.json_object_keys(text))
             else:
                 v = typed(F.col(f"`{document}`"), kind, self.config.null_as)
             self._plans[key] = compiler.record(cls, v, F.lit(""))
