@@ -89,6 +89,8 @@ class Val:
         """The object's keys: in their order in a text, sorted in a VARIANT."""
         if self.names is not None:
             return self.names
+        if "object" not in self.kinds:
+            return F.array().cast("array<string>")
         if self.shape is None or isinstance(self.shape, T.VariantType):
             return F.json_object_keys(F.to_json(self.kinds["object"]))
         if isinstance(self.shape, T.StructType):

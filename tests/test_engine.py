@@ -293,7 +293,7 @@ def test_typed_frames_agree_with_documents(spark):
         o = field(type=Leaf)
 
     rng = random.Random(0xC0FFEE)
-    rows = [(rng.choice([None, -1.0, 2.5]), rng.choice([None, "a", "abc"]), rng.choice([None, [], [1.0, -1.0]]), rng.choice([None, (1.0,), (None,)])) for _ in range(400)]
+    rows = [(rng.choice([None, -1.0, 2.5]), rng.choice([None, "a", "abc"]), rng.choice([None, [], [1.0, -1.0], [1.0]]), rng.choice([None, (1.0,), (None,)])) for _ in range(400)]
     df = spark.createDataFrame(rows, "n double, s string, l array<double>, o struct<v: double>")
     both = df.withColumn("doc", F.to_json(F.struct(*df.columns)))
     engine = sealed(A)
