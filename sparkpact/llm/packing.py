@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,13 @@ from pyspark.sql import functions as F
 from .common import durable, texts_of, utf8
 
 #: Chunks whose ids a Python worker keeps; a full cache is emptied.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
 END = b"\0\0\0\0"
 PIECE = "id long, piece int, start long, length long, ids_crc32 long, origin long"
 
 
 class ChunkIds:
-    """Token ids (little-endian 32 bit) of white-space-separated chunks, as the tokenizers library gives them."""
+    """Token ids (32 bit, in the byte order of the machine, which is little-endian) of white-space-separated chunks, as the tokenizers library gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,15 +47,13 @@ class ChunkIds:
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
-        known, parts = self.known, {}
-        for c in chunks:
-            if c not in known:
-                parts[c] = _parted(c)
-        new = list({p for own in parts.values() for p in own if p not in known})
+        known = self.known
+        parts = {c: _parted(c) for c in chunks.difference(known)}
+        new = list({p for own in parts.values() for p in own}.difference(known))
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
             encoded = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, encoded, strict=True))
+            known.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, encoded, strict=True))
         known.update((c, b"".join(map(known.__getitem__, own))) for c, own in parts.items() if len(own) > 1)
 
 
@@ -88,7 +87,7 @@ def document_pieces(df: DataFrame, path: str, size: int = 2048, id_col: str = "d
             ids, rows = batch.column("id").to_pylist(), []
             for a in range(0, len(ids), 512):
                 own = [split_chunks(t) for t in utf8(batch.column("text").slice(a, 512))]
-                chunks.learn({c for words in own for c in words})
+                chunks.learn(set().union(*own))
                 for doc, words in zip(ids[a : a + 512], own, strict=True):
                     data = memoryview(b"".join(map(chunks.known.__getitem__, words)) + END)
                     n = len(data) // 4
