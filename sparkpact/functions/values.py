@@ -77,7 +77,7 @@ class Val:
     def item(self, column: Column) -> "Val":
         """An element of the array, inside a higher-order function: null counts as null, not as missing."""
         if self.element is None or isinstance(self.element, T.VariantType):
-            return variant(column["x"], column["k"])
+            return variant(column["x"], column)
         return typed(column, self.element, "null")
 
     def plain_array(self) -> Column:
@@ -108,7 +108,7 @@ class Val:
 
     def entry_item(self, column: Column) -> "Val":
         if self.shape is None or isinstance(self.shape, T.VariantType):
-            return variant(column["x"], column["k"])
+            return variant(column["x"], column)
         return typed(column, self.shape.valueType if isinstance(self.shape, T.MapType) else T.StringType(), "null")
 
     def output(self, kind: str | None = None) -> Column:
@@ -148,9 +148,21 @@ def typed(c: Column, kind: T.DataType, null_as: str = "missing") -> Val:
     return Val({name: value}, raw=c, type=kind, element=kind.elementType if name == "array" else None, shape=kind if name == "object" else None, null_as=null_as, **flags)
 
 
+def _is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
+
+
 def probed(c: Column) -> Column:
-    """A variant with its type's name; finding the type is dear, so it is done once and handed on."""
-    return F.struct(c.alias("x"), F.coalesce(F.schema_of_variant(c), F.lit("")).alias("k"))
+    """A variant with its type's name and its plain value; both are dear to find, so it is done once and handed on."""
+    pair = F.struct(c.alias("x"), F.coalesce(F.schema_of_variant(c), F.lit("")).alias("k"))
+
+    def plain(p: Column) -> Column:
+        text = F.when(p["k"] == "STRING", F.try_variant_get(p["x"], "$", "string"))
+        number = F.when(_is_number(p["k"]), F.try_variant_get(p["x"], "$", "double"))
+        flag = F.when(p["k"] == "BOOLEAN", F.try_variant_get(p["x"], "$", "boolean"))
+        return F.struct(p["x"].alias("x"), p["k"].alias("k"), text.alias("s"), number.alias("n"), flag.alias("b"))
+
+    return let(pair, plain)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -158,14 +170,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def variant(c: Column, kind: Column | None = None) -> Val:
-    """A VARIANT column, with its type's name if that is known: SQL's null is missing, a variant null is null."""
-    kind = F.coalesce(F.schema_of_variant(c), F.lit("")) if kind is None else kind
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
+def variant(c: Column, probe: Column | None = None) -> Val:
+    """A VARIANT column, with what ``probed`` found if that is at hand: SQL's null is missing, a variant null is null."""
+    kind = F.coalesce(F.schema_of_variant(c), F.lit("")) if probe is None else probe["k"]
     kinds = {
-        "string": F.when(kind == "STRING", F.try_variant_get(c, "$", "string")),
-        "number": F.when(number, F.try_variant_get(c, "$", "double")),
-        "boolean": F.when(kind == "BOOLEAN", F.try_variant_get(c, "$", "boolean")),
+        "string": F.when(kind == "STRING", F.try_variant_get(c, "$", "string")) if probe is None else probe["s"],
+        "number": F.when(_is_number(kind), F.try_variant_get(c, "$", "double")) if probe is None else probe["n"],
+        "boolean": F.when(kind == "BOOLEAN", F.try_variant_get(c, "$", "boolean")) if probe is None else probe["b"],
         "date": F.when((kind == "DATE") | kind.startswith("TIMESTAMP"), F.try_variant_get(c, "$", "timestamp")),
         "array": F.when(kind.startswith("ARRAY<"), F.transform(F.try_variant_get(c, "$", "array<variant>"), probed)),
         "object": F.when(kind.startswith("OBJECT<"), c),

@@ -421,7 +421,7 @@ class _Probed(Val):
         return self.is_object if kind == "object" else super().has(kind)
 
     def child(self, key: str) -> Val:
-        return variant(self.children[key]["x"], self.children[key]["k"]) if key in self.children else super().child(key)
+        return variant(self.children[key]["x"], self.children[key]) if key in self.children else super().child(key)
 
 
 def as_variant(record: Column, optional: list[FieldSpec]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ContractError
-from ..functions.values import typed, variant
+from ..functions.values import let, probed, typed, variant
 from . import compile as C
 from . import issues as I
 from .field import DECODE, ENCODE, check, declared
@@ -97,16 +97,23 @@ class Engine:
         if key not in self._plans:
             if document is None:
                 v = C.root([(f.name, f.dataType) for f in schema.fields], self.config.null_as)
-            elif isinstance(kind := schema[document].dataType, T.VariantType):
-                v = variant(F.col(f"`{document}`"))
-            elif isinstance(kind, T.StringType):
-                text = F.col(f"`{document}`")
-                v = replace(variant(F.try_parse_json(text)), names=F.json_object_keys(text))
+            elif isinstance(kind := schema[document].dataType, (T.VariantType, T.StringType)):
+                self._plans[key] = self._document(compiler, cls, F.col(f"`{document}`"), isinstance(kind, T.StringType))
+                return self._plans[key]
             else:
                 v = typed(F.col(f"`{document}`"), kind, self.config.null_as)
             self._plans[key] = compiler.record(cls, v, F.lit(""))
         return self._plans[key]
 
+    @staticmethod
+    def _document(compiler: C.Compiler, cls: type, column: Column, is_text: bool) -> Column:
+        """A document's result: it is parsed once, and its keys are read in the text's order."""
+        names = F.json_object_keys(column) if is_text else None
+        parsed = F.try_parse_json(column) if is_text else column
+        if not compiler.setting.binds:
+            return compiler.record(cls, replace(variant(parsed), names=names), F.lit(""))
+        return let(probed(parsed), lambda p: compiler.record(cls, replace(variant(p["x"], p), names=names), F.lit("")))
+
     def columns(self, cls: type, schema: T.StructType, groups: Iterable[str] | None = None, document: str | None = None) -> tuple[Column, Column]:
         """(value, issues) for a frame of this schema."""
         whole = self._whole(cls, schema, groups, document)
