@@ -85,11 +85,10 @@ def number_text(c: Column) -> Column:
     )
 
 
-def decimal_places(c: Column) -> Column:
-    """How many decimals a double needs: the smallest k of 0 to 22 with round(v * 10^k) / 10^k = v."""
-    k = F.sequence(F.lit(0), F.lit(22))
-    fits = F.filter(k, lambda n: F.rint(c * F.pow(F.lit(10.0), n)) / F.pow(F.lit(10.0), n) == c)
-    return F.coalesce(F.element_at(fits, 1), F.lit(23))
+def at_most_decimals(c: Column, n: int) -> Column:
+    """Whether a double is whole, or is the nearest double to some number of n decimals."""
+    factor = F.lit(float(10**n))
+    return (F.rint(c) == c) | (F.rint(c * factor) / factor == c)
 
 
 #: What a text must look like to be a number or a date when it is converted.

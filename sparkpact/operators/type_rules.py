@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ContractError
-from ..functions.compat import decimal_places, is_finite
+from ..functions.compat import at_most_decimals, is_finite
 from ..functions.values import Val, is_literal
 from .rule import Rule
 
@@ -31,7 +31,7 @@ def is_number(*, allow_nan: bool | None = None, allow_infinity: bool | None = No
     def test(v: Val) -> Column:
         c = v.get("number")
         infinite = F.abs(c) == F.lit(float("inf"))
-        finite = F.lit(True) if max_decimal_places is None else decimal_places(c) <= max_decimal_places
+        finite = F.lit(True) if max_decimal_places is None else at_most_decimals(c, max_decimal_places)
         return v.has("number") & F.when(F.isnan(c), F.lit(bool(allow_nan))).when(infinite, F.lit(bool(allow_infinity))).otherwise(finite)
 
     given = {"allowNaN": allow_nan, "allowInfinity": allow_infinity, "maxDecimalPlaces": max_decimal_places}
