@@ -9,13 +9,18 @@ A key that more than ``max_bucket`` fingerprints share is cut once more: of the
 leave all but d of 16 finer pieces alike, and every choice of them is a finer key. A finer key fixes all but
 a few bits, so it is small by construction. No fingerprint is left out.
 
+``drop_similar`` asks for texts of a given Jaccard similarity instead of fingerprints of a given distance. At similarity 0.8
+some 15 % of the bits differ, too many for whole blocks to be promised alike, so it takes a longer fingerprint (``SPAN``
+words of 64 bits) of the set of shingles, samples many keys from its bits, and verifies every link that a key proposes by
+the exact similarity of the two sets. Texts with equal sets are one node.
+
 Null and empty texts have fingerprint 0, which links like any other. Rows with a null id take part; a group of only such
 rows has a null component. Repeated rows, empty tables and further columns are handled without special cases.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,16 +34,25 @@ from .common import durable, map_texts, texts_of, utf8
 from .components import connected_components
 
 SEED = 42
+#: Words of 64 bits in the long fingerprint.
+SPAN = 8
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The majority of the bits of the XXH64 of all shingles; a tie is 0."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The XXH64 of all shingles, in the text's order."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, SEED) for s in shingles], "<u8")
+    return np.array([digest(s, SEED) for s in shingles], "<u8")
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """The majority of the bits of the XXH64 of all shingles; a tie is 0."""
+    h = shingle_hashes(text, width)
+    if not len(h):
+        return 0
     votes = np.zeros(64, np.int64)
     for a in range(0, len(h), 65_536):
         votes += np.unpackbits(h[a : a + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -147,14 +161,149 @@ def links(prints: DataFrame, distance: int = 3, blocks: int = 6, max_bucket: int
     return found.unionAll(_buckets(again, distance, None).select("a", "b"))
 
 
-def _groups(docs: DataFrame, distance: int, blocks: int) -> DataFrame:
+def set_node(hashes: np.ndarray) -> int:
+    """One name for all texts with the same set of shingles (their sorted hashes); 0 for the empty set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
+
+
+def long_print(hashes: np.ndarray) -> np.ndarray:
+    """The majority of ``SPAN`` words of bits made of each hash of a set; of a tie the smallest hash decides."""
+    votes, first = np.zeros(64 * SPAN, np.int64), np.zeros(64 * SPAN, np.uint8)
+    salts = (np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for a in range(0, len(hashes), 255):  # sums of 255 bits fit in a byte
+        with np.errstate(over="ignore"):
+            h = hashes[a : a + 255, None] + salts
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        if not a:
+            first = bits[0]
+        votes += bits.sum(0, dtype=np.uint8)
+    return np.packbits(2 * votes + first > len(hashes), bitorder="little").view("<u8")
+
+
+def sampled_places(bands: int, bits: int) -> np.ndarray:
+    """(bands, bits) places of the long fingerprint: none in word band % SPAN, which checks those that meet under the key."""
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.permutation([b for b in range(64 * SPAN) if b // 64 != band % SPAN])[:bits] for band in range(bands)])
+
+
+def close_pairs(keys: np.ndarray, checks: np.ndarray, distance: int, small: int = 32, window: int = 4096, nearest: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places with equal keys whose checks differ in at most ``distance`` bits. keys are sorted, checks sorted within a key.
+
+    Of a key that more than ``small`` share, a spanning forest of its close pairs and the ``nearest`` of each member stand
+    for all pairs, within overlapping runs of ``window`` neighbours: their number grows with the members, not their square.
+    """
+    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    sizes = np.diff(cuts)
+    left, right = [], []
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= small), sizes))
+    for step in range(1, small):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(checks[at] ^ checks[at + step]) <= distance]
+        left.append(near)
+        right.append(near + step)
+    for k in np.flatnonzero(sizes > small).tolist():
+        for x in range(int(cuts[k]), int(cuts[k + 1]), window // 2):
+            own = checks[x : min(x + window, int(cuts[k + 1]))]
+            if len(own) < 2:
+                continue
+            pairs = set(forest(own, distance))
+            for a in range(0, len(own), 256):
+                apart = np.bitwise_count(own[a : a + 256, None] ^ own[None, :]).astype(np.int16)
+                apart[np.arange(len(apart)), np.arange(a, a + len(apart))] = 999
+                best = np.argpartition(apart, min(nearest, len(own) - 1), axis=1)[:, :nearest]
+                row, col = np.nonzero(np.take_along_axis(apart, best, 1) <= distance)
+                pairs |= set(zip((row + a).tolist(), best[row, col].tolist(), strict=True))
+            if pairs:
+                i, j = np.array(sorted(pairs)).T
+                left.append(i + x)
+                right.append(j + x)
+            if x + window >= cuts[k + 1]:
+                break
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _candidates(nodes: DataFrame, bands: int, bits: int, distance: int) -> DataFrame:
+    """nodes(print, w0, w1, ...) to distinct pairs (a, b) of nodes that meet under a key and pass its check."""
+    places, powers = sampled_places(bands, bits), 1 << np.arange(bits)
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                words = np.stack([batch.column(f"w{k}").to_numpy() for k in range(SPAN)], axis=1)
+                on = np.unpackbits(words.astype("<i8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+                keys = np.stack([on[:, own] @ powers for own in places], axis=1) + (np.arange(bands) << bits)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "check": pa.array(words[:, np.arange(bands) % SPAN].ravel()), "node": pa.array(np.repeat(batch.column("print").to_numpy(), bands))})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+
+        def done(key: np.ndarray, check: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(key):
+                i, j = close_pairs(key, check.view(np.uint64), distance)
+                if len(i):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(node[i], node[j])), "b": pa.array(np.minimum(node[i], node[j]))})
+
+        for batch in batches:
+            if batch.num_rows:
+                held = [np.concatenate((h, batch.column(k).to_numpy())) for k, h in enumerate(held)]
+                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+                yield from done(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+        yield from done(*held)
+
+    keyed = nodes.select("print", *(f"w{k}" for k in range(SPAN))).mapInArrow(enter, "key long, check long, node long")
+    return keyed.repartition("key").sortWithinPartitions("key", "check").mapInArrow(meet, "a long, b long").distinct()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets of hashes, each without repeats; that of two empty sets is 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts(text) have at least the similarity."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_node(np.unique(shingle_hashes(t, width))) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("text")], names=["node", "text"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            nodes = [batch.column(c).to_pylist() for c in "ab"]
+            for c, own in zip(("left", "right"), nodes, strict=True):
+                for k, node in enumerate(own):
+                    if node not in sets:
+                        sets[node] = np.unique(shingle_hashes((batch.column(c)[k].as_py() or "").encode(), width))
+            alike = [jaccard(sets[a], sets[b]) >= similarity for a, b in zip(*nodes, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    ends = pairs.select(F.col("a").alias("end")).unionAll(pairs.select("b")).distinct()
+    held = texts.mapInArrow(name, "node long, text string").join(ends, F.col("node") == F.col("end"), "left_semi")
+    held = durable(held.groupBy("node").agg(F.min("text").alias("text")))
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+
+
+def _groups(docs: DataFrame, link: Callable[[DataFrame], DataFrame], extra: tuple[str, ...] = ()) -> DataFrame:
     """docs(id, print, ...) to (print, component, component_id, copies) of each distinct fingerprint.
 
     component_id is the smallest id of the component; copies is the largest number of rows with one fingerprint and id.
+    link gives the links of the distinct fingerprints and their ``extra`` columns, which follow from the fingerprint.
     """
-    counted = docs.groupBy("print", "id").agg(F.count("*").alias("n"))
-    prints = durable(counted.groupBy("print").agg(F.min("id").alias("first_id"), F.max("n").alias("copies")))
-    parts = connected_components(links(prints.select("print"), distance, blocks))
+    counted = docs.groupBy("print", "id").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in extra))
+    prints = durable(counted.groupBy("print").agg(F.min("id").alias("first_id"), F.max("n").alias("copies"), *(F.min(c).alias(c) for c in extra)))
+    parts = connected_components(link(prints.select("print", *extra)))
     named = prints.join(parts, prints["print"] == parts["node"], "left").withColumn("component", F.coalesce("component", "print")).drop("node")
     # rows without an id come last; of equal ids the smallest fingerprint's
     best = named.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "print")).alias("best"))
@@ -165,21 +314,19 @@ def _groups(docs: DataFrame, distance: int, blocks: int) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
     """(id, print, component_id): one row per input row."""
     docs = fingerprints(df, id_col, text_col, width)
-    found = docs.join(_groups(docs, distance, blocks).select("print", "component_id"), "print")
+    found = docs.join(_groups(docs, lambda prints: links(prints, distance, blocks)).select("print", "component_id"), "print")
     return found.select(F.col("id").alias(id_col), "print", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 5, blocks: int = 8) -> DataFrame:
-    """The rows of df, one for each component: the one with the smallest id."""
-    docs = fingerprints(df, id_col, text_col, width)
-    groups = durable(_groups(docs, distance, blocks))
+def _keep(df: DataFrame, groups: DataFrame, print_of: Callable[[bytes], int], id_col: str, text_col: str) -> DataFrame:
+    """The rows of df, one for each component of the groups: the one with the smallest id."""
     kept = groups.where("print = best_print").select("print", "component_id", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                prints = np.array([fingerprint(t, width) for t in utf8(batch.column("text"))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints)], names=["row", "print"])
+                prints = pa.array([print_of(t) for t in utf8(batch.column("text"))], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), prints], names=["row", "print"])
 
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = T.StructType([rows.schema["row"], T.StructField("print", T.LongType())])
@@ -190,5 +337,35 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.select("row.*")
 
 
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 5, blocks: int = 8) -> DataFrame:
+    """The rows of df, one for each component: the one with the smallest id."""
+    docs = fingerprints(df, id_col, text_col, width)
+    groups = durable(_groups(docs, lambda prints: links(prints, distance, blocks)))
+    return _keep(df, groups, lambda t: int(np.uint64(fingerprint(t, width)).view(np.int64)), id_col, text_col)
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 128, bits: int = 18, distance: int = 17) -> DataFrame:
+    """The rows of df, one for each component of texts whose shingle sets have the Jaccard similarity: the one with the smallest id.
+
+    The defaults of the search are made for similarities of 0.8 and more: bands keys of ``bits`` bits, ``distance`` of 64
+    bits for the check. Every link is verified.
+    """
+
+    def each(ids: pa.Array, texts: list[bytes]) -> dict:
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+        words = np.stack([long_print(h) for h in sets]).view(np.int64)
+        return {"id": ids, "print": pa.array([set_node(h) for h in sets], pa.int64())} | {f"w{k}": pa.array(words[:, k]) for k in range(SPAN)}
+
+    def link(nodes: DataFrame) -> DataFrame:
+        # texts without words have equal sets, and are like no others
+        pairs = durable(_candidates(nodes.where("print <> 0"), bands, bits, distance))
+        return _verified(pairs, df.select(F.col(f"`{text_col}`").cast("string").alias("text")), width, similarity)
+
+    extra = tuple(f"w{k}" for k in range(SPAN))
+    docs = map_texts(texts_of(df, id_col, text_col), "id long, print long, " + ", ".join(f"{c} long" for c in extra), each)
+    groups = durable(_groups(docs, link, extra))
+    return _keep(df, groups, lambda t: set_node(np.unique(shingle_hashes(t, width))), id_col, text_col)
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

@@ -100,3 +100,44 @@ def test_empty_and_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(chain).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def edited(rng, similarity):
+    """A text and a copy with single words replaced, of a shingle similarity just at or above the given one, or just below."""
+    a = words(rng, rng.choice([12, 40, 120, 400]), 10**9)
+    b, last = list(a), list(a)
+    for at in rng.sample(range(len(a)), len(a)):
+        last, b = b, list(b)
+        b[at] = f"new{rng.randrange(10**9)}"
+        x, y = shingle_set(" ".join(a)), shingle_set(" ".join(b))
+        if len(x & y) / len(x | y) < similarity:
+            return " ".join(a), " ".join(last), " ".join(b)
+
+
+def test_similar_texts_against_brute_force_jaccard(spark):
+    rng, rows = random.Random(3), odd_documents()
+    for k in range(150):
+        a, near, far = edited(rng, 0.8)
+        rows += [(1000 + 10 * k, a, "en", 0, "", 0), (1001 + 10 * k, near if k % 2 else far, "en", 0, "", 0)]
+    base = words(rng, 200, 10**9)
+    for k in range(80):  # a crowd, of members up to 0.75 alike and of chains
+        base = list(base)
+        base[rng.randrange(200)] = f"new{k}"
+        rows.append((5000 + k, " ".join(base), "en", 0, "", 0))
+    sets = [shingle_set(r[1]) for r in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    groups = components(pairs, range(len(rows)))
+    best = {}
+    for k, g in groups.items():
+        key = (rows[k][0] is None, rows[k][0])
+        best[g] = min(best.get(g, key), key)
+    want = {str(b[1]) for b in best.values()}
+    got = {str(r.doc_id) for r in H.drop_similar(frame(spark, rows)).collect()}
+    assert not want - got  # nothing below the similarity is joined
+    assert len(got - want) <= 1
+    assert H.drop_similar(frame(spark, [])).count() == 0
