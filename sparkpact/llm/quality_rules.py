@@ -1,9 +1,9 @@
 """Quality rules: plain base counts, then the divergence of a document's histograms from its language's reference.
 
-Two histograms are compared by Jensen-Shannon distance: character classes, and the share of each common word of the
-language (with one bin for all other words). The references are the corpus's own: one pass takes the mean of the
-histograms of all documents of each known language, which has a fixed size. A document is rejected if a distance passes its threshold;
-documents below ``min_words`` words are not judged by distance. A document in an unknown language is compared with every
+Three histograms are compared by Jensen-Shannon distance: character classes, the share of each common word of the
+language (with one bin for all other words), and single symbols such as '|' beside the number of words. The references are the corpus's own: one pass takes the mean of the
+histograms of all documents of each known language, which has a fixed size. A document is rejected if a distance passes its threshold,
+which falls with the number of words as sampling noise does; documents below ``min_words`` words are not judged by distance. A document in an unknown language is compared with every
 reference and judged by the nearest.
 
 Null and empty texts have no words and fail the base rule; texts of any length are counted whole; repeated rows are judged
@@ -36,6 +36,7 @@ for _k, _bytes in enumerate(_KINDS):
     CLASS_OF[list(_bytes)] = _k
 CLASSES = np.eye(len(_KINDS) + 1)[CLASS_OF]
 CLASSES[0x80:0xC0] = 0  # the rest of a character that is counted already
+SYMBOLS = list(_KINDS[6])
 _CONTINUES = bytes(range(0x80, 0xC0))
 _WHITE = b" \t\n\r\x0b\x0c"
 
@@ -44,6 +45,16 @@ def class_histogram(text: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ CLASSES
 
 
+def symbol_histogram(text: bytes, words: float) -> np.ndarray:
+    """The number of words and that of each symbol."""
+    return np.concatenate(([words], np.bincount(np.frombuffer(text, np.uint8), minlength=256)[SYMBOLS]))
+
+
+def limit(floor: float, noise: float, words: int) -> float:
+    """The threshold of a distance for a text of so many words."""
+    return floor + noise / np.sqrt(words)
+
+
 def word_histograms(text: bytes, languages: list[str]) -> dict[str, np.ndarray]:
     """For each language the counts of its common words and of all others."""
     words = text.translate(TO_WORDS).split()
@@ -103,20 +114,20 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), len(solid.translate(None, _CONTINUES)), len(text) - len(text.translate(None, b"#*$%&|<>")), again, repeated_words(words)
 
 
-def references(docs: DataFrame, min_words: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def references(docs: DataFrame, min_words: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The mean histograms of all documents of ``min_words`` words of each known language: len(COMMON) short rows.
 
     Every document counts alike, so a few very long ones don't set the reference.
     """
-    bins = {lang: len(CLASSES[0]) + len(words) + 1 for lang, words in COMMON.items()}
+    bins = {lang: len(CLASSES[0]) + len(words) + 1 + len(SYMBOLS) + 1 for lang, words in COMMON.items()}
 
     def each(batches):
         total = {lang: np.zeros(n) for lang, n in bins.items()}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
                 if lang in total and (words := word_histograms(text, [lang])[lang]).sum() >= min_words:
-                    classes = class_histogram(text)
-                    total[lang] += np.concatenate((classes / classes.sum(), words / words.sum()))
+                    found = class_histogram(text), words, symbol_histogram(text, words.sum())
+                    total[lang] += np.concatenate([h / h.sum() for h in found])
         yield pa.RecordBatch.from_pydict({"lang": pa.array([*total]), "sums": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
 
     parts = docs.where(F.col("lang").isin(*COMMON)).mapInArrow(each, "lang string, sums array<double>")
@@ -128,13 +139,14 @@ def references(docs: DataFrame, min_words: int = 50) -> dict[str, tuple[np.ndarr
             if r["lang"] == lang:
                 v[r["pos"]] = r["n"]
         if v.sum():
-            out[lang] = (v[: len(CLASSES[0])], v[len(CLASSES[0]) :])
+            out[lang] = tuple(np.split(v, [len(CLASSES[0]), len(v) - len(SYMBOLS) - 1]))
     return out
 
 
-def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_class_distance: float = 0.30, max_word_distance: float = 0.37, keep: bool = False) -> DataFrame:
+def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, class_limit: tuple[float, float] = (0.14, 1.0), word_limit: tuple[float, float] = (0.09, 2.0), symbol_limit: tuple[float, float] = (0.25, 0.4), keep: bool = False) -> DataFrame:
     """The base counts, class_distance, word_distance (null if not judged), base_failed and kept of every row.
 
+    The limits are a floor and what is added for sampling noise in a text of one word. The symbols' distance is judged too.
     keep: hand on all columns of df instead, of the rows that are kept.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -148,8 +160,10 @@ def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return n, chars, symbols, dup, repeat, None, None, failed, not failed
         own = [lang] if lang in known else names
         classes, words = class_histogram(text), word_histograms(text, own)
-        by_class, by_word = min((jensen_shannon(classes, known[x][0]), jensen_shannon(words[x], known[x][1])) for x in own)
-        return n, chars, symbols, dup, repeat, by_class, by_word, failed, not failed and by_class <= max_class_distance and by_word <= max_word_distance
+        by_class, by_word, nearest = min((jensen_shannon(classes, known[x][0]), jensen_shannon(words[x], known[x][1]), x) for x in own)
+        by_symbol = jensen_shannon(symbol_histogram(text, words[nearest].sum()), known[nearest][2])
+        good = by_class <= limit(*class_limit, n) and by_word <= limit(*word_limit, n) and by_symbol <= limit(*symbol_limit, n)
+        return n, chars, symbols, dup, repeat, by_class, by_word, failed, bool(not failed and good)
 
     if keep:
 

@@ -65,3 +65,20 @@ def test_jensen_shannon():
 
     a, b = np.array([1.0, 0, 0]), np.array([0, 2.0, 2.0])
     assert Q.jensen_shannon(a, a * 7) == 0 and abs(Q.jensen_shannon(a, b) - 1) < 1e-12 and Q.jensen_shannon(a, a * 0) == 1
+
+
+def test_lists_of_words_between_bars_go(spark):
+    rng = random.Random(8)
+    lists = [(500 + k, " | ".join(prose(rng, 1).strip(".") for _ in range(60 + 20 * k)), "en", 0, "", 0) for k in range(12)]
+    got = {r.doc_id: r for r in Q.judge_quality(frame(spark, corpus() + lists)).collect()}
+    assert not any(got[500 + k].kept for k in range(12))
+    assert all(got[100 + k].kept for k in range(80))
+
+
+def test_labelled_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    found = Q.judge_quality(docs).join(labels, "doc_id").where("doc_id % 2 = 1")  # the thresholds were set on even ids
+    n = {(r.quality, r.kept): r.n for r in found.groupBy("quality", "kept").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    print(n, found.where("quality = 1 AND NOT kept AND NOT base_failed").count())
+    assert n[0, True] < 0.03 * (n[0, True] + n[0, False])
+    assert found.where("quality = 1 AND NOT kept AND NOT base_failed").count() == 0
