@@ -4,7 +4,7 @@ Three histograms are compared by Jensen-Shannon distance: character classes, the
 language (with one bin for all other words), and single symbols such as '|' beside the number of words. The references are the corpus's own: one pass takes the mean of the
 histograms of all documents of each known language, which has a fixed size. A document is rejected if a distance passes its threshold,
 which falls with the number of words as sampling noise does; documents below ``min_words`` words are not judged by distance. A document in an unknown language is compared with every
-reference and judged by the nearest.
+reference and judged by the one whose common words are nearest.
 
 Null and empty texts have no words and fail the base rule; texts of any length are counted whole; repeated rows are judged
 alike; an empty table gives an empty result; further columns are not read.
@@ -160,7 +160,7 @@ def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return n, chars, symbols, dup, repeat, None, None, failed, not failed
         own = [lang] if lang in known else names
         classes, words = class_histogram(text), word_histograms(text, own)
-        by_class, by_word, nearest = min((jensen_shannon(classes, known[x][0]), jensen_shannon(words[x], known[x][1]), x) for x in own)
+        by_word, by_class, nearest = min((jensen_shannon(words[x], known[x][1]), jensen_shannon(classes, known[x][0]), x) for x in own)
         by_symbol = jensen_shannon(symbol_histogram(text, words[nearest].sum()), known[nearest][2])
         good = by_class <= limit(*class_limit, n) and by_word <= limit(*word_limit, n) and by_symbol <= limit(*symbol_limit, n)
         return n, chars, symbols, dup, repeat, by_class, by_word, failed, bool(not failed and good)

@@ -82,3 +82,15 @@ def test_labelled_documents(spark):
     print(n, found.where("quality = 1 AND NOT kept AND NOT base_failed").count())
     assert n[0, True] < 0.03 * (n[0, True] + n[0, False])
     assert found.where("quality = 1 AND NOT kept AND NOT base_failed").count() == 0
+
+
+def test_hidden_language_changes_no_verdict_of_clean_text(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    hidden = docs.withColumn("doc_id", -1 - F.col("doc_id")).withColumn("lang", F.lit(None).cast("string"))
+    found = Q.judge_quality(docs.unionByName(hidden)).select("doc_id", "kept", "n_words")
+    clean = found.join(labels.where("quality = 1"), "doc_id").where("kept AND n_words >= 50")
+    lost = clean.select((-1 - F.col("doc_id")).alias("doc_id")).join(found.where("NOT kept"), "doc_id")
+    assert clean.count() > 200
+    assert lost.count() == 0
