@@ -77,7 +77,7 @@ def test_lists_of_words_between_bars_go(spark):
 
 def test_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
-    found = Q.judge_quality(docs).join(labels, "doc_id").where("doc_id % 2 = 1")  # the thresholds were set on even ids
+    found = Q.judge_quality(docs).join(labels, "doc_id").where("doc_id % 2 = 1")  # the thresholds were set mainly on even ids
     n = {(r.quality, r.kept): r.n for r in found.groupBy("quality", "kept").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
     print(n, found.where("quality = 1 AND NOT kept AND NOT base_failed").count())
     assert n[0, True] < 0.03 * (n[0, True] + n[0, False])
