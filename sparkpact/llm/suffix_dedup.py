@@ -12,8 +12,13 @@ The suffixes of all texts are dealt into shards such that suffixes alike on ``le
    backwards, are sorted by deep-shallow sorting (all contexts of a shard agree on the anchor's bytes, so both are sorts
    of strings with long common prefixes). The common prefixes of neighbours in these two orders tell for every suffix of
    every context whether another one agrees with it on ``length`` bytes.
-4. A shard of more than ``max_contexts`` contexts is dealt again by the hash of each of its whole windows, where only equal
-   suffixes meet, and is counted instead of sorted.
+4. A shard of more than ``max_contexts`` contexts is dealt once more. The distances from a window's start to its anchor are
+   parted into ``PARTS`` ranges; all windows of a range hold one longer string around the anchor, which is the finer shard.
+   These are sorted in the same way. A finer shard that is still too large is dealt by single distances: there the string
+   is the whole window, all suffixes of a shard agree on ``length`` bytes, and nothing is left to sort.
+
+Texts are hashed in slices of ``SLICE`` bytes that overlap by a window; a run of windows that a slice's edge cuts is joined
+again. So a task's memory does not grow with a text beyond the text itself.
 
 Null and empty texts lose nothing. Documents are told apart by id and a hash of their text; rows alike in both are copies
 of each other, and so repeat each other. Empty tables give empty results; further columns are not read.
@@ -38,7 +43,11 @@ _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _KEY = ("id", "text_hash")
 #: Bytes of text that are hashed together in a task.
-CHUNK = 4 << 20
+SLICE = 256 << 10
+#: Ranges of anchor distances that a crowded shard is parted into.
+PARTS = 8
+#: Bytes of contexts in a batch.
+BATCH = 4 << 20
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -71,61 +80,89 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def occurrences(texts: list[bytes], length: int, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...] | None:
-    """(text, first start, windows, anchor's distance from the first start, anchor's hash) of every occurrence."""
+def picked_anchors(data: bytes, length: int, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the anchor of every window of the data, and the hash of the string at every place."""
+    h = gram_hashes(np.frombuffer(data, np.uint8).astype(np.uint64), gram, powers)
+    ranked = h & np.uint64(0xFFFFFFFF00000000)
+    ranked |= np.arange(len(h), dtype=np.uint64)
+    least = sliding_least(ranked, length - gram + 1)
+    least &= np.uint64(0xFFFFFFFF)
+    return least.astype(np.int64), h
+
+
+def _runs(starts: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each run of neighbouring windows with one anchor, and the run's number of windows."""
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(starts) != 1) | (np.diff(picked) != 0))))
+    return first, np.diff(np.append(first, len(starts)))
+
+
+def _of_many(texts: list[bytes], length: int, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...] | None:
     lengths = np.array([len(t) for t in texts], np.int64)
-    data = b"".join(texts)
     if not (lengths >= length).any():
         return None
-    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
-    h = gram_hashes(raw, gram, powers)
-    places = np.arange(len(h), dtype=np.uint64)
-    anchor = (sliding_least((h & np.uint64(0xFFFFFFFF00000000)) | places, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    anchor, h = picked_anchors(b"".join(texts), length, gram, powers)
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     inside = np.zeros(len(anchor) + 1, np.int32)
     long = np.flatnonzero(lengths >= length)
     np.add.at(inside, offsets[long], 1)
     np.add.at(inside, offsets[long + 1] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(inside[:-1]))
-    picked = anchor[starts]
-    first = np.flatnonzero(np.concatenate(([True], (np.diff(starts) != 1) | (np.diff(picked) != 0))))
-    windows = np.diff(np.append(first, len(starts)))
-    low, at = starts[first], picked[first]
+    first, windows = _runs(starts, anchor[starts])
+    low, at = starts[first], anchor[starts[first]]
     text = np.searchsorted(offsets, low, side="right") - 1
     return text, low - offsets[text], windows, at - low, h[at]
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _of_one(text: bytes, length: int, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same for a long text, slice by slice; the last run of a slice waits for the next one's windows."""
+    held = None
+    total = len(text) - length + 1
+    for a in range(0, total, SLICE):
+        anchor, h = picked_anchors(text[a : a + SLICE + length - 1], length, gram, powers)
+        first, windows = _runs(np.arange(len(anchor)), anchor)
+        own = [first + a, windows, anchor[first] + a, h[anchor[first]]]
+        if held is not None:
+            if held[2][0] == own[2][0]:
+                own[0][0], own[1][0] = held[0][0], own[1][0] + held[1][0]
+            else:
+                own = [np.concatenate(c) for c in zip(held, own, strict=True)]
+        if a + SLICE < total:
+            held, own = [c[-1:] for c in own], [c[:-1] for c in own]
+        low, windows, at, marks = own
+        yield np.zeros(len(low), np.int64), low, windows, at - low, marks
+
+
+def occurrences(texts: list[bytes], length: int, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, first start, windows, anchor's distance from the first start, anchor's hash) of every occurrence, in parts."""
     a, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield a, k
+    for k in range(len(texts) + 1):
+        n = len(texts[k]) if k < len(texts) else 0
+        if k == len(texts) or size + n > SLICE:
+            if a < k and (found := _of_many(texts[a:k], length, gram, powers)) is not None:
+                yield found[0] + a, *found[1:]
             a, size = k, 0
-        size += len(t)
-    yield a, len(texts)
+        if n > SLICE:
+            for found in _of_one(texts[k], length, gram, powers):
+                yield found[0] + k, *found[1:]
+            a, size = k + 1, 0
+        else:
+            size += n
 
 
 def all_occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(anchor, c1, c2, id, text_hash, start, windows, ahead): c1 and c2 are a 128-bit hash of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers: tuple = ()
+        powers = (_powers(_BASE, SLICE + length + 1), _powers(_INVERSE, SLICE + length + 1))
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            every = utf8(batch.column("text"))
+            texts = utf8(batch.column("text"))
             ids, marks = (batch.column(c).to_numpy() for c in _KEY)
-            for x, y in _chunks(every):
-                texts = every[x:y]
-                n = sum(map(len, texts))
-                if not powers or len(powers[0]) < n:
-                    powers = (_powers(_BASE, n + 1), _powers(_INVERSE, n + 1))
-                if (found := occurrences(texts, length, gram, powers)) is None:
-                    continue
-                text, start, windows, ahead, h = found
-                digest = xxhash.xxh3_128_digest
+            for text, start, windows, ahead, h in occurrences(texts, length, gram, powers):
                 c = b"".join([digest(texts[t][a : a + w + length - 1]) for t, a, w in zip(text.tolist(), start.tolist(), windows.tolist(), strict=True)])
                 c = np.frombuffer(c, ">i8").astype(np.int64).reshape(-1, 2)
                 # the anchor's place is part of the context: the same bytes always have it at the same place
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array(h.view(np.int64)), "c1": pa.array(np.ascontiguousarray(c[:, 0])), "c2": pa.array(np.ascontiguousarray(c[:, 1])), "id": pa.array(ids[x + text]), "text_hash": pa.array(marks[x + text]), "start": pa.array(start.astype(np.int32)), "windows": pa.array(windows.astype(np.int32)), "ahead": pa.array(ahead.astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(h.view(np.int64)), "c1": pa.array(np.ascontiguousarray(c[:, 0])), "c2": pa.array(np.ascontiguousarray(c[:, 1])), "id": pa.array(ids[text]), "text_hash": pa.array(marks[text]), "start": pa.array(start.astype(np.int32)), "windows": pa.array(windows.astype(np.int32)), "ahead": pa.array(ahead.astype(np.int32))})
 
     return docs.mapInArrow(run, "anchor long, c1 long, c2 long, id long, text_hash long, start int, windows int, ahead int")
 
@@ -171,8 +208,11 @@ def repeated_suffixes(contexts: list[tuple[bytes, bytes]], length: int, gram: in
     return found
 
 
-def _sorted_shards(bytes_of: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, c1, c2, n, ahead, windows, data) to (anchor, c1, c2, spans), for contexts seen once."""
+_CONTEXT = ("shard", "anchor", "c1", "c2", "n", "ahead", "windows", "low", "high", "data")
+
+
+def _sorted_shards(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """_CONTEXT to (anchor, c1, c2, spans) of contexts seen once: starts of their repeated windows, of distances low to high."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, at = [], set(), None
@@ -181,12 +221,12 @@ def _sorted_shards(bytes_of: DataFrame, length: int, gram: int) -> DataFrame:
         def done() -> None:
             if len(held) < 2:
                 return
-            parts = [(d[:a][::-1], d[a:]) for *_, a, _, d in held]
-            for (anchor, c1, c2, n, ahead, windows, _), spans in zip(held, repeated_suffixes(parts, length, gram), strict=True):
+            parts = [(data[:ahead][::-1], data[ahead:]) for *_, ahead, _, _, _, data in held]
+            for (_, anchor, c1, c2, n, ahead, windows, low, high, _), spans in zip(held, repeated_suffixes(parts, length, gram), strict=True):
                 if n > 1 or not spans:
                     continue
                 # distances before the anchor become starts from the context's first
-                own = [(max(0, ahead - high), min(windows - 1, ahead - low)) for low, high in spans]
+                own = [(max(0, ahead - min(y, high)), min(windows - 1, ahead - max(x, low))) for x, y in spans]
                 out.append((anchor, c1, c2, [{"a": a, "b": b} for a, b in own if a <= b]))
 
         def flush() -> pa.RecordBatch:
@@ -196,12 +236,12 @@ def _sorted_shards(bytes_of: DataFrame, length: int, gram: int) -> DataFrame:
             return batch
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "n", "ahead", "windows", "data")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in _CONTEXT), strict=True):
                 if row[0] != at:
                     done()
                     held, seen, at = [], set(), row[0]
-                if row[1:3] not in seen:
-                    seen.add(row[1:3])
+                if row[1:4] not in seen:
+                    seen.add(row[1:4])
                     held.append(row)
             if len(out) > 1000:
                 yield flush()
@@ -209,7 +249,7 @@ def _sorted_shards(bytes_of: DataFrame, length: int, gram: int) -> DataFrame:
         if out:
             yield flush()
 
-    ordered = bytes_of.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "c1", "c2", "n", "ahead", "windows", "data")
+    ordered = rows.repartition("shard").sortWithinPartitions("shard").select(*_CONTEXT)
     return ordered.mapInArrow(run, "anchor long, c1 long, c2 long, spans array<struct<a int, b int>>")
 
 
@@ -218,38 +258,67 @@ def _context_bytes(docs: DataFrame, contexts: DataFrame, length: int) -> DataFra
     wanted = contexts.groupBy(*(F.col(f"seen.{c}").alias(c) for c in _KEY)).agg(F.collect_list(F.struct("anchor", "c1", "c2", "n", "seen.start", "seen.ahead", "seen.windows")).alias("wanted"))
     names = ("anchor", "c1", "c2", "n", "ahead", "windows")
 
+    def packed(rows: list[tuple], data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(data, pa.binary())], names=[*names, "data"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, data, seen = [], [], set()
+            rows, data, seen, size = [], [], set(), 0
             for text, places, *key in zip(utf8(batch.column("text")), batch.column("wanted").to_pylist(), *(batch.column(c).to_pylist() for c in _KEY), strict=True):
                 if tuple(key) in seen:
                     continue
                 for p in places:
                     rows.append(tuple(p[c] for c in names))
                     data.append(text[p["start"] : p["start"] + p["windows"] + length - 1])
+                    size += p["windows"] + length
+                    if size > BATCH:
+                        yield packed(rows, data)
+                        rows, data, size = [], [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(data, pa.binary())], names=[*names, "data"])
+                yield packed(rows, data)
 
     return docs.join(wanted, [*_KEY]).select(*_KEY, "text", "wanted").mapInArrow(cut, "anchor long, c1 long, c2 long, n long, ahead long, windows long, data binary")
 
 
-def _counted_windows(bytes_of: DataFrame, length: int) -> DataFrame:
-    """The same result for crowded shards: every window is counted under its own hash."""
+def _parted(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Contexts under a finer shard for each range of distances that they have windows of."""
+    most = length - gram
+    width = -(-(most + 1) // PARTS)
+    ranges = [(low, min(low + width - 1, most)) for low in range(0, most + 1, width)]
+    table = F.array(*(F.struct(F.lit(x).cast("long").alias("low"), F.lit(y).cast("long").alias("high")) for x, y in ranges))
+    each = rows.withColumn("r", F.explode(table)).where("r.low <= ahead AND r.high > ahead - windows")
+    # every window of the range holds the bytes from ``low`` before the anchor to ``length - high`` behind it
+    shared = F.substring("data", (F.col("ahead") - F.col("r.low") + 1).cast("int"), (F.col("r.low") - F.col("r.high") + length).cast("int"))
+    return each.withColumn("shard", F.xxhash64("anchor", "r.low", shared)).withColumn("low", F.col("r.low")).withColumn("high", F.col("r.high")).select(*_CONTEXT)
+
+
+def _single_distances(rows: DataFrame, length: int) -> DataFrame:
+    """The same result for finer shards that are still crowded: each window is a shard of its own."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, c1, c2, n, windows, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "n", "windows", "data")), strict=True):
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[k : k + length]) for k in range(windows)), ">i8").astype(np.int64).reshape(-1, 2)
-                columns = (h[:, 0].copy(), h[:, 1].copy(), *(np.full(windows, v) for v in (anchor, c1, c2, n)), np.arange(windows))
+            for _, anchor, c1, c2, n, ahead, windows, low, high, data in zip(*(batch.column(c).to_pylist() for c in _CONTEXT), strict=True):
+                starts = range(max(0, ahead - high), min(windows - 1, ahead - low) + 1)
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[k : k + length]) for k in starts), ">i8").astype(np.int64).reshape(-1, 2)
+                columns = (h[:, 0].copy(), h[:, 1].copy(), *(np.full(len(h), v) for v in (anchor, c1, c2, n)), np.array(starts))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h1", "h2", "anchor", "c1", "c2", "n", "k"])
 
-    rows = bytes_of.dropDuplicates(["anchor", "c1", "c2"]).mapInArrow(cut, "h1 long, h2 long, anchor long, c1 long, c2 long, n long, k long")
-    twice = rows.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where("all > 1").select("h1", "h2")
-    hit = rows.where("n = 1").join(twice, ["h1", "h2"], "left_semi")
+    each = rows.mapInArrow(cut, "h1 long, h2 long, anchor long, c1 long, c2 long, n long, k long")
+    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("all")).where("all > 1").select("h1", "h2")
+    hit = each.where("n = 1").join(twice, ["h1", "h2"], "left_semi")
     span = F.struct(F.col("k").cast("int").alias("a"), F.col("k").cast("int").alias("b"))
     return hit.groupBy("anchor", "c1", "c2").agg(F.collect_list(span).alias("spans"))
 
 
+def _crowded_shards(bytes_of: DataFrame, length: int, gram: int, max_contexts: int) -> DataFrame:
+    rows = durable(_parted(bytes_of.dropDuplicates(["anchor", "c1", "c2"]), length, gram))
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 AND least = 1").select("shard", "contexts")
+    rows = rows.join(sizes, "shard")
+    out = _sorted_shards(rows.where(F.col("contexts") <= max_contexts), length, gram)
+    crowded = rows.where(F.col("contexts") > max_contexts)
+    return out if crowded.isEmpty() else out.unionByName(_single_distances(crowded.select(*_CONTEXT), length))
+
+
 def repeated_spans(docs: DataFrame, length: int, gram: int, max_contexts: int) -> DataFrame:
     """docs(id, text_hash, text) to (id, text_hash, spans): the starts of repeated windows, as (first, last)."""
     every = all_occurrences(docs, length, gram)
@@ -261,10 +330,11 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, max_contexts: int) -
     shards = contexts.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("least"))
     mixed = contexts.join(shards.where("contexts > 1 AND least = 1").select("anchor", "contexts"), "anchor")
     bytes_of = _context_bytes(docs, mixed.where(F.col("contexts") <= max_contexts), length)
+    bytes_of = bytes_of.select(F.col("anchor").alias("shard"), "*", F.lit(0).cast("long").alias("low"), F.lit(length - gram).cast("long").alias("high"))
     whole = contexts.where("n > 1").select("anchor", "c1", "c2", F.array(F.struct(F.lit(0).alias("a"), (F.col("seen.windows") - 1).alias("b"))).alias("spans"))
     verdicts = whole.unionByName(_sorted_shards(bytes_of, length, gram))
     if not (crowded := mixed.where(F.col("contexts") > max_contexts)).isEmpty():
-        verdicts = verdicts.unionByName(_counted_windows(durable(_context_bytes(docs, crowded, length)), length))
+        verdicts = verdicts.unionByName(_crowded_shards(_context_bytes(docs, crowded, length), length, gram, max_contexts))
     hits = shared.join(verdicts, ["anchor", "c1", "c2"])
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
     return hits.select(*_KEY, moved.alias("spans")).groupBy(*_KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))

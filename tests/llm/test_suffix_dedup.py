@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 
@@ -50,6 +51,37 @@ def test_against_brute_force(spark, most):
     assert sum(bool(w[2]) for w in want) > 40
 
 
+def test_slices_give_the_same_occurrences(monkeypatch):
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (30, 5000, 0, 99, 100, 12_345, 700)] + [b"a" * 3000]
+    found = []
+    for size in (1 << 20, 2048, 333):
+        monkeypatch.setattr(S, "SLICE", size)
+        powers = (S._powers(S._BASE, (1 << 20) + 101), S._powers(S._INVERSE, (1 << 20) + 101))
+        found.append([tuple(map(int, row)) for part in S.occurrences(texts, 100, 24, powers) for row in zip(*part, strict=True)])
+    assert found[0] == found[1] == found[2]
+    assert sum(row[2] for row in found[0]) == sum(max(0, len(t) - 99) for t in texts)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(6)
+    long = bytes(rng.choice(b"abcdefghij \n") for _ in range(700_000)).decode()
+    rows = [(1, long, "en", 0, "", 0), (2, "head" + long[262_000:262_900] + "tail", "en", 0, "", 0), (3, long[5:90], "en", 0, "", 0)]
+    got = {r.doc_id: [(x.a, x.b) for x in r.removed] for r in S.dedup_suffixes(frame(spark, rows)).collect()}
+    assert got == {1: [(262_000, 262_900)], 2: [(4, 904)], 3: []}
+
+
+def test_memory_of_a_very_long_text():
+    rng = random.Random(8)
+    text = rng.randbytes(20_000_000)
+    powers = (S._powers(S._BASE, S.SLICE + 401), S._powers(S._INVERSE, S.SLICE + 401))
+    tracemalloc.start()
+    windows = sum(int(part[2].sum()) for part in S.occurrences([text], 400, 64, powers))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == len(text) - 399 and peak < 40 << 20
+
+
 def test_digest_and_empty(spark):
     rows = S.digest(S.dedup_suffixes(frame(spark, documents()), length=100, gram=24))
     assert rows.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
