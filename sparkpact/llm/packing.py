@@ -4,10 +4,11 @@
    Full-length pieces fill a sequence each.
 2. The other pieces are dealt by hash into shards of about ``shard_items`` pieces. Each shard is packed on its own, so a
    shard wastes less than one sequence against a packing of all pieces together.
-3. Each shard is evolved on several islands, a Spark task each. An individual is a list of bins. Crossover injects whole
+3. Each shard is evolved on several islands, ``task_islands`` of all shards' to a Spark task. An individual is a list of bins. Crossover injects whole
    well-filled bins of one parent into another, removes the duplicates by dissolving the bins that held the injected
    pieces, and puts the displaced pieces back by best fit. Between epochs every island receives its neighbour's elite, and
-   the best individual of all islands is the shard's packing. Evolution stops early at the lower bound of bins.
+   the best individual of all islands is the shard's packing. The first island starts with best fit decreasing among
+   its individuals, so no shard is packed worse than by that; the others start from random orders alone.
 
 Null and empty texts are one token (id 0). Rows that repeat, share an id or have a null id are packed one by one. Empty
 tables give empty results; further columns are not read.
@@ -19,83 +20,154 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, texts_of, utf8
-
-#: Chunks whose ids a Python worker keeps; a full cache is emptied.
-CACHE_CHUNKS = 1_000_000
+from .common import durable, texts_of
+
+#: Bytes of memory that a Python worker's cache of chunks takes, about. What half of it was filled with goes, if it was
+#: not asked for again, when the other half is full.
+CACHE_BYTES = 128 << 20
+#: What a chunk in the cache takes besides its own bytes and those of its ids.
+ENTRY = 160
+#: Longer chunks are not cached.
+LONG_CHUNK = 256
+#: Bytes of text that are tokenized together.
+SLICE = 4 << 20
 END = b"\0\0\0\0"
 PIECE = "id long, piece int, start long, length long, ids_crc32 long, origin long"
 
 
+def _bytes_of(texts: pa.StringArray) -> list[bytes]:
+    """The texts of an array without nulls as bytes, faster than one by one."""
+    ends = np.frombuffer(texts.buffers()[1], "<i4", len(texts) + 1, 4 * texts.offset).tolist()
+    data = texts.buffers()[2].to_pybytes() if len(texts) else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 class ChunkIds:
-    """Token ids (32 bit, in the byte order of the machine, which is little-endian) of white-space-separated chunks, as the tokenizers library gives them."""
+    """Token ids (32 bit, in the byte order of the machine, which is little-endian) of chunks between white space, as the tokenizers library gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.before, self.held = Tokenizer.from_file(path), {}, {}, 0
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, parts: list[bytes], group: int = 1024) -> list[bytes]:
+        """The ids of each part. Plain words go to the tokenizer many at a time: each is one pre-token and so ends with the
+        only token that carries the end-of-word suffix. Where the count of such tokens says otherwise, one by one."""
+        out: list[bytes] = [b""] * len(parts)
+        texts = [p.decode() for p in parts]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        single = [k for k, t in enumerate(texts) if not t.isalpha()]
+        groups = [plain[a : a + group] for a in range(0, len(plain), group)]
+        for own, ids in zip(groups, self._encoded([" ".join([texts[k] for k in own]) for own in groups]), strict=True):
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4
+            if len(cuts) == len(own) and len(ids) == cuts[-1]:
+                start = 0
+                for k, end in zip(own, cuts.tolist(), strict=True):
+                    out[k] = ids[start:end]
+                    start = end
+            else:
+                single += own
+        for a in range(0, len(single), 4096):
+            own = single[a : a + 4096]
+            for k, ids in zip(own, self._encoded([texts[k] for k in own]), strict=True):
+                out[k] = ids
+        return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        known = self.known
-        parts = {c: _parted(c) for c in chunks.difference(known)}
-        new = list({p for own in parts.values() for p in own}.difference(known))
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            known.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, encoded, strict=True))
-        known.update((c, b"".join(map(known.__getitem__, own))) for c, own in parts.items() if len(own) > 1)
+    def _hold(self, found: dict[bytes, bytes]) -> None:
+        keep = {c: ids for c, ids in found.items() if len(c) <= LONG_CHUNK}
+        size = sum(map(len, keep)) + sum(map(len, keep.values())) + ENTRY * len(keep)
+        if 2 * (self.held + size) > CACHE_BYTES:
+            self.before, self.known, self.held = self.known, {}, 0
+        if 2 * size <= CACHE_BYTES:
+            self.known.update(keep)
+            self.held += size
+
+    def look_up(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks, from the cache or newly encoded."""
+        out = [*map(self.known.get, chunks)]
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        if missing:
+            again = [*map(self.before.get, [chunks[k] for k in missing])]
+            new = [k for k, ids in zip(missing, again, strict=True) if ids is None]
+            found = {chunks[k]: ids for k, ids in zip(missing, again, strict=True) if ids is not None}
+            found.update(zip([chunks[k] for k in new], self.encode([chunks[k] for k in new]), strict=True))
+            for k in missing:
+                out[k] = found[chunks[k]]
+            self._hold(found)
+        return out
+
+    def token_ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, with id 0 behind them."""
+        texts = texts.fill_null("")
+        # the vocabulary is lower case; only special tokens' strings depend on the case and on what stands beside them
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(pc.ascii_lower(texts), _EDGE, r"\1 \2"))
+        split = pc.ascii_split_whitespace(texts)
+        offsets = split.offsets.to_numpy()
+        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        ids, codes = self.look_up(_bytes_of(coded.dictionary)), coded.indices.to_numpy()
+        offsets = (offsets - offsets[0]).tolist()
+        for a, b in zip(offsets, offsets[1:], strict=False):
+            yield b"".join(map(ids.__getitem__, codes[a:b].tolist())) + END
 
 
-_TAIL = b".,;:!?*$%&#|"
+@cache
+def chunk_ids(path: str) -> ChunkIds:
+    """One for each Python worker, which Spark reuses for many tasks."""
+    return ChunkIds(path)
 
 
-def _parted(chunk: bytes) -> list[bytes]:
-    """A chunk as a word and the punctuation behind it, where these are two pre-tokens in any case."""
-    word = chunk.rstrip(_TAIL)
-    if word == chunk or not word or b"<|" in chunk:
-        return [chunk]
-    last = word[-1]
-    letter = chr(last).isalnum() if last < 0x80 else word.decode()[-1].lower()[-1].isalpha()
-    return [word, chunk[len(word) :]] if letter else [chunk]
+#: A letter or digit before ASCII punctuation (but the apostrophe): two pre-tokens in any case, so a blank may part them.
+#: Letters whose lower case or normal form ends in a combining mark are not among these.
+_EDGE = r"([0-9a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 
 
-def split_chunks(text: bytes) -> list[bytes]:
-    """White-space-separated chunks. The vocabulary is lower case; only special tokens' strings depend on the case."""
-    return (text if b"<|" in text else text.lower()).split()
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring texts of ``SLICE`` bytes or less, or of one longer text."""
+    sizes, a, held = pc.binary_length(texts).fill_null(0).to_pylist(), 0, 0
+    for k, n in enumerate(sizes):
+        if k > a and held + n > SLICE:
+            yield a, k
+            a, held = k, 0
+        held += n
+    if sizes:
+        yield a, len(sizes)
 
 
 def document_pieces(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, origin): origin is another number for every row."""
-    state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = state.setdefault("chunks", None) or ChunkIds(path)
-        state["chunks"] = chunks
+        chunks = chunk_ids(path)
         origin = TaskContext.get().partitionId() << 36
         for batch in batches:
-            ids, rows = batch.column("id").to_pylist(), []
-            for a in range(0, len(ids), 512):
-                own = [split_chunks(t) for t in utf8(batch.column("text").slice(a, 512))]
-                chunks.learn(set().union(*own))
-                for doc, words in zip(ids[a : a + 512], own, strict=True):
-                    data = memoryview(b"".join(map(chunks.known.__getitem__, words)) + END)
+            ids, texts = batch.column("id").to_pylist(), batch.column("text")
+            for a, b in slices(texts):
+                rows = []
+                for doc, tokens in zip(ids[a:b], chunks.token_ids(texts.slice(a, b - a)), strict=True):
+                    data = memoryview(tokens)
                     n = len(data) // 4
                     for k, start in enumerate(range(0, n, size)):
                         end = min(n, start + size)
                         rows.append((doc, k, start, end - start, zlib.crc32(data[4 * start : 4 * end]), origin))
                         origin += 1
-            if rows:
                 kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "piece", "start", "length", "ids_crc32", "origin"])
 
@@ -175,20 +247,23 @@ def crossover(first: np.ndarray, second: np.ndarray, lengths: np.ndarray, size:
     return best_fit(np.flatnonzero(displaced).tolist(), lens, size, bins).bin_of(len(lens))
 
 
-def evolve(lengths: np.ndarray, size: int, seed: int, elites: list[np.ndarray], population: int = 5, generations: int = 12) -> np.ndarray:
-    """One epoch on one island: the best individual (the bin of each piece). lengths fall; elites come from other epochs and islands."""
+def evolve(lengths: np.ndarray, size: int, seed: int, elites: list[np.ndarray], seeded: bool = True, population: int = 5, generations: int = 12, at_least: int = 3) -> np.ndarray:
+    """One epoch on one island: the best individual (the bin of each piece). lengths fall; elites come from other epochs and islands.
+
+    seeded: without an elite the first individual is best fit decreasing; all others are best fit in random order. After
+    ``at_least`` generations an island is done once it has no more bins than all pieces' total length needs.
+    """
     rng, lens, n = np.random.default_rng(seed), lengths.tolist(), len(lengths)
     least = -(-int(lengths.sum()) // size)
     people = [*elites]
     while len(people) < population:
-        # best fit decreasing first, then the same with a few pieces out of order
-        noise = rng.normal(0, 0 if not people else 0.05 * size, n)
-        people.append(best_fit(np.argsort(-(lengths + noise), kind="stable").tolist(), lens, size).bin_of(n))
+        order = range(n) if seeded and not people else rng.permutation(n).tolist()
+        people.append(best_fit(order, lens, size).bin_of(n))
     ranked = sorted(((fitness(p, lengths, size), p) for p in people), key=lambda x: x[0], reverse=True)
-    for _ in range(generations):
-        if -ranked[0][0][0] <= least:
+    for generation in range(generations):
+        if generation >= at_least and -ranked[0][0][0] <= least:
             break
-        a, b = rng.choice(len(ranked), 2, replace=False) if len(ranked) > 1 else (0, 0)
+        a, b = rng.choice(len(ranked), 2, replace=False)
         child = crossover(ranked[min(a, b)][1], ranked[max(a, b)][1], lengths, size, rng)
         ranked.append((fitness(child, lengths, size), child))
         ranked = sorted(ranked, key=lambda x: x[0], reverse=True)[:population]
@@ -199,7 +274,7 @@ def _shard_lengths(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "lengths": [np.sort(pdf["length"].to_numpy(np.int32))[::-1].astype("<i4").tobytes()]})
 
 
-def pack(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", shard_items: int = 4096, islands: int = 2, epochs: int = 2) -> DataFrame:
+def pack(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", shard_items: int = 4096, islands: int = 2, epochs: int = 2, task_islands: int = 8) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece."""
     pieces = durable(document_pieces(df, path, size, id_col, text_col))
     full, rest = pieces.where(F.col("length") == size), pieces.where(F.col("length") < size)
@@ -213,13 +288,15 @@ def pack(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", tex
                 for shard, island, lengths, *elites in pdf[["shard", "island", "lengths", "elite", "guest"]].itertuples(index=False):
                     n = np.frombuffer(lengths, "<i4").astype(np.int64)
                     own = [np.frombuffer(e, "<i4") for e in elites if e is not None]
-                    best = evolve(n, size, hash((number, shard, island)) & 0x7FFFFFFF, own)
+                    best = evolve(n, size, hash((number, shard, island)) & 0x7FFFFFFF, own, island == 0)
                     bins, filled = fitness(best, n, size)
                     out.append((shard, island, lengths, best.astype("<i4").tobytes(), bins, filled))
                 yield pd.DataFrame(out, columns=["shard", "island", "lengths", "elite", "bins", "filled"])
 
         return run
 
+    # a given number of partitions, which Spark doesn't merge: islands take time, not bytes
+    tasks = -(-shards * islands // task_islands)
     state = rest.select("shard", "length").groupBy("shard").applyInPandas(_shard_lengths, "shard long, lengths binary")
     state = state.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elite", F.lit(None).cast("binary"))
     for number in range(epochs):
@@ -227,8 +304,8 @@ def pack(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", tex
             guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guest"))
             state = state.join(guests, ["shard", "island"])
         else:
-            state = state.withColumn("guest", F.lit(None).cast("binary")).repartition("shard", "island")
-        state = durable(state.mapInPandas(epoch(number), "shard long, island int, lengths binary, elite binary, bins long, filled double"))
+            state = state.withColumn("guest", F.lit(None).cast("binary"))
+        state = durable(state.repartition(tasks, "shard", "island").mapInPandas(epoch(number), "shard long, island int, lengths binary, elite binary, bins long, filled double"))
     best = state.groupBy("shard").agg(F.max_by("elite", F.struct("bins", "filled", "island")).alias("elite"))
 
     def place(items: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:

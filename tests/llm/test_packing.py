@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkpact.llm import packing as P
@@ -21,13 +23,28 @@ def tokenizer():
 ODD = ["don't stop, it's I'LL", "dogs', x", "É, x! é̈. ́, x", "<|endoftext|>, A<|startoftext|>. <|ENDOFTEXT|>", "K, ſ. İ, Σ. ΑΣ, ǅ,", "日本。, 日, \U0001f600!", "1a. 2,34 ½.", "#a# |b|. c|d ≠ x=.", "a\x1cb\x85c d\x00"]
 
 
+def same_ids(tokenizer, chunks, texts):
+    got = [np.frombuffer(x, "<u4").tolist() for x in chunks.token_ids(pa.array(texts, pa.string()))]
+    for text, ids in zip(texts, got, strict=True):
+        assert ids == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], text
+
+
 def test_ids_are_the_library_s(tokenizer):
-    ids = P.ChunkIds(PATH)
-    for text in ODD + [r[1] or "" for r in odd_documents()]:
-        own = P.split_chunks(text.encode())
-        ids.learn(set(own))
-        got = np.frombuffer(b"".join(ids.known[c] for c in own), "<u4").tolist()
-        assert got == tokenizer.encode(text, add_special_tokens=False).ids, text
+    chunks = P.ChunkIds(PATH)
+    texts = ODD + [r[1] for r in odd_documents()] + ["\u0958. \u0958x", "é.é,é", "a\u0338. ≠ =\u0338", "x" * 3000 + ".", "각. 각각 한", "'s's don't.'s", "a-b_c/d@e.f"]
+    same_ids(tokenizer, chunks, texts)
+    same_ids(tokenizer, chunks, texts)
+    rng = random.Random(4)
+    letters = ["a", "b", "E", "é", "É", "İ", "ß", "\u0958", "\u0301", ".", ",", "'", "#", "<", "|", "1", "½", " ", "  ", "\n", "日", "\u00a0", "s", "t"]
+    same_ids(tokenizer, chunks, ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(2000)])
+
+
+def test_a_full_cache_changes_nothing(tokenizer, monkeypatch):
+    monkeypatch.setattr(P, "CACHE_BYTES", 80_000)
+    chunks, rng = P.ChunkIds(PATH), random.Random(5)
+    for _ in range(10):
+        same_ids(tokenizer, chunks, [" ".join(f"w{rng.choice('abcdefgh')}{rng.choice('xyz')}{rng.randrange(40)}" for _ in range(200)) + " y" * 300 + " " + "z" * 400])
+        assert len(chunks.known) + len(chunks.before) < 500 and not any(len(c) > P.LONG_CHUNK for c in chunks.known)
 
 
 @pytest.mark.parametrize("size", [64, 2048])
@@ -63,5 +80,18 @@ def test_crossover_keeps_every_piece_once():
     assert P.fitness(best, lengths, 1000) >= P.fitness(b, lengths, 1000)
 
 
+def test_random_islands_come_close_to_the_bound():
+    rng = np.random.default_rng(4)
+    lengths = np.sort(rng.integers(1, 2048, 2000))[::-1].astype(np.int64)
+    least = -(-int(lengths.sum()) // 2048)
+    start = len(P.best_fit(rng.permutation(2000).tolist(), lengths.tolist(), 2048).bins)
+    one, two = (P.evolve(lengths, 2048, seed, [], seeded=False) for seed in (1, 2))
+    both = P.evolve(lengths, 2048, 3, [one, two], seeded=False)
+    bins = [-P.fitness(x, lengths, 2048)[0] for x in (one, two, both)]
+    assert least <= bins[2] <= min(bins) < start and bins[2] - least < (start - least) / 2
+    best = -P.fitness(P.evolve(lengths, 2048, 3, []), lengths, 2048)[0]
+    assert best <= len(P.best_fit(range(2000), lengths.tolist(), 2048).bins)
+
+
 def test_empty(spark):
     assert P.pack(frame(spark, []), PATH).count() == 0
