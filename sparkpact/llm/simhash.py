@@ -20,7 +20,7 @@ rows has a null component. Repeated rows, empty tables and further columns are h
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,9 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import durable, map_texts, texts_of, utf8
+from .common import durable, map_texts, texts_of
 from .components import connected_components
 
 SEED = 42
@@ -189,7 +188,7 @@ def sampled_places(bands: int, bits: int) -> np.ndarray:
     return np.array([rng.permutation([b for b in range(64 * SPAN) if b // 64 != band % SPAN])[:bits] for band in range(bands)])
 
 
-def close_pairs(keys: np.ndarray, checks: np.ndarray, distance: int, small: int = 32, window: int = 4096, nearest: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(keys: np.ndarray, checks: np.ndarray, distance: int, small: int = 32, window: int = 4096, nearest: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places with equal keys whose checks differ in at most ``distance`` bits. keys are sorted, checks sorted within a key.
 
     Of a key that more than ``small`` share, a spanning forest of its close pairs and the ``nearest`` of each member stand
@@ -269,102 +268,75 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts(text) have at least the similarity."""
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [set_node(np.unique(shingle_hashes(t, width))) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("text")], names=["node", "text"])
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts have at least the similarity. nodes name one row (id, mark) of texts each."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
-            nodes = [batch.column(c).to_pylist() for c in "ab"]
-            for c, own in zip(("left", "right"), nodes, strict=True):
+            ends = [batch.column(c).to_pylist() for c in "ab"]
+            for c, own in zip(("left", "right"), ends, strict=True):
                 for k, node in enumerate(own):
                     if node not in sets:
                         sets[node] = np.unique(shingle_hashes((batch.column(c)[k].as_py() or "").encode(), width))
-            alike = [jaccard(sets[a], sets[b]) >= similarity for a, b in zip(*nodes, strict=True)]
+            alike = [jaccard(sets[a], sets[b]) >= similarity for a, b in zip(*ends, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    ends = pairs.select(F.col("a").alias("end")).unionAll(pairs.select("b")).distinct()
-    held = texts.mapInArrow(name, "node long, text string").join(ends, F.col("node") == F.col("end"), "left_semi")
-    held = durable(held.groupBy("node").agg(F.min("text").alias("text")))
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    wanted = pairs.select(F.col("a").alias("print")).unionAll(pairs.select("b")).distinct()
+    wanted = nodes.join(wanted, "print", "left_semi").select("print", F.col("first.id").alias("own_id"), F.col("first.mark").alias("own_mark"))
+    held = texts.join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")))
+    held = durable(held.groupBy("print").agg(F.min("text").alias("text")))
+    both = pairs.join(held.select(F.col("print").alias("a"), F.col("text").alias("left")), "a").join(held.select(F.col("print").alias("b"), F.col("text").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
 
 
-def _groups(docs: DataFrame, link: Callable[[DataFrame], DataFrame], extra: tuple[str, ...] = ()) -> DataFrame:
-    """docs(id, print, ...) to (print, component, component_id, copies) of each distinct fingerprint.
-
-    component_id is the smallest id of the component; copies is the largest number of rows with one fingerprint and id.
-    link gives the links of the distinct fingerprints and their ``extra`` columns, which follow from the fingerprint.
-    """
-    counted = docs.groupBy("print", "id").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in extra))
-    prints = durable(counted.groupBy("print").agg(F.min("id").alias("first_id"), F.max("n").alias("copies"), *(F.min(c).alias(c) for c in extra)))
-    parts = connected_components(link(prints.select("print", *extra)))
-    named = prints.join(parts, prints["print"] == parts["node"], "left").withColumn("component", F.coalesce("component", "print")).drop("node")
-    # rows without an id come last; of equal ids the smallest fingerprint's
-    best = named.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "print")).alias("best"))
-    named = named.join(best, "component")
-    return named.select("print", F.col("best.first_id").alias("component_id"), F.col("best.print").alias("best_print"), "copies")
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
-    """(id, print, component_id): one row per input row."""
-    docs = fingerprints(df, id_col, text_col, width)
-    found = docs.join(_groups(docs, lambda prints: links(prints, distance, blocks)).select("print", "component_id"), "print")
-    return found.select(F.col("id").alias(id_col), "print", "component_id")
-
-
-def _keep(df: DataFrame, groups: DataFrame, print_of: Callable[[bytes], int], id_col: str, text_col: str) -> DataFrame:
-    """The rows of df, one for each component of the groups: the one with the smallest id."""
-    kept = groups.where("print = best_print").select("print", "component_id", "copies")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                prints = pa.array([print_of(t) for t in utf8(batch.column("text"))], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("row"), prints], names=["row", "print"])
-
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = T.StructType([rows.schema["row"], T.StructField("print", T.LongType())])
-    marked = rows.mapInArrow(run, kind).join(kept, "print")
-    marked = marked.where(F.col("component_id").eqNullSafe(F.col("row").getField(id_col).cast("long")))
-    if not groups.where("copies > 1").isEmpty():  # rows that share both id and fingerprint: one of them stays
-        marked = marked.dropDuplicates(["print"])
-    return marked.select("row.*")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 5, blocks: int = 8) -> DataFrame:
-    """The rows of df, one for each component: the one with the smallest id."""
-    docs = fingerprints(df, id_col, text_col, width)
-    groups = durable(_groups(docs, lambda prints: links(prints, distance, blocks)))
-    return _keep(df, groups, lambda t: int(np.uint64(fingerprint(t, width)).view(np.int64)), id_col, text_col)
+    """(id, print, component_id): one row per input row. component_id is the smallest id of the component."""
+    docs = durable(fingerprints(df, id_col, text_col, width))
+    prints = durable(docs.groupBy("print").agg(F.min("id").alias("first_id")))
+    parts = connected_components(links(prints.select("print"), distance, blocks))
+    named = prints.join(parts, prints["print"] == parts["node"], "left").withColumn("component", F.coalesce("component", "print"))
+    named = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component")
+    return docs.join(named.select("print", "component_id"), "print").select(F.col("id").alias(id_col), "print", "component_id")
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 128, bits: int = 18, distance: int = 17) -> DataFrame:
     """The rows of df, one for each component of texts whose shingle sets have the Jaccard similarity: the one with the smallest id.
 
     The defaults of the search are made for similarities of 0.8 and more: bands keys of ``bits`` bits, ``distance`` of 64
-    bits for the check. Every link is verified.
+    bits for the check. Every link is verified. Rows without an id come last in their component; of rows alike in id and
+    text one stays. Each text is fingerprinted once; rows are told apart by id and a hash of their text.
     """
 
     def each(ids: pa.Array, texts: list[bytes]) -> dict:
         sets = [np.unique(shingle_hashes(t, width)) for t in texts]
         words = np.stack([long_print(h) for h in sets]).view(np.int64)
-        return {"id": ids, "print": pa.array([set_node(h) for h in sets], pa.int64())} | {f"w{k}": pa.array(words[:, k]) for k in range(SPAN)}
-
-    def link(nodes: DataFrame) -> DataFrame:
-        # texts without words have equal sets, and are like no others
-        pairs = durable(_candidates(nodes.where("print <> 0"), bands, bits, distance))
-        return _verified(pairs, df.select(F.col(f"`{text_col}`").cast("string").alias("text")), width, similarity)
-
-    extra = tuple(f"w{k}" for k in range(SPAN))
-    docs = map_texts(texts_of(df, id_col, text_col), "id long, print long, " + ", ".join(f"{c} long" for c in extra), each)
-    groups = durable(_groups(docs, link, extra))
-    return _keep(df, groups, lambda t: set_node(np.unique(shingle_hashes(t, width))), id_col, text_col)
+        marks = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64)  # as Spark's xxhash64
+        return {"id": ids, "mark": pa.array(marks), "print": pa.array([set_node(h) for h in sets], pa.int64())} | {f"w{k}": pa.array(words[:, k]) for k in range(SPAN)}
+
+    extra = [f"w{k}" for k in range(SPAN)]
+    docs = map_texts(texts_of(df, id_col, text_col), "id long, mark long, print long, " + ", ".join(f"{c} long" for c in extra), each)
+    docs = durable(docs.groupBy("print", "id", "mark").agg(F.count("*").alias("copies"), *(F.min(c).alias(c) for c in extra)))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
+    nodes = durable(docs.groupBy("print").agg(first, *(F.min(c).alias(c) for c in extra)))
+    texts = texts_of(df, id_col, text_col).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # texts without words have equal sets, and are like no others
+    pairs = durable(_candidates(nodes.where("print <> 0"), bands, bits, distance))
+    parts = connected_components(_verified(pairs, nodes, texts, width, similarity))
+    named = nodes.join(parts, nodes["print"] == parts["node"], "left").select("print", "first", F.coalesce("component", "print").alias("component"))
+    best = named.groupBy("component").agg(F.min("first").alias("best"))
+    rows = docs.join(named.join(best, "component").select("print", "best"), "print")
+    kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
+    dropped = durable(rows.where(~kept).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")))
+    # df's columns may have any names: each side's are named by its frame
+    own_mark = F.xxhash64(F.coalesce(df[f"`{text_col}`"].cast("string"), F.lit("")))
+    out = df.join(dropped, df[f"`{id_col}`"].cast("long").eqNullSafe(dropped["gone_id"]) & (own_mark == dropped["gone_mark"]), "left_anti")
+    again = rows.where(kept & (F.col("copies") > 1)).select("id", "mark")
+    if again.isEmpty():
+        return out
+    own = F.struct(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    one = out.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), own.alias("own"))
+    return one.dropDuplicates(["own"]).select("row.*")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -80,23 +80,17 @@ def test_forest_spans_components():
     assert len(links) == len(prints) - len(set(components(pairs, range(len(prints))).values()))
 
 
-def test_one_of_each_group_stays(spark):
-    rows = near_documents() + odd_documents()
-    df = frame(spark, rows)
-    kept = H.drop_near_duplicates(df, width=5, distance=5, blocks=8).collect()
-    assert df.columns == list(kept[0].__fields__)
-    prints = [brute_print(r[1], 5) for r in rows]
-    groups = components([(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 5], range(len(rows)))
-    best = {}
-    for k, g in groups.items():
-        key = (rows[k][0] is None, rows[k][0])
-        best[g] = min(best.get(g, key), key)
-    assert sorted(map(str, (b[1] for b in best.values()))) == sorted(str(r.doc_id) for r in kept)
+def test_repeated_rows_and_other_columns(spark):
+    text = " ".join(words(random.Random(2), 50))
+    rows = [(5, text, "en", k, "a", 0) for k in range(3)] + [(3, text + " end", "de", 1, "b", 1), (None, text, "en", 2, None, None), (8, "short", "en", 1, "", 0), (8, "other", "en", 1, "", 0), (8, "short", "en", 1, "", 0), (None, None, "", 0, "", 0), (9, "", "", 0, "", 0)]
+    df = frame(spark, rows).withColumnRenamed("row", "gone_id").withColumnRenamed("n_words", "print").withColumnRenamed("shard", "own")
+    kept = H.drop_similar(df).collect()
+    assert list(kept[0].__fields__) == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, text + " end"), (8, "other"), (8, "short"), (9, "")]
 
 
 def test_empty_and_chain(spark):
     assert H.near_duplicates(frame(spark, [])).count() == 0
-    assert H.drop_near_duplicates(frame(spark, [])).count() == 0
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(chain).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
