@@ -34,7 +34,7 @@ from .common import durable, texts_of
 
 #: Bytes of memory that a Python worker's cache of chunks takes, about. What half of it was filled with goes, if it was
 #: not asked for again, when the other half is full.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 64 << 20
 #: What a chunk in the cache takes besides its own bytes and those of its ids.
 ENTRY = 160
 #: Longer chunks are not cached.
@@ -75,8 +75,9 @@ class ChunkIds:
         texts = [p.decode() for p in parts]
         plain = [k for k, t in enumerate(texts) if t.isalpha()]
         single = [k for k, t in enumerate(texts) if not t.isalpha()]
-        groups = [plain[a : a + group] for a in range(0, len(plain), group)]
-        for own, ids in zip(groups, self._encoded([" ".join([texts[k] for k in own]) for own in groups]), strict=True):
+        for a in range(0, len(plain), group):
+            own = plain[a : a + group]
+            (ids,) = self._encoded([" ".join([texts[k] for k in own])])
             cuts = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4
             if len(cuts) == len(own) and len(ids) == cuts[-1]:
                 start = 0
@@ -283,6 +284,7 @@ def pack(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", tex
 
     def epoch(number: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            chunk_ids.cache_clear()  # the worker has done with texts
             for pdf in batches:
                 out = []
                 for shard, island, lengths, *elites in pdf[["shard", "island", "lengths", "elite", "guest"]].itertuples(index=False):
