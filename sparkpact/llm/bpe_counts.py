@@ -1,8 +1,10 @@
 """Token counts for a lower-casing byte-pair vocabulary with word ends, by rank-synchronous array merging.
 
-White-space-separated chunks are looked up in a bounded cache. The pre-tokens of all chunks that a batch has new are held
-as one ragged numpy array of symbols. In each round every pre-token finds its lowest-ranked pair and merges all places of
-that pair at once; pre-tokens without a known pair are done. The surviving symbols are counted.
+The chunks between white space are looked up in a cache of bounded bytes. The pre-tokens of all chunks that are new are
+held as one ragged numpy array of symbols. In each round every pre-token finds its lowest-ranked pair and merges all places
+of that pair at once; pre-tokens without a known pair are done. The surviving symbols are counted. A round passes over all
+symbols, so a pre-token that is not done after ``ROUNDS`` rounds (it has more symbols than that) goes on with a queue of
+its own (rank, place), which finds the next lowest rank without a pass: the time stays near-linear in its length.
 
 Nulls count as empty; texts of any length are counted whole; special tokens' strings inside a text count as one token each,
 as the library does by default. Repeated rows are counted alike, empty tables give empty results, further columns are not read.
@@ -12,16 +14,26 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
+from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts, texts_of
+from .common import coded_chunks, slices, texts_of
 
-#: Chunks whose counts a Python worker keeps; a full cache is emptied.
-CACHE_CHUNKS = 1_000_000
+#: Bytes of memory that a Python worker's cache of counts takes, about; a full cache is emptied.
+CACHE_BYTES = 64 << 20
+#: What a chunk in the cache takes besides its own bytes.
+ENTRY = 150
+#: Longer chunks are not cached.
+LONG_CHUNK = 256
+#: Rounds over the ragged array.
+ROUNDS = 24
 
 
 def byte_symbols() -> list[str]:
@@ -56,6 +68,7 @@ class RankedMerges:
         first[1:] = np.diff(pairs[order]) != 0
         order = order[first]
         self.pairs, self.ranks, self.made = pairs[order], order.astype(np.int64), made
+        self.merge_of = dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), made[order].tolist(), strict=True), strict=True))
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.last = np.array([vocab[s + end] for s in symbols], np.int64)
@@ -80,8 +93,14 @@ class RankedMerges:
         symbols = self.inner[raw]
         symbols[ends[lengths > 0] - 1] = self.last[raw[ends[lengths > 0] - 1]]
         owner, counts = np.repeat(np.arange(len(words)), lengths), lengths.copy()
-        none = len(self.made)
+        none, rounds = len(self.made), 0
         while len(symbols) > 1:
+            rounds += 1
+            if rounds > ROUNDS:
+                cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                    counts[owner[a]] -= self._queued(symbols[a:b].tolist())
+                break
             pair = symbols[:-1] * self.size + symbols[1:]
             at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             rank = np.where((self.pairs[at] == pair) & (owner[:-1] == owner[1:]), self.ranks[at], none)
@@ -102,32 +121,88 @@ class RankedMerges:
             symbols, owner = symbols[live], owner[live]
         return counts
 
+    def _queued(self, symbols: list[int]) -> int:
+        """The number of merges that a sequence still takes, the lowest rank first, and of a rank the leftmost place."""
+        n, size, merge_of = len(symbols), self.size, self.merge_of
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(merge_of[pair][0], k) for k, pair in enumerate(a * size + b for a, b in zip(symbols, symbols[1:], strict=False)) if pair in merge_of]
+        heapify(heap)
+        merges = 0
+        while heap:
+            rank, k = heappop(heap)
+            if symbols[k] < 0 or (other := after[k]) == n:
+                continue
+            found = merge_of.get(symbols[k] * size + symbols[other])
+            if found is None or found[0] != rank:
+                continue  # one of the two has been merged since
+            symbols[k], symbols[other] = found[1], -1
+            after[k] = after[other]
+            merges += 1
+            if after[k] < n:
+                before[after[k]] = k
+                if (found := merge_of.get(symbols[k] * size + symbols[after[k]])) is not None:
+                    heappush(heap, (found[0], k))
+            if before[k] >= 0 and (found := merge_of.get(symbols[before[k]] * size + symbols[k])) is not None:
+                heappush(heap, (found[0], before[k]))
+        return merges
+
+
+class ChunkCounts:
+    """The token counts of chunks, with a cache."""
+
+    def __init__(self, path: str):
+        self.model, self.known, self.held = RankedMerges(path), {}, 0
+
+    def _counted(self, chunks: list[bytes]) -> list[int]:
+        words, owner, total = [], [], []
+        for k, c in enumerate(chunks):
+            n, own = self.model.split(c.decode())
+            total.append(n)
+            words += own
+            owner += [k] * len(own)
+        total = np.array(total, np.int64)
+        if words:
+            np.add.at(total, np.array(owner), self.model.count(words))
+        return total.tolist()
+
+    def look_up(self, chunks: list[bytes]) -> list[int]:
+        """The counts of distinct chunks."""
+        if self.held > CACHE_BYTES:
+            self.known.clear()
+            self.held = 0
+        out = [*map(self.known.get, chunks)]
+        new = [k for k, n in enumerate(out) if n is None]
+        for a in range(0, len(new), 50_000):
+            some = new[a : a + 50_000]
+            for k, n in zip(some, self._counted([chunks[k] for k in some]), strict=True):
+                out[k] = n
+                if len(chunks[k]) <= LONG_CHUNK and self.held <= CACHE_BYTES:
+                    self.known[chunks[k]] = n
+                    self.held += len(chunks[k]) + ENTRY
+        return out
+
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        distinct, codes, ends = coded_chunks(texts)
+        n = np.concatenate(([0], np.cumsum(np.array(self.look_up(distinct), np.int64)[codes])))
+        return np.diff(n[ends])
+
+
+@cache
+def chunk_counts(path: str) -> ChunkCounts:
+    """One for each Python worker, which Spark reuses for many tasks."""
+    return ChunkCounts(path)
+
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row. path: a tokenizers file that every executor can open."""
-    state: dict = {}
-
-    def each(ids: pa.Array, texts: list[bytes]) -> dict:
-        if not state:
-            state.update(model=RankedMerges(path), cache={})
-        model, cache = state["model"], state["cache"]
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        chunks = [t.split() for t in texts]
-        new = list({c for own in chunks for c in own if c not in cache})
-        for a in range(0, len(new), 100_000):
-            some, words, owner = new[a : a + 100_000], [], []
-            specials = []
-            for k, c in enumerate(some):
-                n, own = model.split(c.decode())
-                specials.append(n)
-                words += own
-                owner += [k] * len(own)
-            total = np.array(specials, np.int64)
-            if words:
-                np.add.at(total, np.array(owner), model.count(words))
-            cache.update(zip(some, total.tolist(), strict=True))
-        sizes, tokens = [len(t) for t in texts], [sum(map(cache.__getitem__, own)) for own in chunks]
-        return {id_col: ids, "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array([n > limit for n in tokens], pa.bool_())}
-
-    return map_texts(texts_of(df, id_col, text_col), f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean", each)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = chunk_counts(path)
+        for batch in batches:
+            ids, texts = batch.column("id"), batch.column("text")
+            for a, b in slices(texts):
+                own = texts.slice(a, b - a)
+                tokens = counts.of_texts(own)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pc.binary_length(own).fill_null(0).cast(pa.int64()), pa.array(tokens), pa.array(tokens > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+
+    return texts_of(df, id_col, text_col).mapInArrow(run, f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean")

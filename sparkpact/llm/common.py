@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,39 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring texts of ``most`` bytes or less, or of one longer text."""
+    sizes, a, held = pc.binary_length(texts).fill_null(0).to_pylist(), 0, 0
+    for k, n in enumerate(sizes):
+        if k > a and held + n > most:
+            yield a, k
+            a, held = k, 0
+        held += n
+    if sizes:
+        yield a, len(sizes)
+
+
+#: A letter or digit before ASCII punctuation (but the apostrophe): two pre-tokens in any case, so a blank may part them.
+#: Letters whose lower case or normal form ends in a combining mark are not among these.
+_EDGE = r"([0-9a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+
+
+def coded_chunks(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The texts' chunks between white space for a lower-case vocabulary: the distinct ones, every place's number in these,
+    and where each text begins and ends. Punctuation behind a word is a chunk of its own."""
+    texts = texts.fill_null("")
+    # the vocabulary is lower case; only special tokens' strings depend on the case and on what stands beside them
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(pc.ascii_lower(texts), _EDGE, r"\1 \2"))
+    split = pc.ascii_split_whitespace(texts)
+    ends = split.offsets.to_numpy()
+    coded = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    words = coded.dictionary
+    places = np.frombuffer(words.buffers()[1], "<i4", len(words) + 1, 4 * words.offset).tolist()
+    buffer = words.buffers()[2]
+    data = b"" if buffer is None else buffer.to_pybytes()
+    return [data[a:b] for a, b in zip(places, places[1:], strict=False)], coded.indices.to_numpy(), ends - ends[0]
+
+
 def map_texts(df: DataFrame, schema: str | T.StructType, each: Callable[[pa.Array, list[bytes]], dict | None]) -> DataFrame:
     """Run ``each(ids, texts)`` over Arrow batches of an (id, text) frame; it returns columns by name."""
 

@@ -25,12 +25,11 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, texts_of
+from .common import coded_chunks, durable, slices, texts_of
 
 #: Bytes of memory that a Python worker's cache of chunks takes, about. What half of it was filled with goes, if it was
 #: not asked for again, when the other half is full.
@@ -39,19 +38,10 @@ CACHE_BYTES = 64 << 20
 ENTRY = 160
 #: Longer chunks are not cached.
 LONG_CHUNK = 256
-#: Bytes of text that are tokenized together.
-SLICE = 4 << 20
 END = b"\0\0\0\0"
 PIECE = "id long, piece int, start long, length long, ids_crc32 long, origin long"
 
 
-def _bytes_of(texts: pa.StringArray) -> list[bytes]:
-    """The texts of an array without nulls as bytes, faster than one by one."""
-    ends = np.frombuffer(texts.buffers()[1], "<i4", len(texts) + 1, 4 * texts.offset).tolist()
-    data = texts.buffers()[2].to_pybytes() if len(texts) else b""
-    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
-
 class ChunkIds:
     """Token ids (32 bit, in the byte order of the machine, which is little-endian) of chunks between white space, as the tokenizers library gives them."""
 
@@ -117,15 +107,9 @@ class ChunkIds:
 
     def token_ids(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, with id 0 behind them."""
-        texts = texts.fill_null("")
-        # the vocabulary is lower case; only special tokens' strings depend on the case and on what stands beside them
-        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(pc.ascii_lower(texts), _EDGE, r"\1 \2"))
-        split = pc.ascii_split_whitespace(texts)
-        offsets = split.offsets.to_numpy()
-        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        ids, codes = self.look_up(_bytes_of(coded.dictionary)), coded.indices.to_numpy()
-        offsets = (offsets - offsets[0]).tolist()
-        for a, b in zip(offsets, offsets[1:], strict=False):
+        distinct, codes, ends = coded_chunks(texts)
+        ids, ends = self.look_up(distinct), ends.tolist()
+        for a, b in zip(ends, ends[1:], strict=False):
             yield b"".join(map(ids.__getitem__, codes[a:b].tolist())) + END
 
 
@@ -135,23 +119,6 @@ def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
-#: A letter or digit before ASCII punctuation (but the apostrophe): two pre-tokens in any case, so a blank may part them.
-#: Letters whose lower case or normal form ends in a combining mark are not among these.
-_EDGE = r"([0-9a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~])"
-
-
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of neighbouring texts of ``SLICE`` bytes or less, or of one longer text."""
-    sizes, a, held = pc.binary_length(texts).fill_null(0).to_pylist(), 0, 0
-    for k, n in enumerate(sizes):
-        if k > a and held + n > SLICE:
-            yield a, k
-            a, held = k, 0
-        held += n
-    if sizes:
-        yield a, len(sizes)
-
-
 def document_pieces(df: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, origin): origin is another number for every row."""
 

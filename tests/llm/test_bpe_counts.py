@@ -1,5 +1,7 @@
 import random
+import time
 
+import pyarrow as pa
 import pytest
 
 from sparkpact.llm import bpe_counts as B
@@ -35,9 +37,29 @@ def test_runs_of_equal_symbols(tokenizer):
     assert model.count(words).tolist() == [len(tokenizer.encode(w, add_special_tokens=False).ids) for w in words]
 
 
-def test_small_cache_and_empty(spark, monkeypatch):
+def test_long_unbroken_words(tokenizer):
+    model, rng = B.RankedMerges(PATH), random.Random(12)
+    words = ["".join(rng.choice("acgt") for _ in range(n)) for n in (30, 700, 100_000)] + ["a" * 5000, "".join(rng.choice("日本語中文的一是") for _ in range(3000))]
+    begun = time.process_time()
+    got = model.count(words).tolist()
+    assert time.process_time() - begun < 4
+    assert got == [len(tokenizer.encode(w, add_special_tokens=False).ids) for w in words]
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_queue_and_rounds_agree(tokenizer, monkeypatch, rounds):
+    model, rng = B.RankedMerges(PATH), random.Random(13)
+    words = ["".join(rng.choice("aabcdenst") for _ in range(rng.randrange(1, 40))) for _ in range(300)] + ["a" * n for n in range(1, 30)]
+    want = model.count(words).tolist()
+    monkeypatch.setattr(B, "ROUNDS", rounds)
+    assert model.count(words).tolist() == want == [len(tokenizer.encode(w, add_special_tokens=False).ids) for w in words]
+
+
+def test_small_cache_and_empty(spark, tokenizer, monkeypatch):
     df = frame(spark, odd_documents())
-    want = sorted(map(str, B.token_counts(df, PATH).collect()))
-    monkeypatch.setattr(B, "CACHE_CHUNKS", 0)
-    assert sorted(map(str, B.token_counts(df, PATH).collect())) == want
+    monkeypatch.setattr(B, "CACHE_BYTES", 500)
+    counts, texts = B.ChunkCounts(PATH), [r[1] for r in odd_documents()]
+    for _ in range(2):
+        assert counts.of_texts(pa.array(texts, pa.string())).tolist() == [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+        assert len(counts.known) < 10
     assert B.token_counts(df.limit(0), PATH).count() == 0
