@@ -10,7 +10,8 @@ weight of telling features among the sample's toxic documents).
 
 Null and empty texts have no features and get the model's base severity; texts of any length are read whole; repeated rows
 are scored alike; labels that are null, repeated or of unknown documents do no harm; without labels of both kinds all
-severities are 0. Empty tables give empty results; further columns are not read.
+severities are 0. Documents that share an id are one in the sample, by their smallest text. Empty tables give empty results;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, texts_of
+from .common import durable, map_texts, texts_of
 from .license_scan import words_of
 
 BEGINNINGS = range(4, 9)
@@ -82,8 +83,9 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, id_col: str, label_col:
     parts = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(rows // 2) for k in (0, 1)]
     chosen = parts[0].unionAll(parts[1])
     weights = {k: max(1.0, n / (rows // 2)) for k, n in counts.items()}
-    # at most ``rows`` pairs of two numbers
-    return docs.join(F.broadcast(chosen), "id").select("id", "text", "y"), weights, counts
+    # at most ``rows`` pairs of two numbers; of rows that share an id the smallest text stands for all
+    sample = docs.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return durable(sample.select("id", "text", "y")), weights, counts
 
 
 def _counted(batches, features: dict[bytes, int] | None):

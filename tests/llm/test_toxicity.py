@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 
@@ -44,6 +46,44 @@ def rows_text(rows, d):
     return next(r[1] for r in rows if r[0] == d).split()
 
 
+def brute_severity(text, model):
+    """(severity, grade, toxic) in plain Python, from the model's numbers."""
+    words = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    score = 0.0
+    for feature, k in model.features.items():
+        if feature.startswith(b"<"):
+            n = sum(w.encode()[: len(feature) - 1] == feature[1:] for w in words)
+        else:
+            n = sum(w.encode() == feature for w in words)
+        score += model.weights[k] * math.log1p(n)
+    above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+    shares = [1 - above[0], *(a - b for a, b in zip(above, above[1:], strict=False)), above[-1]]
+    return sum(above), shares.index(max(shares)), above[0] >= 0.5
+
+
+def test_severity_against_brute_force(spark):
+    rng = random.Random(9)
+    rows, labels = corpus(rng, 0, 300)
+    odd = [(9000, "VILE vilely. Ünder vile-ness " * 40, "", 0, "", 0), (9001, "<vile> <rotte", "", 0, "", 0)] + [(9100 + k, *r[1:]) for k, r in enumerate(odd_documents())]
+    model = X.fit(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), frame(spark, rows), sample_rows=200)
+    assert any(f.startswith(b"<") for f in model.features) and any(not f.startswith(b"<") for f in model.features)
+    got = {r.doc_id: r for r in X.score_toxicity(frame(spark, rows + odd), model).collect()}
+    for d, text, *_ in rows + odd:
+        severity, grade, toxic = brute_severity(text, model)
+        assert abs(got[d].severity - severity) < 1e-9 and got[d].toxic == toxic and got[d].grade == grade
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    rng = random.Random(10)
+    rows, labels = corpus(rng, 0, 60)
+    many = rows + [(k % 3, f"another text {k}", "", 0, "", 0) for k in range(3000)]
+    docs = X.texts_of(frame(spark, many), "doc_id", "text")
+    known = spark.createDataFrame(labels * 3, "doc_id long, quality int, toxic int")
+    sample, weights, counts = X.labelled_sample(known, docs, "doc_id", "toxic", 40)
+    ids = [r.id for r in sample.collect()]
+    assert len(ids) == len(set(ids)) <= 40 and counts == {0: 45, 1: 15} and weights == {0: 45 / 20, 1: 1.0}
+
+
 def test_no_labels_no_severity(spark):
     df = frame(spark, odd_documents())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
