@@ -3,17 +3,20 @@
 A document leaks an item if some run of its words is within ``1 - similarity`` of the item's word count in word edits.
 (Words are runs of letters and digits, A-Z lower-cased.) For every document, where it is read:
 
-1. A count of shared word runs (q-grams) finds the places that can hold an item at all. By the q-gram lemma a run within d
-   edits of an item of L words shares at least L - q + 1 - q d of its q-grams, on diagonals at most d apart, so no
-   leak is lost here.
-2. The item-sized windows around such a place are embedded by CGK random walks, which turn edit distance into Hamming
-   distance. Each of several repetitions samples a few places of the embedding; a window goes on if all sampled places
-   agree with the item's in one repetition. The number of repetitions is set by simulated edits so that a window at the
-   largest allowed distance passes with probability ``recall``; there are several windows to a place.
-3. The exact edit distance of the best run near a passing window decides (bit-parallel approximate matching).
+1. A pre-filter leaves out what cannot hold an item: by the q-gram lemma a run within d edits of an item of L words shares
+   at least L - q + 1 - q d of its word runs (q-grams), on diagonals at most d apart. It loses nothing, and tells only
+   where windows of which lengths are worth embedding (``prefilter=False``: every window of the document).
+2. The windows there, as long as the items, are embedded by CGK random walks, which turn edit distance into Hamming
+   distance. Each of several repetitions samples a few places of the embedding; their symbols are the window's bucket, in
+   which it meets the items of its length with the same symbols. The number of repetitions is set for each class of lengths
+   by simulation, under the hardest of several mixes of edits, such that a window at the largest allowed distance meets
+   its item with probability ``recall``.
+3. The exact edit distance of the item and the best run near the windows that met it decides (bit-parallel approximate
+   matching).
 
 The items are indexed on the driver in parts of at most ``index_bytes`` of text, each broadcast with its task closure; a
-larger benchmark takes several passes over the documents. Items of fewer than ``min_words`` words are not looked for.
+larger benchmark takes several passes over the documents. Items so short that no edit is allowed (under 5 words at a
+similarity of 0.8) are found word for word, by the same steps. An item without any word has nothing to be found.
 
 Null and empty texts leak nothing; texts of any length are searched whole; repeated rows are judged alike; null and
 repeated items do no harm. Empty tables give empty results; further columns are not read (or handed on unread).
@@ -94,29 +97,41 @@ class Embedding:
         return out
 
 
-def repeats_for(recall: float, similarity: float, samples: int, lengths: list[int], seed: int = 7, trials: int = 64) -> int:
-    """How many repetitions let a window at the largest allowed distance pass with probability ``recall``, by simulation."""
-    rng, rate = np.random.default_rng(seed), []
+#: Mixes of edits for the simulation: shares of changed, removed and added words.
+MIXES = ((1, 1, 1), (1, 0, 0), (0, 1, 0), (0, 0, 1))
+#: Repetitions from which on an embedding is read at single places: longer items need fewer of these.
+MANY = 256
+
+
+def passing_rates(embedding: Embedding, words: int, edits: int, mix: tuple[int, int, int], trials: int, seed: int) -> np.ndarray:
+    """For pairs of ``words`` words at ``edits`` edits, the share of the repetitions in which both have one bucket."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(1, 1 << 40, (trials, words))
+    b = a.copy()
+    for row in b:
+        for kind in rng.choice(3, edits, p=np.array(mix) / sum(mix)).tolist():
+            at, new = int(rng.integers(words)), int(rng.integers(1, 1 << 40))
+            if kind == 0:
+                row[at] = new
+            elif kind == 1:
+                row[at:] = np.append(row[at + 1 :], new)
+            else:
+                row[at:] = np.insert(row[at:], 0, new)[:-1]
+    return (embedding.read(a) == embedding.read(b)).all(2).mean(1)
+
+
+def embedding_for(words: int, similarity: float, recall: float, samples: int, seed: int = 7, trials: int = 48) -> Embedding:
+    """Enough repetitions for windows of up to ``words`` words at the largest allowed distance, by simulation."""
+    edits = edits_allowed(words, similarity)
+    if not edits:
+        return Embedding(1, samples, seed)
     probe = Embedding(128, samples, seed)
-    for words in sorted({*lengths})[:: max(1, len({*lengths}) // 8)]:
-        a = rng.integers(1, 1 << 40, (trials, words))
-        b = a.copy()
-        for row in b:
-            for _ in range(edits_allowed(words, similarity)):
-                at, kind = int(rng.integers(words)), int(rng.integers(3))
-                if kind == 0:
-                    row[at] = rng.integers(1, 1 << 40)
-                elif kind == 1:
-                    row[at:] = np.append(row[at + 1 :], rng.integers(1, 1 << 40))
-                else:
-                    row[at:] = np.insert(row[at:], 0, rng.integers(1, 1 << 40))[:-1]
-        # what one repetition's walk does differs by pair: take the pairs' own rates
-        rate.append((probe.read(a) == probe.read(b)).all(2).mean(1))
-    rate = np.clip(np.concatenate(rate), 1e-3, 1 - 1e-6)
+    # what one repetition's walk does differs by pair: the pairs' own rates count
+    rates = [np.clip(passing_rates(probe, words, edits, mix, trials, seed), 1e-3, 1 - 1e-6) for mix in MIXES]
     n = 1
-    while (1 - (1 - rate) ** n).mean() < recall and n < 512:
+    while min((1 - (1 - rate) ** n).mean() for rate in rates) < recall:
         n = math.ceil(n * 1.25)
-    return n
+    return embedding_for(words, similarity, recall, 1, seed, trials) if n > MANY and samples > 1 else Embedding(n, samples, seed)
 
 
 class Pattern:
@@ -158,15 +173,54 @@ class Pattern:
         return best, start, end
 
 
+def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open runs, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+class Buckets:
+    """The items of one length under their sampled symbols."""
+
+    def __init__(self, embedding: Embedding, items: list[int], words: list[np.ndarray]):
+        self.embedding, self.words = embedding, len(words[0])
+        keys = self._keys(np.stack(words))
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys, self.items = keys.ravel()[order], np.repeat(np.array(items), keys.shape[1])[order]
+
+    def _keys(self, windows: np.ndarray) -> np.ndarray:
+        """(windows, repeats): a hash of the repetition and its sampled symbols."""
+        read = self.embedding.read(windows)
+        with np.errstate(over="ignore"):
+            key = np.broadcast_to(np.arange(read.shape[1], dtype=np.uint64), read.shape[:2])
+            for k in range(read.shape[2]):
+                key = _mix(key * _ODD + read[:, :, k].astype(np.uint64))
+        return key
+
+    def meet(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all that share a bucket, in the items' order."""
+        keys = self._keys(windows)
+        low, high = np.searchsorted(self.keys, keys, "left").ravel(), np.searchsorted(self.keys, keys, "right").ravel()
+        n = high - low
+        post = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        window = np.repeat(np.repeat(np.arange(len(windows)), keys.shape[1]), n)
+        both = np.unique(np.stack((self.items[post], window)), axis=1)
+        return both[1], both[0]
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float, samples: int, min_words: int):
-        kept = [(i, words_of(t.encode())) for i, t in items]
-        kept = sorted((i, w) for i, w in kept if len(w) >= min_words)
-        self.ids = [i for i, _ in kept]
+    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float, samples: int, prefilter: bool = True):
+        kept = sorted((i, w) for i, w in ((i, words_of(t.encode())) for i, t in items) if w)
+        self.prefilter, self.ids = prefilter, [i for i, _ in kept]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, own in kept for w in own}), 1)}
         self.words = [np.array([self.vocabulary[w] for w in own], np.int64) for _, own in kept]
         self.edits = [edits_allowed(len(w), similarity) for w in self.words]
-        self.sizes = [gram_size(len(w), d) for w, d in zip(self.words, self.edits, strict=True)]
+        self.sizes = [min(len(w), gram_size(len(w), d)) for w, d in zip(self.words, self.edits, strict=True)]
         self.least = [max(1, len(w) - q + 1 - q * d) for w, q, d in zip(self.words, self.sizes, self.edits, strict=True)]
         self.patterns = [Pattern(w.tolist()) for w in self.words]
         self.postings = {}
@@ -175,8 +229,16 @@ class Index:
             places.sort()
             keys = np.array([p[0] for p in places], np.uint64)
             self.postings[q] = (keys, np.array([p[1] for p in places]), np.array([p[2] for p in places]))
-        self.embedding = Embedding(repeats_for(recall, similarity, samples, [len(w) for w in self.words]) if kept else 1, samples)
-        self.reads = [self.embedding.read(w[None, :])[0] for w in self.words]
+        of_length = defaultdict(list)
+        for k, w in enumerate(self.words):
+            of_length[len(w)].append(k)
+        embeddings, self.buckets, longest = {}, {}, 0
+        for words in sorted(of_length):
+            if words > longest:  # lengths of one class have the repetitions of its longest
+                longest = max(words, int(words * 1.25))
+            if longest not in embeddings:
+                embeddings[longest] = embedding_for(longest, similarity, recall, samples)
+            self.buckets[words] = Buckets(embeddings[longest], of_length[words], [self.words[k] for k in of_length[words]])
 
     def places(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, lowest diagonal, highest diagonal) where enough q-grams of an item stand close to one diagonal."""
@@ -209,43 +271,52 @@ class Index:
                     out += [(k, int(lows[x]), int(highs[y - 1])) for x, y in zip(cut.tolist(), ends, strict=True)]
         return out
 
+    def windows(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each length of items the runs (from, to) of the first words of the windows to embed."""
+        if not self.prefilter:
+            return {words: [(-words, len(ids))] for words in self.buckets}
+        out = defaultdict(list)
+        for k, low, high in self.places(ids):
+            out[len(self.words[k])].append((low - self.edits[k], high + self.edits[k] + 1))
+        return {words: joined(runs) for words, runs in out.items()}
+
     def leaks(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item, distance, first word, words) of every item that the text leaks, at its best place."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words_of(text)], np.int64)
         best: dict[int, tuple] = {}
-        for k, low, high in self.places(ids) if self.ids else ():
-            d, words = self.edits[k], len(self.words[k])
-            for first in range(low - d, high + d + 1, 4096):
-                last = min(high + d + 1, first + 4096)
-                padded = np.concatenate((np.zeros(max(0, -first), np.int64), ids[max(0, first) : last + words], np.zeros(words, np.int64)))
-                windows = np.lib.stride_tricks.sliding_window_view(padded, words)[: last - first]
-                near = (self.embedding.read(windows) == self.reads[k][None]).all(2).any(1)
-                passing = np.flatnonzero(near) + first
-                if not len(passing):
-                    continue
-                cuts = np.flatnonzero(np.concatenate(([True], np.diff(passing) > words)))
-                for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(passing)], strict=True):
-                    a, b = max(0, int(passing[x]) - d), int(passing[y - 1]) + words + d
-                    distance, start, end = self.patterns[k].best(ids[a:b].tolist())
-                    if distance <= d:
-                        best[k] = min(best.get(k, (words, 0, 0)), (distance, a + start, end - start))
+        for words, runs in self.windows(ids).items() if self.ids else ():
+            buckets = self.buckets[words]
+            step = max(64, (1 << 17) // buckets.embedding.repeats)
+            for begin, end in runs:
+                for first in range(begin, end, step):
+                    last = min(end, first + step)
+                    padded = np.concatenate((np.zeros(max(0, -first), np.int64), ids[max(0, first) : max(0, last + words)], np.zeros(words, np.int64)))
+                    near, items = buckets.meet(np.lib.stride_tricks.sliding_window_view(padded, words)[: last - first])
+                    cuts = np.flatnonzero(np.concatenate(([True], (np.diff(items) != 0) | (np.diff(near) > words), [True]))) if len(items) else []
+                    for x, y in zip(cuts, cuts[1:], strict=False):
+                        k = int(items[x])
+                        d = self.edits[k]
+                        a, b = max(0, first + int(near[x]) - d), first + int(near[y - 1]) + words + d
+                        distance, start, stop = self.patterns[k].best(ids[a : max(a, b)].tolist())
+                        if distance <= d:
+                            best[k] = min(best.get(k, (words, 0, 0)), (distance, a + start, stop - start))
         return [(self.ids[k], *found) for k, found in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame, item_col: str, text_col: str, similarity: float, recall: float, samples: int, min_words: int, index_bytes: int) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, item_col: str, text_col: str, similarity: float, recall: float, samples: int, index_bytes: int, prefilter: bool) -> Iterator[Index]:
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna().distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // index_bytes))
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        yield Index([(r["id"], r["text"]) for r in own.collect()], similarity, recall, samples, min_words)
+        yield Index([(r["id"], r["text"]) for r in own.collect()], similarity, recall, samples, prefilter)
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, samples: int = 2, min_words: int = 5, index_bytes: int = 16 << 20) -> DataFrame:
+def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, samples: int = 2, index_bytes: int = 16 << 20, prefilter: bool = True) -> DataFrame:
     """(id, item, distance, similarity, start_word, n_words): one row for each document and item that it leaks."""
     found = None
-    for index in indexes(benchmark, item_col, item_text_col, similarity, recall, samples, min_words, index_bytes):
+    for index in indexes(benchmark, item_col, item_text_col, similarity, recall, samples, index_bytes, prefilter):
 
         def each(ids: pa.Array, texts: list[bytes], index: Index = index) -> dict | None:
             rows = [(i, *leak) for i, text in zip(ids.to_pylist(), texts, strict=True) for leak in index.leaks(text)]
@@ -261,9 +332,9 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return found
 
 
-def drop_leaking(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, samples: int = 2, min_words: int = 5, index_bytes: int = 16 << 20) -> DataFrame:
+def drop_leaking(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, samples: int = 2, index_bytes: int = 16 << 20, prefilter: bool = True) -> DataFrame:
     """df without the rows that leak an item."""
-    for index in indexes(benchmark, item_col, item_text_col, similarity, recall, samples, min_words, index_bytes):
+    for index in indexes(benchmark, item_col, item_text_col, similarity, recall, samples, index_bytes, prefilter):
 
         def sift(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sparkpact.llm import decontaminate as C
 from sparkpact.llm.license_scan import words_of
 
@@ -32,6 +34,7 @@ def setting():
                 del w[at]
             else:
                 w.insert(at, f"w{rng.randrange(200)}")
+        w += ["too", "few", "words", "here"] if k % 50 == 0 else ["too", "few", "here"] if k % 50 == 1 else []
         rows.append((1000 + k, " ".join(words(rng, rng.randrange(100), 200) + [x.upper() for x in w] + words(rng, rng.randrange(100), 200)) + ".", "", 0, "", 0))
     return items, rows
 
@@ -43,7 +46,7 @@ def test_recall_and_precision(spark):
     want = {}
     for r in rows:
         text = words_of((r[1] or "").encode())
-        for i, t in items[1:30]:
+        for i, t in items[1:31]:
             item = words_of(t.encode())
             if (d := nearest(item, text)) <= C.edits_allowed(len(item), 0.8):
                 want[r[0], i] = d
@@ -52,6 +55,49 @@ def test_recall_and_precision(spark):
     assert all(want[k] == d for k, d in got.items())
 
 
+def most_edited(rng, item, mix):
+    """The item with as many edits as are allowed."""
+    w = list(item)
+    for k in range(C.edits_allowed(len(item), 0.8)):
+        at, kind = rng.randrange(len(w)), rng.choice(mix)
+        if kind == 0:
+            w[at] = f"new{k}"
+        elif kind == 1:
+            del w[at]
+        else:
+            w.insert(at, f"new{k}")
+    return w
+
+
+@pytest.mark.parametrize("mix", [(0,), (1,), (2,), (0, 1, 2)])
+def test_the_buckets_alone_reach_the_recall(mix):
+    """Without the pre-filter every window is embedded, and only what meets in a bucket is verified."""
+    rng = random.Random(14)
+    items = [(k, words(rng, n, 3000)) for k, n in enumerate([5, 8, 16, 30] * 6)]
+    index = C.Index([(k, " ".join(w)) for k, w in items], 0.8, 0.995, 2, prefilter=False)
+    found = 0
+    for k, w in items:
+        text = words(rng, 20, 3000) + most_edited(rng, w, mix) + words(rng, 20, 3000)
+        found += any(leak[0] == k for leak in index.leaks(" ".join(text).encode()))
+    assert found >= 0.96 * len(items)
+
+
+def test_longer_items_get_more_repetitions_or_single_places():
+    few, many = (C.embedding_for(n, 0.8, 0.995, 2, trials=8) for n in (20, 400))
+    assert few.samples == 2 and (many.samples, many.repeats) > (0, 0) and (many.repeats > few.repeats or many.samples == 1)
+    rates = [C.passing_rates(many, 400, 80, mix, 8, 3) for mix in C.MIXES]
+    assert all((rate > 0).mean() >= 0.9 for rate in rates)
+
+
+def test_the_prefilter_loses_nothing():
+    items, rows = setting()
+    pairs = [(i, t) for i, t in items if t and i is not None]
+    whole, sieved = (C.Index(pairs, 0.8, 0.995, 2, prefilter=p) for p in (False, True))
+    for r in rows[-40:]:
+        text = (r[1] or "").encode()
+        assert sieved.leaks(text) == whole.leaks(text)
+
+
 def test_parts_give_the_same(spark):
     items, rows = setting()
     bench, df = spark.createDataFrame(items, "item_id long, text string"), frame(spark, rows)
