@@ -188,11 +188,12 @@ def sampled_places(bands: int, bits: int) -> np.ndarray:
     return np.array([rng.permutation([b for b in range(64 * SPAN) if b // 64 != band % SPAN])[:bits] for band in range(bands)])
 
 
-def close_pairs(keys: np.ndarray, checks: np.ndarray, distance: int, small: int = 32, window: int = 4096, nearest: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(keys: np.ndarray, checks: np.ndarray, nodes: np.ndarray, distance: int, small: int = 8, window: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places with equal keys whose checks differ in at most ``distance`` bits. keys are sorted, checks sorted within a key.
 
-    Of a key that more than ``small`` share, a spanning forest of its close pairs and the ``nearest`` of each member stand
-    for all pairs, within overlapping runs of ``window`` neighbours: their number grows with the members, not their square.
+    Of a key that more than ``small`` share, a spanning forest of its close pairs and the nearest of each member stand for
+    all pairs, within overlapping runs of ``window`` neighbours: their number grows with the members, not their square. The
+    forest starts from the smallest node, so that it takes much the same pairs under all keys.
     """
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(cuts)
@@ -211,17 +212,17 @@ def close_pairs(keys: np.ndarray, checks: np.ndarray, distance: int, small: int
             own = checks[x : min(x + window, int(cuts[k + 1]))]
             if len(own) < 2:
                 continue
-            pairs = set(forest(own, distance))
+            order = np.argsort(nodes[x : x + len(own)], kind="stable")
+            i, j = np.array(forest(own[order], distance), np.int64).reshape(-1, 2).T
+            left.append(order[i] + x)
+            right.append(order[j] + x)
             for a in range(0, len(own), 256):
-                apart = np.bitwise_count(own[a : a + 256, None] ^ own[None, :]).astype(np.int16)
-                apart[np.arange(len(apart)), np.arange(a, a + len(apart))] = 999
-                best = np.argpartition(apart, min(nearest, len(own) - 1), axis=1)[:, :nearest]
-                row, col = np.nonzero(np.take_along_axis(apart, best, 1) <= distance)
-                pairs |= set(zip((row + a).tolist(), best[row, col].tolist(), strict=True))
-            if pairs:
-                i, j = np.array(sorted(pairs)).T
-                left.append(i + x)
-                right.append(j + x)
+                apart = np.bitwise_count(own[a : a + 256, None] ^ own[None, :])
+                apart[np.arange(len(apart)), np.arange(a, a + len(apart))] = 255
+                best = apart.argmin(1)
+                i = np.flatnonzero(apart[np.arange(len(apart)), best] <= distance)
+                left.append(i + a + x)
+                right.append(best[i] + x)
             if x + window >= cuts[k + 1]:
                 break
     none = np.zeros(0, np.int64)
@@ -246,7 +247,7 @@ def _candidates(nodes: DataFrame, bands: int, bits: int, distance: int) -> DataF
 
         def done(key: np.ndarray, check: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(key):
-                i, j = close_pairs(key, check.view(np.uint64), distance)
+                i, j = close_pairs(key, check.view(np.uint64), node, distance)
                 if len(i):
                     yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(node[i], node[j])), "b": pa.array(np.minimum(node[i], node[j]))})
 
