@@ -7,7 +7,8 @@
    compact arrays: a fingerprint, the smallest document id and the number of sightings.
 3. Documents probe these arrays; no line text and no line table is joined. If all shards together are below
    ``broadcast_bytes``, they are broadcast and each document is cleaned where it is read. Otherwise the documents' line
-   hashes are routed to salted copies of the shards, and only the numbers of the dropped lines come back.
+   hashes are routed to copies of the shards, as many as a shard's sightings ask for, and only the numbers of the dropped
+   lines come back.
 
 Null and empty texts are one empty line. Rows that share an id are one document, and each such row is cleaned alike. A
 null id counts as one document that is larger than all others. Keys shorter than ``min_chars`` code points are never
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import durable, map_texts, texts_of, utf8
-from .perfect_hash import PerfectHash
+from .perfect_hash import PerfectHash, mix
 
 WHITE = b" \t\n\r\x0b\x0c"
 NO_ID = (1 << 63) - 1
@@ -79,45 +80,61 @@ def shard_of(high: np.ndarray, shards: int) -> np.ndarray:
     return (high.view(np.uint64) >> np.uint64(20)) % np.uint64(shards)
 
 
+def mixed(high: np.ndarray, low: np.ndarray, seed: int) -> np.ndarray:
+    """One 64-bit key for a 128-bit hash: two different lines may share the high half, so the low half is mixed in."""
+    with np.errstate(over="ignore"):
+        return high.view(np.uint64) ^ (low.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ mix(low.view(np.uint64), seed)
+
+
 def build_index(repeated: DataFrame, shards: int) -> DataFrame:
     """One row for each shard: its perfect hash and its arrays, as binary."""
     shard = F.pmod(F.shiftrightunsigned("high", 20), F.lit(shards)).alias("shard")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["high"].to_numpy(np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)
-        # two different lines may share the high half: the low half is mixed in, and copies of a full hash do not exist
-        keys ^= pdf["low"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        high, low = pdf["high"].to_numpy(np.int64), pdf["low"].to_numpy(np.int64)
+        # of different hashes two may have one key under a seed: then the next seed
+        seed = next(k for k in range(1000) if len(np.unique(mixed(high, low, k))) == len(high))
+        keys = mixed(high, low, seed)
         table = PerfectHash.build(keys)
         at = table.index(keys)
         n = len(keys)
         prints, firsts, counts = np.zeros(n, "<u8"), np.zeros(n, "<i8"), np.zeros(n, "<u4")
-        prints[at] = pdf["low"].to_numpy(np.int64).view(np.uint64)
+        prints[at] = low.view(np.uint64)
         firsts[at] = pdf["first_id"].to_numpy(np.int64)
         counts[at] = np.minimum(pdf["sightings"].to_numpy(np.int64), (1 << 32) - 1)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "hash": [table.to_bytes()], "prints": [prints.tobytes()], "firsts": [firsts.tobytes()], "counts": [counts.tobytes()]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "seed": [seed], "hash": [table.to_bytes()], "prints": [prints.tobytes()], "firsts": [firsts.tobytes()], "counts": [counts.tobytes()]})
 
-    return repeated.select(shard, "high", "low", "first_id", "sightings").groupBy("shard").applyInPandas(build, "shard long, hash binary, prints binary, firsts binary, counts binary")
+    return repeated.select(shard, "high", "low", "first_id", "sightings").groupBy("shard").applyInPandas(build, "shard long, seed long, hash binary, prints binary, firsts binary, counts binary")
 
 
 class Shard:
-    def __init__(self, table: bytes, prints: bytes, firsts: bytes):
-        self.table, self.prints, self.firsts = PerfectHash.from_bytes(table), np.frombuffer(prints, "<u8"), np.frombuffer(firsts, "<i8")
+    def __init__(self, seed: int, table: bytes, prints: bytes, firsts: bytes, counts: bytes):
+        self.seed, self.table, self.prints = seed, PerfectHash.from_bytes(table), np.frombuffer(prints, "<u8")
+        self.firsts, self.counts = np.frombuffer(firsts, "<i8"), np.frombuffer(counts, "<u4")
 
-    def first_id(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """The id that keeps each line, or -1 where the line is not a repeated one (see ``found``)."""
-        with np.errstate(over="ignore"):
-            at = self.table.index(high.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D) ^ (low.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    def probe(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each line is a repeated one, the id that keeps it, and how many rows hold it."""
+        at = self.table.index(mixed(high, low, self.seed))
         found = at >= 0
         found[found] = self.prints[at[found]] == low.view(np.uint64)[found]
-        return found, np.where(found, self.firsts[np.where(found, at, 0)], 0)
+        at = np.where(found, at, 0)
+        return found, np.where(found, self.firsts[at], 0), np.where(found, self.counts[at], 0).astype(np.int64)
+
+
+#: Bytes of the arrays for a line: fingerprint, keeper, count, and about 3 bits of the perfect hash.
+ARRAY_BYTES = 21
+ARRAYS = ("seed", "hash", "prints", "firsts", "counts")
 
 
 def _clean(text: bytes, drop: set[int]) -> bytes:
     return b"\n".join(line for k, line in enumerate(text.split(b"\n")) if k not in drop) if drop else text
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 65_536, broadcast_bytes: int = 64 << 20, salts: int = 16) -> DataFrame:
-    """(id, text, n_lines, n_dropped, row): one row per input row, with the cleaned text. row holds df's other columns."""
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 65_536, broadcast_bytes: int = 64 << 20, salt_rows: int = 1_000_000) -> DataFrame:
+    """(id, text, n_lines, n_dropped, top_sightings, row): one row per input row, with the cleaned text.
+
+    top_sightings tells how many rows hold the most frequent of its dropped lines. row holds df's other columns.
+    """
     spark = df.sparkSession
     others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*others).alias("row"))
@@ -125,11 +142,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     n = repeated.count()
     shards = max(1, -(-n // shard_keys))
     index = build_index(repeated, shards)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), docs.schema["row"]])
-    if n * 24 > broadcast_bytes:
-        return _routed(docs, index, shards, min_chars, salts, schema).withColumnsRenamed({"id": id_col, "text": text_col})
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("top_sightings", T.LongType()), docs.schema["row"]])
+    if n * ARRAY_BYTES > broadcast_bytes:
+        shard = F.pmod(F.shiftrightunsigned("high", 20), F.lit(shards)).alias("shard")
+        # as many copies of a shard as its lines' sightings ask for: a hot line is spread over all of its shard's
+        salts = repeated.groupBy(shard).agg(F.ceil(F.sum("sightings") / salt_rows).alias("salts"))
+        return _routed(docs, index, durable(salts), shards, min_chars, schema, shards * 24 <= broadcast_bytes).withColumnsRenamed({"id": id_col, "text": text_col})
     # at most broadcast_bytes, as just checked
-    tables = spark.sparkContext.broadcast([(r["shard"], r["hash"], r["prints"], r["firsts"]) for r in index.drop("counts").collect()])
+    tables = spark.sparkContext.broadcast([(r["shard"], *(r[c] for c in ARRAYS)) for r in index.collect()])
     opened: dict[int, Shard] = {}
 
     def each(ids: pa.Array, texts: list[bytes]) -> list:
@@ -146,6 +166,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                     line.append(k)
                     keys.append(key)
         drop: dict[int, set[int]] = {}
+        top = np.zeros(len(texts), np.int64)
         if keys and opened:
             h = _hashes(keys)
             doc_at, line_at = np.array(doc), np.array(line)
@@ -154,14 +175,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             for s in np.unique(shard):
                 if int(s) in opened:
                     mine = np.flatnonzero(shard == s)
-                    found, first = opened[int(s)].first_id(np.ascontiguousarray(h[mine, 0]), np.ascontiguousarray(h[mine, 1]))
-                    gone = mine[found & (first != own_id[mine])]
+                    found, first, sightings = opened[int(s)].probe(np.ascontiguousarray(h[mine, 0]), np.ascontiguousarray(h[mine, 1]))
+                    lost = found & (first != own_id[mine])
+                    gone = mine[lost]
+                    np.maximum.at(top, doc_at[gone], sightings[lost])
                     for d, k in zip(doc_at[gone].tolist(), line_at[gone].tolist(), strict=True):
                         drop.setdefault(d, set()).add(k)
         for d, text in enumerate(texts):
             out.append(_clean(text, drop.get(d, ())))
             dropped.append(len(drop.get(d, ())))
-        return [pa.array(ids, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines_of, pa.int64()), pa.array(dropped, pa.int64())]
+        return [pa.array(ids, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines_of, pa.int64()), pa.array(dropped, pa.int64()), pa.array(top)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +194,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return docs.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
-def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, salts: int, schema: T.StructType) -> DataFrame:
+def _routed(docs: DataFrame, index: DataFrame, salts: DataFrame, shards: int, min_chars: int, schema: T.StructType, small: bool) -> DataFrame:
     """The same by routing line hashes to the shards, for indexes that are too large to broadcast.
 
     Documents meet their dropped line numbers by id and text hash; the documents are shuffled once.
@@ -191,10 +214,13 @@ def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, salt
                 yield pa.RecordBatch.from_pydict(dict(zip(("key", "text_hash", "line", "high", "low"), map(pa.array, map(np.concatenate, out)), strict=True)))
 
     lines = docs.select("key", "text_hash", "text").mapInArrow(hashes, "key long, text_hash long, line long, high long, low long")
-    lines = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("high", 20), F.lit(shards))).withColumn("salt", F.pmod(F.xxhash64("key", "line"), F.lit(salts)))
-    copies = index.drop("counts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    one = lines.select("shard", "salt", F.lit(1).alias("kind"), "key", "text_hash", "line", "high", "low", *(F.lit(None).cast("binary").alias(c) for c in ("hash", "prints", "firsts")))
-    two = copies.select("shard", "salt", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("key", "text_hash", "line", "high", "low")), "hash", "prints", "firsts")
+    salts = F.broadcast(salts) if small else salts  # a row for each shard; shards without a repeated line drop out
+    lines = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("high", 20), F.lit(shards))).join(salts, "shard")
+    lines = lines.withColumn("salt", F.pmod(F.xxhash64("key", "line"), F.col("salts")))
+    copies = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    probes, kinds = ("key", "text_hash", "line", "high", "low"), dict(zip(ARRAYS, ("long", *["binary"] * 4), strict=True))
+    one = lines.select("shard", "salt", F.lit(1).alias("kind"), *probes, *(F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
+    two = copies.select("shard", "salt", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in probes), *ARRAYS)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, table = None, None
@@ -206,24 +232,25 @@ def _routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, salt
                     continue
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
-                    at, table = (shard[a], salt[a]), Shard(*(part.column(c)[0].as_py() for c in ("hash", "prints", "firsts")))
+                    at, table = (shard[a], salt[a]), Shard(*(part.column(c)[0].as_py() for c in ARRAYS))
                 elif at == (shard[a], salt[a]):
                     high, low, key = (part.column(c).to_numpy() for c in ("high", "low", "key"))
-                    found, first = table.first_id(high, low)
+                    found, first, sightings = table.probe(high, low)
                     gone = np.flatnonzero(found & (first != key))
                     if len(gone):
-                        yield pa.RecordBatch.from_pydict({c: part.column(c).take(pa.array(gone)) for c in ("key", "text_hash", "line")})
+                        yield pa.RecordBatch.from_pydict({c: part.column(c).take(pa.array(gone)) for c in ("key", "text_hash", "line")} | {"sightings": pa.array(sightings[gone])})
 
     both = one.unionByName(two).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    gone = both.mapInArrow(probe, "key long, text_hash long, line long").groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone"))
+    gone = both.mapInArrow(probe, "key long, text_hash long, line long, sightings long")
+    gone = gone.groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone"), F.max("sightings").alias("top"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, drops = utf8(batch.column("text")), [set(x or ()) for x in batch.column("gone").to_pylist()]
             out = [_clean(t, d) for t, d in zip(texts, drops, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()), pa.array([len(d) for d in drops], pa.int64()), batch.column("row")], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()), pa.array([len(d) for d in drops], pa.int64()), batch.column("top"), batch.column("row")], names=schema.names)
 
-    return docs.join(gone, ["key", "text_hash"], "left").select("id", "text", "row", "gone").mapInArrow(clean, schema)
+    return docs.join(gone, ["key", "text_hash"], "left").select("id", "text", "row", "gone", F.coalesce("top", F.lit(0).cast("long")).alias("top")).mapInArrow(clean, schema)
 
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:

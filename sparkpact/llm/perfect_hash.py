@@ -31,6 +31,8 @@ class PerfectHash:
     @classmethod
     def build(cls, keys: np.ndarray) -> "PerfectHash":
         keys, sizes, bits, level = keys.astype(np.uint64), [], [], 0
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("repeated keys have no perfect hash")
         while len(keys):
             size = max(1, int(len(keys) * GAMMA))
             at = (mix(keys, level) % np.uint64(size)).astype(np.int64)

@@ -35,7 +35,7 @@ def rows():
     return odd_documents() + more
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_keys": 5}, {"broadcast_bytes": 0, "shard_keys": 9, "salts": 3}])
+@pytest.mark.parametrize("options", [{}, {"shard_keys": 5}, {"broadcast_bytes": 0, "shard_keys": 9, "salt_rows": 7}])
 def test_against_brute_force(spark, options):
     got = D.digest(D.dedup_lines(frame(spark, rows()), **options)).collect()
     assert sorted(str(tuple(r)) for r in got) == brute(rows())
@@ -60,3 +60,19 @@ def test_perfect_hash():
         table = PerfectHash.from_bytes(PerfectHash.build(keys).to_bytes())
         assert sorted(table.index(keys).tolist()) == list(range(len(keys)))
         assert (table.index(rng.integers(0, 1 << 63, 100).astype(np.uint64)) < max(1, len(keys))).all()
+
+
+def test_colliding_keys_take_another_seed(monkeypatch):
+    with pytest.raises(ValueError):
+        D.PerfectHash.build(np.array([7, 7], np.uint64))
+    plain = D.mixed
+    monkeypatch.setattr(D, "mixed", lambda high, low, seed: np.zeros(len(high), np.uint64) if seed == 0 else plain(high, low, seed))
+    seeds = [k for k in range(3) if len(np.unique(D.mixed(np.arange(5), np.arange(5), k))) == 5]
+    assert seeds == [1, 2]
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "salt_rows": 5}])
+def test_counts_of_sightings(spark, options):
+    data = [(k, f"a line that {k % 7} others hold\nthe line that all of them hold\nown line of number {k}", "", 0, "", 0) for k in range(40)]
+    got = {r.doc_id: r.top_sightings for r in D.dedup_lines(frame(spark, data), **options).collect()}
+    assert got == {k: 40 if k else 0 for k in range(40)}
