@@ -1,10 +1,12 @@
 """Quality rules: plain base counts, then the divergence of a document's histograms from its language's reference.
 
-Three histograms are compared by Jensen-Shannon distance: character classes, the share of each common word of the
-language (with one bin for all other words), and single symbols such as '|' beside the number of words. The references are the corpus's own: one pass takes the mean of the
-histograms of all documents of each known language, which has a fixed size. A document is rejected if a distance passes its threshold,
-which falls with the number of words as sampling noise does; documents below ``min_words`` words are not judged by distance. A document in an unknown language is compared with every
-reference and judged by the one whose common words are nearest.
+Three histograms are compared by Jensen-Shannon distance: character classes, the share of each common word of the language
+(with one bin for all other words), and single symbols such as '|' beside the number of words. The references are the
+corpus's own, of a fixed size for each language: the mean histograms of all its documents that pass the base rules. Common
+words are given for a few languages (``COMMON``) and learned for every other one that the table names: those found in the
+most documents. A document is rejected if a distance passes its threshold, which falls with the number of words as sampling
+noise does. No distance is judged, and the base rules alone decide, for documents below ``min_words`` words and for those of
+no language or a rare one (under ``min_documents`` documents, or under one in ``1 / min_share``).
 
 Null and empty texts have no words and fail the base rule; texts of any length are counted whole; repeated rows are judged
 alike; an empty table gives an empty result; further columns are not read.
@@ -16,7 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import utf8
@@ -55,19 +57,12 @@ def limit(floor: float, noise: float, words: int) -> float:
     return floor + noise / np.sqrt(words)
 
 
-def word_histograms(text: bytes, languages: list[str]) -> dict[str, np.ndarray]:
-    """For each language the counts of its common words and of all others."""
+def word_histogram(text: bytes, common: list[bytes]) -> np.ndarray:
+    """The counts of a language's common words and of all others."""
     words = text.translate(TO_WORDS).split()
-    n = Counter(w for w in words if w in _ANY_COMMON)
-    out = {}
-    for lang in languages:
-        own = [n[w] for w in _COMMON_BYTES[lang]]
-        out[lang] = np.array([*own, len(words) - sum(own)], float)
-    return out
-
-
-_COMMON_BYTES = {lang: [w.encode() for w in words] for lang, words in COMMON.items()}
-_ANY_COMMON = frozenset(w for words in _COMMON_BYTES.values() for w in words)
+    n = Counter(words)
+    own = [n[w] for w in common]
+    return np.array([*own, len(words) - sum(own)], float)
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
@@ -114,54 +109,87 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), len(solid.translate(None, _CONTINUES)), len(text) - len(text.translate(None, b"#*$%&|<>")), again, repeated_words(words)
 
 
-def references(docs: DataFrame, min_words: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The mean histograms of all documents of ``min_words`` words of each known language: len(COMMON) short rows.
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 20 or 100 * n_repeat_words > 30 * n_words
+
+
+def common_words(docs: DataFrame, min_documents: int, min_share: float, size: int = 30, least_share: float = 0.05) -> dict[str, list[bytes]]:
+    """The common words of each language of the table that is not rare: at most ``1 / min_share`` languages.
+
+    For languages without given words: the ``size`` words found in the most documents, of those found in ``least_share``.
+    """
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = {r["lang"]: r["n"] for r in counts.where(F.col("lang").isNotNull() & (F.col("n") >= max(min_documents, min_share * total))).collect()}
+    out = {lang: [w.encode() for w in words] for lang, words in COMMON.items() if lang in frequent}
+    learned = {lang: n for lang, n in frequent.items() if lang not in COMMON}
+    if not learned:
+        return out
+
+    def each(batches):
+        for batch in batches:
+            n: Counter = Counter()
+            for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
+                n.update((lang, w) for w in {*text.translate(TO_WORDS).split()})
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n]), pa.array([k[1] for k in n], pa.binary()), pa.array([*n.values()], pa.int64())], names=["lang", "word", "n"])
+
+    least = F.create_map(*(F.lit(x) for lang, n in learned.items() for x in (lang, least_share * n)))
+    found = docs.where(F.col("lang").isin(*learned)).mapInArrow(each, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # a text has few words that so many others have: what is left of a language is small
+    found = found.where(F.col("n") >= least[F.col("lang")])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    for r in found.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect():
+        out.setdefault(r["lang"], []).append(bytes(r["word"]))
+    return out
+
+
+def references(docs: DataFrame, common: dict[str, list[bytes]], min_words: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The mean histograms of all documents of ``min_words`` words of each language that pass the base rules: a short row each.
 
     Every document counts alike, so a few very long ones don't set the reference.
     """
-    bins = {lang: len(CLASSES[0]) + len(words) + 1 + len(SYMBOLS) + 1 for lang, words in COMMON.items()}
+    bins = {lang: len(CLASSES[0]) + len(words) + 1 + len(SYMBOLS) + 1 for lang, words in common.items()}
+    if not common:
+        return {}
 
     def each(batches):
-        total = {lang: np.zeros(n) for lang, n in bins.items()}
+        total = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
-                if lang in total and (words := word_histograms(text, [lang])[lang]).sum() >= min_words:
+                words = word_histogram(text, common[lang])
+                own = text.split()
+                if words.sum() >= min_words and not base_failed(len(own), repeated_words(own)):
                     found = class_histogram(text), words, symbol_histogram(text, words.sum())
-                    total[lang] += np.concatenate([h / h.sum() for h in found])
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([*total]), "sums": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
-
-    parts = docs.where(F.col("lang").isin(*COMMON)).mapInArrow(each, "lang string, sums array<double>")
-    rows = parts.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("n")).collect()
-    out = {}
-    for lang in COMMON:
-        v = np.zeros(bins[lang])
-        for r in rows:
-            if r["lang"] == lang:
-                v[r["pos"]] = r["n"]
-        if v.sum():
-            out[lang] = tuple(np.split(v, [len(CLASSES[0]), len(v) - len(SYMBOLS) - 1]))
-    return out
+                    total[lang] = total.get(lang, 0) + np.concatenate([h / h.sum() for h in found])
+        if total:
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([*total]), "sums": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
+
+    parts = docs.where(F.col("lang").isin(*common)).mapInArrow(each, "lang string, sums array<double>")
+    sums: dict[str, np.ndarray] = {}
+    for r in parts.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("n")).collect():
+        sums.setdefault(r["lang"], np.zeros(bins[r["lang"]]))[r["pos"]] = r["n"]
+    return {lang: tuple(np.split(v, [len(CLASSES[0]), len(v) - len(SYMBOLS) - 1])) for lang, v in sums.items()}
 
 
-def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, class_limit: tuple[float, float] = (0.14, 1.0), word_limit: tuple[float, float] = (0.09, 2.0), symbol_limit: tuple[float, float] = (0.25, 0.4), keep: bool = False) -> DataFrame:
+def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, class_limit: tuple[float, float] = (0.14, 1.0), word_limit: tuple[float, float] = (0.09, 2.0), symbol_limit: tuple[float, float] = (0.25, 0.4), keep: bool = False, min_documents: int = 30, min_share: float = 1e-4) -> DataFrame:
     """The base counts, class_distance, word_distance (null if not judged), base_failed and kept of every row.
 
     The limits are a floor and what is added for sampling noise in a text of one word. The symbols' distance is judged too.
     keep: hand on all columns of df instead, of the rows that are kept.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    known = references(docs, min_words)
-    names = [*known]
+    common = common_words(docs, min_documents, min_share)
+    known = references(docs, common, min_words)
 
     def judge(text: bytes, lang: str | None) -> tuple:
         n, chars, symbols, dup, repeat = base_counts(text)
-        failed = n < 20 or 100 * repeat > 30 * n
-        if n < min_words or not names:
+        failed = base_failed(n, repeat)
+        if n < min_words or lang not in known:
             return n, chars, symbols, dup, repeat, None, None, failed, not failed
-        own = [lang] if lang in known else names
-        classes, words = class_histogram(text), word_histograms(text, own)
-        by_word, by_class, nearest = min((jensen_shannon(words[x], known[x][1]), jensen_shannon(classes, known[x][0]), x) for x in own)
-        by_symbol = jensen_shannon(symbol_histogram(text, words[nearest].sum()), known[nearest][2])
+        words = word_histogram(text, common[lang])
+        by_class, by_word = jensen_shannon(class_histogram(text), known[lang][0]), jensen_shannon(words, known[lang][1])
+        by_symbol = jensen_shannon(symbol_histogram(text, words.sum()), known[lang][2])
         good = by_class <= limit(*class_limit, n) and by_word <= limit(*word_limit, n) and by_symbol <= limit(*symbol_limit, n)
         return n, chars, symbols, dup, repeat, by_class, by_word, failed, bool(not failed and good)
 

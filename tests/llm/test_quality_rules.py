@@ -94,3 +94,17 @@ def test_hidden_language_changes_no_verdict_of_clean_text(spark):
     lost = clean.select((-1 - F.col("doc_id")).alias("doc_id")).join(found.where("NOT kept"), "doc_id")
     assert clean.count() > 200
     assert lost.count() == 0
+
+
+def test_other_languages_are_learned(spark):
+    rng = random.Random(21)
+    italian = lambda n: " ".join(rng.choice("di che il per un del non la sono con".split()) if rng.random() < 0.45 else "".join(rng.choice("aeioulrtn") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    chinese = lambda n: " ".join("".join(rng.choice("的一是不了人我在有他这中大来上") for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    rows = [(k, italian(rng.randrange(80, 200)), "it", 0, "", 0) for k in range(60)] + [(100 + k, chinese(rng.randrange(80, 200)), "zh", 0, "", 0) for k in range(60)]
+    rows += [(200 + k, chinese(120), "rare", 0, "", 0) for k in range(3)]
+    junk = [(300, " | ".join(words(rng, 120)), "it", 0, "", 0), (301, " ".join(w + "***" for w in words(rng, 100)), "zh", 0, "", 0)]
+    got = {r.doc_id: r for r in Q.judge_quality(frame(spark, rows + junk)).collect()}
+    assert all(got[r[0]].kept for r in rows) and not any(got[r[0]].kept for r in junk)
+    assert got[200].word_distance is None and got[0].word_distance is not None
+    learned = Q.common_words(frame(spark, rows), 30, 1e-4)
+    assert {b"di", b"che", b"il"} <= {*learned["it"]} and len(learned["it"]) <= 30 and "rare" not in learned
