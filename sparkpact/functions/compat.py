@@ -97,12 +97,24 @@ ISO_DATE = r"\A[0-9]{4}(?:-[0-9]{2}(?:-[0-9]{2})?)?\z"
 ISO_TIME = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?\z"
 
 
+def _based(digits: Column, base: int, block: int) -> Column:
+    """The nearest double of digits to a base that is a power of two. The first two blocks of digits are taken exactly, as a
+    decimal; of what follows only the length counts, and whether it is zero."""
+    digits = F.regexp_replace(digits, r"\A0+(?=.)", "")
+    whole = lambda text: F.coalesce(F.conv(F.when(text != "", text), base, 10), F.lit("0")).cast("decimal(19,0)")
+    high, low, rest = F.substring(digits, 1, block), F.substring(digits, block + 1, block), F.substring(digits, F.lit(2 * block + 1), F.length(digits))
+    shift = F.pow(F.lit(float(base)), F.length(low)).cast("decimal(19,0)")
+    head = (whole(high) * shift).cast("decimal(38,0)") + whole(low).cast("decimal(38,0)")
+    odd = F.when(rest.rlike("[^0]") & (head % 2 == 0), F.lit(1)).otherwise(F.lit(0))
+    return (head + odd).cast("double") * F.pow(F.lit(float(base)), F.length(rest))
+
+
 def to_number(c: Column) -> Column:
     """Number(text): null where that is NaN. Blank texts are 0; hexadecimal, octal and binary forms count."""
     t = js_trim(c)
     based = F.lit(None).cast("double")
-    for mark, digits, base in (("x", "0-9a-fA-F", 16), ("o", "0-7", 8), ("b", "01", 2)):
-        based = F.when(t.rlike(f"\\A0[{mark}{mark.upper()}][{digits}]{{1,15}}\\z"), F.conv(F.substring(t, 3, 60), base, 10).cast("double")).otherwise(based)
+    for mark, digits, base, block in (("x", "0-9a-fA-F", 16, 15), ("o", "0-7", 8, 20), ("b", "01", 2, 60)):
+        based = F.when(t.rlike(f"\\A0[{mark}{mark.upper()}][{digits}]+\\z"), _based(F.substring(t, F.lit(3), F.length(t)), base, block)).otherwise(based)
     infinite = F.when(t.isin("Infinity", "+Infinity"), F.lit(float("inf"))).when(t == "-Infinity", F.lit(float("-inf")))
     return F.when(t == "", F.lit(0.0)).when(t.rlike(NUMBER_TEXT), t.try_cast("double")).otherwise(F.coalesce(infinite, based))
 
@@ -118,8 +130,13 @@ def iso_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def strict_json(c: Column) -> Column:
+    """The JSON text as VARIANT; null where JSON.parse fails. Spark's parser overlooks what follows the first value: what is
+    inside of two kinds of brackets shows it."""
+    listed, keyed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}")))
+    return F.when(keyed.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def valid_json(c: Column) -> Column:
-    """Whether JSON.parse takes the text. Spark's parser overlooks what follows the first value; two wrappings show it."""
-    one = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
-    two = F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}"))).isNotNull()
-    return one & two & ~c.rlike(r"\A[ \t\n\r]*\z")
+    """Whether JSON.parse takes the text."""
+    return strict_json(c).isNotNull()

@@ -35,6 +35,8 @@ class Setting:
     max_depth: int
     #: Whether what is looked up may be bound inside a lambda. Spark runs no Python there, so contracts with Python rules go without.
     binds: bool = True
+    #: Only a record's first issue is asked for.
+    first: bool = False
 
 
 def is_kind(v: Val, kind: str) -> Column:
@@ -67,6 +69,12 @@ class Compiler:
     def __init__(self, setting: Setting):
         self.setting = setting
 
+    def _gathered(self, maybe: list[I.Maybe]) -> Column:
+        return I.gathered(maybe, self.setting.first)
+
+    def _joined(self, lists: list[Column]) -> Column:
+        return I.joined(lists, self.setting.first)
+
     def _let(self, value: Column, body) -> Column:
         return let(value, body) if self.setting.binds else body(value)
 
@@ -102,7 +110,7 @@ class Compiler:
                 values.append(value.alias(f.name))
                 if found is not None:
                     lists.append(found)
-            found = F.when(~v.has("object"), F.array(I.issue(prefix, I.INVALID_INPUT))).otherwise(I.joined(lists))
+            found = F.when(~v.has("object"), F.array(I.issue(prefix, I.INVALID_INPUT))).otherwise(self._joined(lists))
             return result(F.struct(*values) if values else F.lit(None).cast("struct<>"), found)
 
         if not below:
@@ -111,7 +119,7 @@ class Compiler:
 
     def _unknown(self, allowed: set[str], v: Val, prefix: Column) -> Column:
         if isinstance(v.shape, T.StructType):
-            return I.gathered([I.issue(F.concat(prefix, F.lit(k)), I.UNKNOWN_KEY) for k in v.shape.names if k not in allowed])
+            return self._gathered([I.when(F.lit(True), I.issue(F.concat(prefix, F.lit(k)), I.UNKNOWN_KEY)) for k in v.shape.names if k not in allowed])
         keys = F.filter(F.coalesce(v.keys(), F.array().cast("array<string>")), lambda k: ~k.isin(*allowed))
         return F.transform(keys, lambda k: I.issue(F.concat(prefix, k), I.UNKNOWN_KEY))
 
@@ -168,7 +176,7 @@ class Compiler:
         """A rule's groups matter only to callers who name groups."""
         return not use.groups or not self.setting.groups or bool(self.setting.groups & {*use.groups})
 
-    def _broken(self, f: FieldSpec, uses: list[RuleUse], v: Val, path: Column) -> list[Column]:
+    def _broken(self, f: FieldSpec, uses: list[RuleUse], v: Val, path: Column) -> list[I.Maybe]:
         return [I.when(~use.rule.passes(v), I.issue(path, use.rule.name, *self._extras(f, use, v))) for use in uses if self._runs(use)]
 
     # ---- plain fields ----
@@ -196,13 +204,13 @@ class Compiler:
                 failed = I.issue(path, gated[0].rule.name, *self._extras(f, None, v))
             uses = [asserter] if asserter is not None and asserter.rule.name in _MORE_THAN_KIND else []
             uses += [u for u in general if u is not asserter] + [u for u in gated if u not in uses]
-            lists.append(F.when(~ok, F.array(failed)).otherwise(I.gathered(self._broken(f, uses, v, path))))
+            lists.append(F.when(~ok, F.array(failed)).otherwise(self._gathered(self._broken(f, uses, v, path))))
         elif general:
-            lists.append(I.gathered(self._broken(f, general, v, path)))
+            lists.append(self._gathered(self._broken(f, general, v, path)))
         each = [u for u in f.rules if u.each]
         if each:
             lists.append(self._each(f, each, v, path))
-        return self._output(f, v, gate, each), I.joined(lists) if lists else None
+        return self._output(f, v, gate, each), self._joined(lists) if lists else None
 
     def _each(self, f: FieldSpec, uses: list[RuleUse], v: Val, path: Column) -> Column:
         """Element rules: one pass over the elements for each rule."""
@@ -213,7 +221,7 @@ class Compiler:
         if not v.kinds.keys() & {"array", "object"} or "array" not in v.kinds and not isinstance(v.shape, T.MapType):
             return F.array(I.issue(path, "isArray", *self._extras(f, None, v)))
         lists = [self._each_rule(f, use, v, whole, item, path) for use in uses if self._runs(use)]
-        return F.when(whole.isNull(), F.array(I.issue(path, "isArray", *self._extras(f, None, v)))).otherwise(I.joined(lists))
+        return F.when(whole.isNull(), F.array(I.issue(path, "isArray", *self._extras(f, None, v)))).otherwise(self._joined(lists))
 
     def _each_rule(self, f: FieldSpec, use: RuleUse, v: Val, whole: Column, item, path: Column) -> Column:
         def at(i: Column) -> Column:
@@ -222,7 +230,8 @@ class Compiler:
         if use.rule.python:
             good = elements_by_python(use.rule, v)
             return F.array_compact(F.transform(good, lambda ok, i: F.when(~ok, I.issue(at(i), use.rule.name, *self._extras(f, use, v)))))
-        return F.array_compact(F.transform(whole, lambda x, i: F.when(~use.rule.passes(item(x)), I.issue(at(i), use.rule.name, *self._extras(f, use, item(x))))))
+        found = F.array_compact(F.transform(whole, lambda x, i: F.when(~use.rule.passes(item(x)), I.issue(at(i), use.rule.name, *self._extras(f, use, item(x))))))
+        return F.when(F.exists(whole, lambda x: ~use.rule.passes(item(x))), found).otherwise(I.none())
 
     def _output(self, f: FieldSpec, v: Val, gate: str | None, each: list[RuleUse]) -> Column:
         kind = gate or next((ASSERTS[u.rule.name] for u in f.rules if not u.each and u.rule.name in ASSERTS), None)
@@ -258,7 +267,7 @@ class Compiler:
         own = self._broken(f, [u for u in f.rules if not u.each], v, path)
         return self._elements(f, v, path, own, one)
 
-    def _elements(self, f: FieldSpec, v: Val, path: Column, own: list[Column], one) -> Column:
+    def _elements(self, f: FieldSpec, v: Val, path: Column, own: list[I.Maybe], one) -> Column:
         wrong = F.array(I.issue(path, "isArray", *self._extras(f, None, v)))
         if "array" not in v.kinds:
             return result(F.lit(None).cast("string"), wrong)
@@ -269,8 +278,8 @@ class Compiler:
         each = F.transform(v.get("array"), lambda x, i: one(v.item(x), at(i), F.concat(at(i), F.lit("."))))
 
         def whole(r: Column) -> Column:
-            below = F.flatten(F.transform(r, lambda x: x["issues"]))
-            return result(F.transform(r, lambda x: x["value"]), F.when(r.isNull(), wrong).otherwise(I.joined(([I.gathered(own)] if own else []) + [below])))
+            below = F.flatten(r["issues"])
+            return result(r["value"], F.when(r.isNull(), wrong).otherwise(self._joined(([self._gathered(own)] if own else []) + [below])))
 
         return self._let(each, whole)
 
@@ -305,12 +314,12 @@ class Compiler:
             own = self._broken(f, [u for u in f.rules if not u.each], v, path)
             if cls is not None:
                 inner = self._elements(f, v, path, own, lambda x, at, below: self._deeper(f, x, below, depth))
-                return self._let(inner, lambda r: result(r["value"], I.joined([r["issues"], self._each_of(f, each, v, path)]))) if each else inner
+                return self._let(inner, lambda r: result(r["value"], self._joined([r["issues"], self._each_of(f, each, v, path)]))) if each else inner
             wrong = F.array(I.issue(path, "isArray", *self._extras(f, None, v)))
             if "array" not in v.kinds:
                 return result(F.lit(None).cast("string"), wrong)
-            lists = ([I.gathered(own)] if own else []) + ([self._each_of(f, each, v, path)] if each else [])
-            return result(self._distinct(v, each), F.when(~v.has("array"), wrong).otherwise(I.joined(lists)))
+            lists = ([self._gathered(own)] if own else []) + ([self._each_of(f, each, v, path)] if each else [])
+            return result(self._distinct(v, each), F.when(~v.has("array"), wrong).otherwise(self._joined(lists)))
         wrong = F.array(I.issue(path, "isObject", *self._extras(f, None, v)))
         if "object" not in v.kinds:
             return result(F.lit(None).cast("string"), wrong)
@@ -327,13 +336,13 @@ class Compiler:
             lists = [F.flatten(F.transform(r, lambda e: e["r"]["issues"]))] if cls is not None else []
             if each:
                 lists.append(self._each_of(f, each, v, path, F.transform(r, lambda e: e["value"]), v.entry_item))
-            return result(value, F.when(v.has("object"), I.joined(lists)).otherwise(wrong))
+            return result(value, F.when(v.has("object"), self._joined(lists)).otherwise(wrong))
 
         return self._let(entries, whole)
 
     def _each_of(self, f: FieldSpec, uses: list[RuleUse], v: Val, path: Column, whole: Column | None = None, item=None) -> Column:
         whole, item = (v.get("array"), v.item) if whole is None else (whole, item)
-        return F.coalesce(I.joined([self._each_rule(f, use, v, whole, item, path) for use in uses if self._runs(use)]), I.none())
+        return F.coalesce(self._joined([self._each_rule(f, use, v, whole, item, path) for use in uses if self._runs(use)]), I.none())
 
     @staticmethod
     def _distinct(v: Val, each: list[RuleUse]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ContractError
+from ..functions.compat import strict_json
 from ..functions.values import let, probed, typed, variant
 from . import compile as C
 from . import issues as I
@@ -19,7 +20,7 @@ from .field import DECODE, ENCODE, check, declared
 @dataclass(frozen=True)
 class Config:
     """auto_convert: convert values of another kind. allow_class_defaults: a missing key takes the field's default.
-    stop_at_first_error: keep the first issue only. forbid_unknown: keys that no field declares are issues.
+    stop_at_first_error: the first issue only; what comes after it is not looked at. forbid_unknown: keys that no field declares are issues.
     debug: ``explain`` names what was left out. null_as: what SQL's null stands for in typed columns, 'missing' or 'null'.
     max_depth: how deep recursive contracts are followed; what is deeper is an issue.
     """
@@ -87,7 +88,7 @@ class Engine:
         if isinstance(groups, str) or groups is not None and not all(isinstance(g, str) for g in groups):
             raise ContractError("groups is a list of texts")
         c = self.config
-        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth, binds))
+        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth, binds, c.stop_at_first_error))
 
     def _whole(self, cls: type, schema: T.StructType, groups: Iterable[str] | None, document: str | None) -> Column:
         """The result of a row, compiled once for each contract, schema and set of groups."""
@@ -107,9 +108,9 @@ class Engine:
 
     @staticmethod
     def _document(compiler: C.Compiler, cls: type, column: Column, is_text: bool) -> Column:
-        """A document's result: it is parsed once, and its keys are read in the text's order."""
+        """A document's result: its text must be one JSON value and nothing more; its keys are read in the text's order."""
         names = F.json_object_keys(column) if is_text else None
-        parsed = F.try_parse_json(column) if is_text else column
+        parsed = strict_json(column) if is_text else column
         if not compiler.setting.binds:
             return compiler.record(cls, replace(variant(parsed), names=names), F.lit(""))
         return let(probed(parsed), lambda p: compiler.record(cls, replace(variant(p["x"], p), names=names), F.lit("")))

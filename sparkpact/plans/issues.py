@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column
@@ -29,15 +32,36 @@ def issue(path: Column, code: str, message: Any = None, context: Any = None, con
     return F.struct(path.alias("path"), F.lit(code).alias("code"), text(message).alias("message"), text(context).alias("context"), text(constraints).alias("constraints"))
 
 
-def when(condition: Column, one: Column) -> Column:
-    """The issue, or null."""
-    return F.when(condition, one)
+@dataclass(frozen=True)
+class Maybe:
+    """An issue under a condition; a condition that is null is no issue."""
 
+    condition: Column
+    issue: Column
 
-def gathered(maybe: list[Column]) -> Column:
-    """The issues among columns of an issue or null."""
-    return F.array_compact(F.array(*maybe)) if maybe else none()
 
+def when(condition: Column, one: Column) -> Maybe:
+    return Maybe(condition, one)
 
-def joined(lists: list[Column]) -> Column:
-    return none() if not lists else lists[0] if len(lists) == 1 else F.concat(*lists)
+
+def gathered(maybe: list[Maybe], first: bool = False) -> Column:
+    """The issues whose conditions hold, or the first of them alone: then no later condition is looked at.
+
+    A value without fault only costs its conditions: the issues are built where one of them holds.
+    """
+    if not maybe:
+        return none()
+    if first:
+        out = F.when(maybe[0].condition, F.array(maybe[0].issue))
+        for m in maybe[1:]:
+            out = out.when(m.condition, F.array(m.issue))
+        return out.otherwise(none())
+    each = [F.when(m.condition, F.array(m.issue)).otherwise(none()) for m in maybe]
+    return each[0] if len(each) == 1 else F.when(reduce(or_, (m.condition for m in maybe)), F.concat(*each)).otherwise(none())
+
+
+def joined(lists: list[Column], first: bool = False) -> Column:
+    """All issues of the lists, or those of the first list that has any: then no later list is made."""
+    if len(lists) < 2:
+        return lists[0] if lists else none()
+    return F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists[:-1]), lists[-1]) if first else F.concat(*lists)
