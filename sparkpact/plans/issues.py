@@ -56,8 +56,8 @@ def gathered(maybe: list[Maybe], first: bool = False) -> Column:
         for m in maybe[1:]:
             out = out.when(m.condition, F.array(m.issue))
         return out.otherwise(none())
-    each = [F.when(m.condition, F.array(m.issue)).otherwise(none()) for m in maybe]
-    return each[0] if len(each) == 1 else F.when(reduce(or_, (m.condition for m in maybe)), F.concat(*each)).otherwise(none())
+    each = F.array_compact(F.array(*(F.when(m.condition, m.issue) for m in maybe)))
+    return F.when(reduce(or_, (m.condition for m in maybe)), each).otherwise(none())
 
 
 def joined(lists: list[Column], first: bool = False) -> Column:
