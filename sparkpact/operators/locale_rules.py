@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..errors import ContractError
 from .rule import Rule, pattern_rule
 
-#: Patterns by locale or country: fixed values.
+#: Patterns by locale: fixed values.
 MOBILE_PHONES = {
     "ko-KR": r"^(\+?82|0)1[016789]\d{7,8}$",
     "en-US": r"^\+?1?[2-9]\d{2}[2-9]\d{6}$",
@@ -30,6 +30,7 @@ MOBILE_PHONES = {
     "pl-PL": r"^(\+?48)?[45789]\d{8}$",
 }
 
+#: Patterns by country: fixed values.
 POSTAL_CODES = {
     "AD": r"^AD\d{3}$",
     "AT": r"^\d{4}$",
@@ -91,6 +92,7 @@ POSTAL_CODES = {
     "ZM": r"^\d{5}$",
 }
 
+#: Patterns by country: fixed values.
 IDENTITY_CARDS = {
     "AF": r"^\d{8}$",
     "AL": r"(?i)^[A-Z]\d{8}[A-Z]$",
@@ -148,6 +150,7 @@ IDENTITY_CARDS = {
     "ZA": r"^\d{13}$",
 }
 
+#: Patterns by country: fixed values.
 PASSPORTS = {
     "AM": r"(?i)^[A-Z]{2}\d{7}$",
     "AR": r"(?i)^[A-Z]{3}\d{6}$",

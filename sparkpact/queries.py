@@ -8,13 +8,16 @@ in a line; for the formats whose rule is a long pattern it tells which texts wer
 from __future__ import annotations
 
 import enum
+import re
 from collections.abc import Callable
 from datetime import datetime
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as r
+from .operators import format_rules, locale_rules
 from .plans import Engine, array_of, field, union
 from .plans.engine import exploded
 
@@ -265,6 +268,51 @@ for _name, _members in _GROUPS.items():
     QUERIES[_name].__name__ = _name
 
 
+#: Shapes of the texts that the tables by country judge: d is a digit and l a letter of the row, the rest stands for itself.
+_SHAPES = (
+    *("d" * n for n in range(3, 19)), *("l" * a + "d" * b for a in (1, 2, 3) for b in range(5, 10)), *("d" * n + "l" for n in (6, 7, 8, 9)), "dddddddll", "ddddddddll", "lddddddddl", "llddddddl", "ldddddddl", "ddddddddX", "ddddddddd",
+    "ddd dd", "dd ddd", "ddddd-ddd", "dd-ddd", "dddd-ddd", "dddd ll", "ldl dld", "ld dll", "llldddd", "ADddd", "Addddddd", "Adddddddd", "lddddddX", "Addddddddl", "ddd-dd-ddddd", "LT-ddddd", "LV-dddd", "AZEdddddddd", "009dd", "009dd-dddd", "948d", "949d", "ddddddA", "ddd-dddd", "ddddd-dddd",
+    "dddddd-ddddddd", "dddddd-ddddd", "ddd-dd-dddd", "dd-ddddddd", "756dddddddddd", "dddddd+dddl", "dddddd-dddd", "llllllddlddldddl", "llllddddddHllllldd", "llllddddddMllBCddd", "lllllddddl", "LITOUAEVB", "PLddddddd", "Gdddddddd", "Edddddddd", "Cdddddddd",
+    "+8210dddddddd", "+1234ddddddd", "+8613ddddddddd", "+8869dddddddd", "+8190dddddddd", "+4915ddddddddd", "+336dddddddd", "+4475dddddddd", "+79ddddddddd", "+55119dddddddd", "+919ddddddddd", "+9665dddddddd", "+2010dddddddd", "+849dddddddd", "+668dddddddd",
+    "+628dddddddddd", "+601ddddddddd", "+316dddddddd", "+393ddddddddd", "+346dddddddd", "+485dddddddd",
+)
+
+
+def _shaped(shape: str, digits: str, letters: str) -> str:
+    """SQL for a text of the shape; digits and letters are columns."""
+    parts, at = [], {"d": 1, "l": 1}
+    for kind, run in groupby(shape, lambda c: c if c in "dl" else ""):
+        n = len(list(run)) if kind else 0
+        if kind:
+            parts.append(f"substr({digits if kind == 'd' else letters}, {at[kind]}, {n})")
+            at[kind] += n
+        else:
+            parts.append(None)
+    literals = iter([x for x in re.split("[dl]+", shape) if x])
+    return " || ".join(x if x else f"'{next(literals)}'" for x in parts)
+
+
+_ROW = "'' || (c_custkey * 7919 + 1234567) % 900000007 || (c_custkey * 104729) % 1000003 || '4815162342'", "translate(md5(CAST(c_custkey AS {text})), '0123456789abcdef', 'BCEGHJKLMNPRSTVX')"
+_SHAPED = f"CASE c_custkey % {len(_SHAPES)} " + " ".join(f"WHEN {k} THEN {_shaped(x, 'digits', 'letters')}" for k, x in enumerate(_SHAPES)) + " END"
+
+
+def _country_query(name: str, patterns: dict[str, str], rule: Callable) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_ROW[0]} AS digits", f"{_ROW[1].format(text='string')} AS letters").select("c_custkey", F.expr(_SHAPED).alias("t"))
+        return rows.select("c_custkey", F.concat_ws(",", *(F.when(rule(x)(F.col("t")), F.lit(x)) for x in patterns)).alias("countries"))
+
+    query.__name__ = name
+    cases = ", ".join(f"CASE WHEN regexp_matches(t, '{p.replace('(?iu)', '(?i)')}') THEN '{x}' END" for x, p in patterns.items())
+    register(f"SELECT c_custkey, concat_ws(',', {cases}) AS countries FROM (SELECT c_custkey, {_SHAPED} AS t FROM (SELECT c_custkey, {_ROW[0]} AS digits, {_ROW[1].format(text='VARCHAR')} AS letters FROM customer))")(query)
+
+
+for _name, _patterns, _rule in (
+    ("mobile_phones", locale_rules.MOBILE_PHONES, r.is_mobile_phone), ("postal_codes", locale_rules.POSTAL_CODES, r.is_postal_code), ("identity_cards", locale_rules.IDENTITY_CARDS, r.is_identity_card),
+    ("passports", locale_rules.PASSPORTS, r.is_passport_number), ("tax_ids", format_rules.TAX_IDS, r.is_tax_id),
+):
+    _country_query(_name, _patterns, _rule)
+
+
 def _luhn(x: str) -> str:
     return f"list_sum([CASE WHEN i % 2 = 0 THEN (CAST(reverse({x})[i] AS INT) * 2) // 10 + (CAST(reverse({x})[i] AS INT) * 2) % 10 ELSE CAST(reverse({x})[i] AS INT) END FOR i IN range(1, length({x}) + 1)]) % 10 = 0"
 
