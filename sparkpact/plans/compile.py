@@ -401,7 +401,8 @@ class Compiler:
                 own = F.struct(*(own.getField(n).alias(n) for n in names if n != f.type.union.property), F.lit(name).alias(f.type.union.property))
             own = as_variant(own, [g for g in declared(cls).values() if g.optional])
             out = F.when(tag == name, own) if out is None else out.when(tag == name, own)
-        return out
+        wrong = F.concat(F.lit(f"{f.name}: no case of the union has the tag "), F.coalesce(tag, F.lit("null")))
+        return out.otherwise(F.raise_error(wrong))
 
 
 def result(value: Column, found: Column | None) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkpact import ContractError, Engine, array_of, field, rules as r, union
+from sparkpact.operators.rule import Rule
 from sparkpact.sources import read_documents, split
 from sparkpact.streaming import quarantine_stream
 
@@ -214,6 +215,57 @@ class Cat:
     indoor = field(r.is_boolean)
 
 
+def test_union_of_no_case_is_an_error_on_encode(spark):
+    class Dog2:
+        breed = field(r.is_string)
+
+    class Owner:
+        pet = field(discriminator=union("type", dog=Dog2), optional=True)
+
+    engine = sealed(Owner)
+    schema = "pet struct<tag string, dog struct<breed string>>"
+    fine = engine.encode(spark.createDataFrame([(("dog", ("x",)),), (None,)], schema), Owner).select(F.to_json("record").alias("j")).collect()
+    assert [json.loads(x.j).get("pet") for x in fine] == [{"breed": "x"}, None]
+    with pytest.raises(Exception, match="no case of the union"):
+        engine.encode(spark.createDataFrame([(("bird", ("x",)),)], schema), Owner).select(F.to_json("record")).collect()
+
+
+def test_text_behind_a_document_makes_it_invalid(spark):
+    class V:
+        v = field(r.is_string)
+
+    engine = sealed(V)
+    texts = ['{"v":"a"}', ' {"v":"a"} ', '{"v":"a"} garbage', '{"v":"a"}{"v":1}', '{"v":"a"},"b":1', '{"v":"a"}],[1', "null", "", None]
+    got = engine.check(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, doc string"), V, document="doc").orderBy("k").collect()
+    assert [x.is_valid for x in got] == [True, True] + [False] * 7
+    assert all([i.code for i in x.issues] == ["invalidInput"] for x in got[2:])
+
+
+def test_first_error_mode_does_not_look_further(spark):
+    class F2:
+        a = field(r.is_string, r.min_length(3))
+        b = field(r.is_string, r.min_length(2))
+
+    first = Engine(stop_at_first_error=True)
+    first.contract(F2)
+    first.seal()
+    rows = spark.createDataFrame([("x", "y"), ("xyz", "y"), ("xyz", "yz")], "a string, b string")
+    assert [[i.path for i in x.issues] for x in first.check(rows, F2).collect()] == [["a"], ["b"], []]
+
+    class Loud:
+        a = field(r.is_string, r.min_length(3))
+        b = field(r.is_string, Rule("loud", lambda v: F.raise_error(F.concat(F.lit("looked at "), v.get("string"))).cast("boolean")))
+
+    first, every = Engine(stop_at_first_error=True), Engine()
+    for engine in (first, every):
+        engine.contract(Loud)
+        engine.seal()
+    short = rows.where("length(a) < 3")
+    assert [[i.path for i in x.issues] for x in first.check(short, Loud).collect()] == [["a"]]
+    with pytest.raises(Exception, match="looked at y"):
+        every.check(short, Loud).collect()
+
+
 def test_unions(spark):
     class A:
         pet = field(discriminator=union("type", dog=Dog, cat=Cat), optional=True)
