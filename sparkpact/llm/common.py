@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -26,7 +28,9 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkpact-checkpoint-"))
+    folder = tempfile.mkdtemp(prefix="sparkpact-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
 
 
 def durable(df: DataFrame) -> DataFrame:
