@@ -268,6 +268,57 @@ for _name, _members in _GROUPS.items():
     QUERIES[_name].__name__ = _name
 
 
+_NUMBER = r"^{head}\(\s*([0-9]+)\s*,\s*([0-9]+){unit}\s*,\s*([0-9]+){unit}\s*\)$"
+
+
+def _three_numbers(head: str, unit: str, most: tuple[int, int, int]) -> str:
+    """SQL: three numbers in brackets, without leading zeros, none above its bound."""
+    parts = [f"regexp_extract($x, '{_NUMBER.format(head=head, unit=unit)}', {k})" for k in (1, 2, 3)]
+    return " AND ".join(f"coalesce(TRY_CAST({x} AS BIGINT) <= {n}, false) AND ({x} = '0' OR NOT starts_with({x}, '0'))" for x, n in zip(parts, most, strict=True))
+
+
+def _whole(pattern: str) -> str:
+    return f"regexp_full_match($x, '{pattern}')"
+
+
+#: What formats are, for DuckDB; the texts are those of FORMATS with one character more, less or another in four of five rows.
+_DEFINED = {
+    "rgb": _three_numbers("rgb", "", (255, 255, 255)), "hsl": _three_numbers("hsl", "%", (360, 100, 100)), "base64": "length($x) % 4 = 0 AND " + _whole("[A-Za-z0-9+/]+"),
+    "mac": _whole("([0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|([0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}"), "mac_plain": "length($x) = 12 AND " + _whole("[0-9A-Fa-f]*"),
+    "jwt": "len(string_split($x, '.')) = 3 AND len(list_filter(string_split($x, '.'), lambda w: NOT regexp_full_match(w, '[A-Za-z0-9_-]+'))) = 0",
+    "locale": _whole("[a-zA-Z]{2,3}(-[a-zA-Z]{4})?(-([a-zA-Z]{2}|[0-9]{3}))?(-([a-zA-Z0-9]{5,8}|[0-9][a-zA-Z0-9]{3}))*"), "magnet": _whole(r"(?i)magnet:\?xt=urn:[a-z0-9]+:[a-z0-9]{32,40}(&[a-z][a-z0-9.]*=[^&\s]*)*"),
+    "phone": "starts_with($x, '+') AND length($x) BETWEEN 8 AND 16 AND " + _whole(r"\+[1-9][0-9]*"), "ethereum": "length($x) = 42 AND " + _whole("0x[0-9A-Fa-f]*"),
+    "btc": _whole("[13][1-9A-HJ-NP-Za-km-z]{25,34}|(bc|tb)1[a-z0-9]{6,87}|(BC|TB)1[A-Z0-9]{6,87}"), "hash_md5": "length($x) = 32 AND " + _whole("[0-9A-Fa-f]*"), "hash_sha256": "length($x) = 64 AND " + _whole("[0-9A-Fa-f]*"),
+    "rfc3339": _whole(r"(?i)\d{4}-\d\d-\d\d[t ]\d\d:\d\d:\d\d(\.\d+)?(z|[+-]\d\d:\d\d)"), "isrc": _whole(r"[A-Z]{2}-[A-Z0-9]{3}-\d{2}-\d{5}|[A-Z]{2}[A-Z0-9]{3}\d{7}"), "firebase": "length($x) = 20 AND " + _whole("[A-Za-z0-9_-]*"),
+    "sem_ver": _whole(r"(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(-(0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*)(\.(0|[1-9]\d*|\d*[a-zA-Z-][0-9a-zA-Z-]*))*)?(\+[0-9a-zA-Z-]+(\.[0-9a-zA-Z-]+)*)?"),
+    "mongo": "length($x) = 24 AND " + _whole("[0-9A-Fa-f]*"), "cuid2": "length($x) BETWEEN 24 AND 32 AND " + _whole("[a-z][a-z0-9]*"), "bic": "length($x) IN (8, 11) AND " + _whole("[A-Za-z]{6}[A-Za-z0-9]*"),
+    "currency": _whole(r"([-+]?\$?|\$[-+]?)(\d{1,3}(,\d{3})+|\d+)(\.\d{1,2})?"), "mime": _whole(r"(application|audio|font|image|message|model|multipart|text|video)/[a-zA-Z0-9][a-zA-Z0-9!#$&^_.+-]*(;.+)?"),
+    "password": "length($x) >= 8 AND regexp_matches($x, '[a-z]') AND regexp_matches($x, '[A-Z]') AND regexp_matches($x, '[0-9]') AND regexp_matches($x, '[^0-9A-Za-z]')",
+    "fqdn": "len(string_split($x, '.')) > 1 AND len(list_filter(string_split($x, '.'), lambda w: length(w) > 63 OR NOT regexp_full_match(w, '[a-zA-Z0-9-]+') OR starts_with(w, '-') OR ends_with(w, '-'))) = 0 AND regexp_full_match(string_split($x, '.')[-1], '[a-zA-Z]{2,}')",
+}
+
+
+def _changed(text: str) -> str:
+    at = f"((k * 31) % length({text}) + 1)"
+    head, tail, after = f"substr({text}, 1, CAST({at} - 1 AS INT))", f"substr({text}, CAST({at} AS INT))", f"substr({text}, CAST({at} + 1 AS INT))"
+    return f"CASE k % 5 WHEN 1 THEN {head} || {after} WHEN 2 THEN {head} || substr({tail}, 1, 1) || {tail} WHEN 3 THEN {head} || '0' || {after} WHEN 4 THEN {head} || '-' || {tail} ELSE {text} END"
+
+
+def _changed_formats(names: list[str]) -> tuple[Query, str]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "md5(cast(c_custkey AS string)) AS h", "c_custkey % 4 AS s").select("k", *(F.expr(FORMATS[n][1]).alias(f"t_{n}") for n in names))
+        rows = rows.select("k", *(F.expr(_changed(f"t_{n}")).alias(f"t_{n}") for n in names))
+        return rows.select("k", *(FORMATS[n][0](F.col(f"t_{n}")).alias(n) for n in names))
+
+    flags, texts = ", ".join(f"({_DEFINED[n].replace('$x', 't_' + n)}) AS {n}" for n in names), ", ".join(f"{FORMATS[n][1]} AS t_{n}" for n in names)
+    changed = ", ".join(f"{_changed('t_' + n)} AS t_{n}" for n in names)
+    return query, f"SELECT k, {flags} FROM (SELECT k, {changed} FROM (SELECT k, {texts} FROM (SELECT c_custkey AS k, md5(CAST(c_custkey AS VARCHAR)) AS h, c_custkey % 4 AS s FROM customer)))"
+
+
+for _k, _members in enumerate(([*_DEFINED][:8], [*_DEFINED][8:16], [*_DEFINED][16:]), 1):
+    QUERIES[f"changed_formats_{_k}"], ORACLES[f"changed_formats_{_k}"] = _changed_formats(_members)
+
+
 #: Shapes of the texts that the tables by country judge: d is a digit and l a letter of the row, the rest stands for itself.
 _SHAPES = (
     *("d" * n for n in range(3, 19)), *("l" * a + "d" * b for a in (1, 2, 3) for b in range(5, 10)), *("d" * n + "l" for n in (6, 7, 8, 9)), "dddddddll", "ddddddddll", "lddddddddl", "llddddddl", "ldddddddl", "ddddddddX", "ddddddddd",
