@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter
+from . import decontaminate, fill_in_middle, license_scan, line_dedup, merkle, packing, quality_rules, simhash, suffix_dedup, top_k, toxicity, url_filter
 from .bpe_counts import token_counts
 from .common import table
 
@@ -59,10 +59,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_suffix_dedup, op3_url_filter, op4_simhash, op5_packing, op6_quality_rules, op7_toxicity, op8_token_counts, op9_line_dedup, op10_decontamination)
+    own = (op1_license_scan, op2_suffix_dedup, op3_url_filter, op4_simhash, op5_packing, op6_quality_rules, op7_toxicity, op8_token_counts, op9_line_dedup, op10_decontamination, op11_merkle_manifest, op12_fill_in_middle, op13_exact_top_k)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op3_url_filter": url_filter.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_merkle_manifest": merkle.oracle(), "op12_fill_in_middle": fill_in_middle.ORACLE, "op13_exact_top_k": top_k.ORACLE}
