@@ -72,12 +72,12 @@ class _Cell:
         self.exact, self.scale = exact, scale
         self.ids = batch.column("id").to_numpy()
         self.vectors = _matrix(batch.column("vector"), scale, exact)
-        self.low, self.width, self.need = (batch.column(n).to_numpy() for n in ("low", "width", "need"))
+        self.low, self.high, self.need = (batch.column(n).to_numpy() for n in ("low", "high", "need"))
 
     def joined(self, other: "_Cell") -> "_Cell":
         wide = max(self.vectors.shape[1], other.vectors.shape[1])
         self.vectors = np.concatenate([np.pad(x.vectors, ((0, 0), (0, wide - x.vectors.shape[1]))) for x in (self, other)])
-        for n in ("ids", "low", "width", "need"):
+        for n in ("ids", "low", "high", "need"):
             setattr(self, n, np.concatenate([getattr(self, n), getattr(other, n)]))
         return self
 
@@ -90,7 +90,7 @@ class _Cell:
 
 
 class _Histogram(_Cell):
-    """Counts of scores by part of each query's interval, the highest part last."""
+    """Counts of scores by part of each query's interval, the highest part last. The last parts may be shorter, or empty."""
 
     def __init__(self, batch: pa.RecordBatch, scale: int, exact: bool, bins: int):
         super().__init__(batch, scale, exact)
@@ -101,20 +101,25 @@ class _Histogram(_Cell):
             self.counts = np.zeros(len(self.ids) * self.bins, np.int64)
         rows = np.arange(len(self.ids)) * self.bins
         # from the lower end as an unsigned number: an interval may be wider than half the range of a long
-        low, width = self.low.astype(np.uint64), self.width.astype(np.uint64)
+        low, width = self.low.astype(np.uint64), self._width()
         for _, scores, counts in self.strips(batch):
             part = (scores.astype(np.uint64) - low) // width
-            places = (part.astype(np.int64) + rows)[counts & (scores >= self.low) & (part < self.bins)]
+            places = (part.astype(np.int64) + rows)[counts & (scores >= self.low) & (scores <= self.high)]
             self.counts += np.bincount(places, minlength=len(self.counts))
 
+    def _width(self) -> np.ndarray:
+        return (self.high.astype(np.uint64) - self.low.astype(np.uint64)) // np.uint64(self.bins) + np.uint64(1)
+
     def given(self) -> dict | None:
         if self.counts is None:
             return None
         down = self.counts.reshape(-1, self.bins)[:, ::-1]
         higher = np.cumsum(down, axis=1) - down
         q, part = np.nonzero((down > 0) & (higher < self.need[:, None]))
-        edges = self.low[q].astype(np.uint64) + (self.bins - 1 - part).astype(np.uint64) * self.width[q].astype(np.uint64)
-        return {"query_id": self.ids[q], "edge": edges.astype(np.int64), "width": self.width[q], "n": down[q, part]}
+        width = self._width()[q]
+        edges = self.low[q].astype(np.uint64) + (self.bins - 1 - part).astype(np.uint64) * width
+        upper = edges + np.minimum(width - np.uint64(1), self.high[q].astype(np.uint64) - edges)
+        return {"query_id": self.ids[q], "edge": edges.astype(np.int64), "upper": upper.astype(np.int64), "n": down[q, part]}
 
 
 class _Best(_Cell):
@@ -172,9 +177,9 @@ def _grid(queries: DataFrame, candidates: DataFrame, n_queries: int, n_candidate
     high, wide = max(1, -(-n_queries // QUERIES)), max(1, -(-n_candidates // CANDIDATES))
     of = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select(of(1, high).alias("r"), every(wide).alias("c"), F.lit(0).alias("role"), "id", "vector", "low", "width", "need")
+    asked = queries.select(of(1, high).alias("r"), every(wide).alias("c"), F.lit(0).alias("role"), "id", "vector", "low", "high", "need")
     nothing = F.lit(None).cast("long")
-    other = candidates.select(every(high).alias("r"), of(2, wide).alias("c"), F.lit(1).alias("role"), "id", "vector", nothing.alias("low"), nothing.alias("width"), nothing.alias("need"))
+    other = candidates.select(every(high).alias("r"), of(2, wide).alias("c"), F.lit(1).alias("role"), "id", "vector", nothing.alias("low"), nothing.alias("high"), nothing.alias("need"))
     session = queries.sparkSession
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), min(2 * high * wide, 32 * session.sparkContext.defaultParallelism))
     return asked.unionAll(other).repartition(parts, "r", "c").sortWithinPartitions("r", "c", "role")
@@ -199,26 +204,23 @@ def exact_top_k(df: DataFrame, k: int = 5, is_query: Column | None = None, *, id
     reach = int(largest or 0.0) * scale + scale + 1  # above every component's size
     bound = reach * reach * max(1, length or 0)
     exact = bound >= 2**53  # doubles hold all products and sums below
-    low = max(-bound, LEAST)
-    width = -(-(min(bound, MOST) - low + 1) // bins)
-    state = rows.where(asks).select("id", F.lit(low).alias("low"), F.lit(width).alias("width"), F.lit(k).cast("long").alias("need"), F.lit(False).alias("settled"))
+    state = rows.where(asks).select("id", F.lit(max(-bound, LEAST)).alias("low"), F.lit(min(bound, MOST)).alias("high"), F.lit(k).cast("long").alias("need"), F.lit(False).alias("settled"))
     while n_queries:
         open_ones = state.where("NOT settled")
         left = open_ones.count()
         if not left:
             break
         asked = rows.join(open_ones.drop("settled"), "id")
-        counted = _grid(asked, rows, left, n).mapInArrow(_over_cells(lambda b: _Histogram(b, scale, exact, bins)), "query_id long, edge long, width long, n long")
-        counted = counted.groupBy("query_id", "edge").agg(F.first("width").alias("width"), F.sum("n").alias("n"))
+        counted = _grid(asked, rows, left, n).mapInArrow(_over_cells(lambda b: _Histogram(b, scale, exact, bins)), "query_id long, edge long, upper long, n long")
+        counted = counted.groupBy("query_id", "edge").agg(F.first("upper").alias("upper"), F.sum("n").alias("n"))
         higher = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("edge"))) - F.col("n")  # at most ``bins`` rows
         counted = counted.withColumn("higher", higher).withColumnRenamed("query_id", "id")
         found = open_ones.select("id", "need").join(counted, "id").where("higher < need AND higher + n >= need")
-        inner = F.expr(f"(width + {bins - 1}) div {bins}")
-        found = found.select("id", F.col("edge").alias("low"), inner.alias("width"), (F.col("need") - F.col("higher")).alias("need"), ((F.col("n") <= enough) | (F.col("width") == 1)).alias("settled"))
+        found = durable(found.select("id", F.col("edge").alias("low"), F.col("upper").alias("high"), (F.col("need") - F.col("higher")).alias("need"), ((F.col("n") <= enough) | (F.col("edge") == F.col("upper"))).alias("settled")))
         # a query with fewer than k other rows keeps them all
         short = open_ones.join(found.select("id"), "id", "left_anti").withColumns({"low": F.lit(LEAST), "settled": F.lit(True)})
         state = durable(state.where("settled").unionByName(found).unionByName(short))
-    asked = rows.join(state.select("id", "low", "width", "need"), "id")
+    asked = rows.join(state.select("id", "low", "high", "need"), "id")
     best = _grid(asked, rows, n_queries, n).mapInArrow(_over_cells(lambda b: _Best(b, scale, exact, k)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,7 +48,13 @@ def test_against_brute_force(spark, monkeypatch, grid):
 def test_ties_and_common_vectors_need_every_pass(spark, monkeypatch):
     monkeypatch.setattr(M, "CANDIDATES", 100)
     same = [(k, [0.5, 0.25, 0.0, 1.0], 1, "x", 2, "s") for k in range(1000, 1400)]
-    compare(spark, rows_of(500, 4, levels=3) + same, bins=4, enough=1)
+    compare(spark, rows_of(500, 4, levels=3) + same, bins=20, enough=1)
+
+
+@pytest.mark.parametrize("bins", [2, 100, 511])
+def test_bins_that_do_not_divide_the_intervals(spark, monkeypatch, bins):
+    monkeypatch.setattr(M, "CANDIDATES", 200)
+    compare(spark, rows_of(700, 16, seed=bins), step=7, bins=bins, enough=1 + bins % 3)
 
 
 @pytest.mark.parametrize("k", [1, 3, 80])
