@@ -90,6 +90,10 @@ class Compiler:
         def body(v: Val) -> Column:
             return self._body(own, known, v, prefix, depth)
 
+        return self.looked_up(own, v, body)
+
+    def looked_up(self, own: list[FieldSpec], v: Val, body) -> Column:
+        """The body of an object: a document's fields are looked up and probed once, and bound."""
         if not isinstance(v.shape, T.VariantType) or not own:
             return body(v)
         children = {f.input_name: v.child(f.input_name).raw for f in own}

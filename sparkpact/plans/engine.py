@@ -13,6 +13,7 @@ from ..errors import ContractError
 from ..functions.compat import strict_json
 from ..functions.values import let, probed, typed, variant
 from . import compile as C
+from . import documents as D
 from . import issues as I
 from .field import DECODE, ENCODE, check, declared
 
@@ -121,15 +122,36 @@ class Engine:
         found = whole["issues"]
         return whole["value"], F.slice(found, 1, 1) if self.config.stop_at_first_error else found
 
-    def decode(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, document: str | None = None) -> DataFrame:
+    def decode(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, document: str | None = None, presence: bool = False) -> DataFrame:
         """df with ``value`` (the record; null if it has issues) and ``issues``.
 
         document: a column that holds whole records, as JSON text, VARIANT or a struct. Otherwise the frame's columns are
-        the record's keys.
+        the record's keys. presence: add ``presence``, which tells which keys were there; ``encode`` leaves the others out.
         """
         out = self._checked(df, cls, groups, document)
+        if presence:
+            out = out.withColumn("presence", F.when(F.size("issues") == 0, self._presence(df, cls, groups, document)))
         return out.withColumn("value", F.when(F.size("issues") == 0, F.col(_RESULT)["value"])).drop(_RESULT)
 
+    def _presence(self, df: DataFrame, cls: type, groups: Iterable[str] | None, document: str | None) -> Column:
+        """The flags of a row, compiled once like its result."""
+        compiler, cls = self._compiler(groups), self._contract(cls)
+        key = (cls, df.schema.json(), compiler.setting.groups, document, "presence")
+        if key not in self._plans:
+            self._plans[key] = self._flags(compiler, df, cls, document)
+        return self._plans[key]
+
+    def _flags(self, compiler: C.Compiler, df: DataFrame, cls: type, document: str | None) -> Column:
+        kind = df.schema[document].dataType if document else None
+        if isinstance(kind, (T.StringType, T.VariantType)):
+            parsed = strict_json(F.col(f"`{document}`")) if isinstance(kind, T.StringType) else F.col(f"`{document}`")
+            if not D.any_may_be_absent(compiler, cls):
+                return F.lit(True)
+            return let(probed(parsed), lambda p: D.presence(compiler, cls, variant(p["x"], p)))
+        v = C.root([(f.name, f.dataType) for f in df.schema.fields], self.config.null_as) if document is None else typed(F.col(f"`{document}`"), kind, self.config.null_as)
+        flags = D.presence(compiler, cls, v)
+        return F.lit(True) if flags is None else flags
+
     def check(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, document: str | None = None) -> DataFrame:
         """df with ``is_valid`` and ``issues``."""
         return self._checked(df, cls, groups, document).drop(_RESULT).withColumn("is_valid", F.size("issues") == 0)
@@ -140,8 +162,16 @@ class Engine:
         out = df.withColumn(_RESULT, self._whole(cls, df.schema, groups, document))
         return out.withColumn("issues", F.slice(found, 1, 1) if self.config.stop_at_first_error else found)
 
-    def encode(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, column: str | None = None) -> DataFrame:
-        """df with ``record``: the fields under their outgoing names. column: a struct of the fields, else df's columns are they."""
+    def encode(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, column: str | None = None, form: str = "struct", presence: str | None = None) -> DataFrame:
+        """df with ``record``: the fields under their outgoing names. column: a struct of the fields, else df's columns are they.
+
+        form: 'struct', or a document as 'json' or 'variant', from which absent keys are left out: those that the column
+        ``presence`` (of ``decode``) says were not there; without it, nulls of fields that are optional but not nullable.
+        """
+        if form not in ("struct", "json", "variant"):
+            raise ContractError(f"form: {form!r} is none of 'struct', 'json' and 'variant'")
+        if presence is not None and form == "struct":
+            raise ContractError("a struct has all its fields: presence needs form='json' or 'variant'")
         cls, compiler = self._contract(cls), self._compiler(groups)
         if column is None:
             v = C.root([(f.name, f.dataType) for f in df.schema.fields], "null")
@@ -149,7 +179,11 @@ class Engine:
             if not isinstance(df.schema[column].dataType, T.StructType):
                 raise ContractError(f"{column} is no struct")
             v = typed(F.col(f"`{column}`"), df.schema[column].dataType, "null")
-        record = compiler.encoded(cls, v)
+        if form == "struct":
+            record = compiler.encoded(cls, v)
+        else:
+            record = D.written(compiler, cls, v, *((F.col(f"`{presence}`"), df.schema[presence].dataType) if presence else (None, None)))
+            record = F.parse_json(record) if form == "variant" else record
         return df.withColumn("record", record if column is None else F.when(F.col(f"`{column}`").isNotNull(), record))
 
     def uses_python(self, cls: type) -> bool:

@@ -805,6 +805,58 @@ def type_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", *(x.alias(n) for n, x in flags.items()))
 
 
+# ---- absent keys ----
+class Part:
+    note = field(r.is_string, optional=True, nullable=True)
+    size = field(r.is_number(), optional=True)
+
+
+class Sparse:
+    key = field(r.is_int, decode_name="key", encode_name="id")
+    both = field(r.is_string, optional=True, nullable=True)
+    some = field(r.is_number(), optional=True)
+    null = field(r.is_string, nullable=True)
+    late = field(r.is_string, when=lambda v: v.child("key").get("number") % 2 == 0)
+    part = field(type=Part, optional=True, nullable=True)
+    parts = field(type=[Part], optional=True)
+    named = field(type=dict, map_value=Part, optional=True)
+    pick = field(discriminator=union("kind", a=Part, b=Card), optional=True, keep_discriminator_property=True)
+
+
+sparse = Engine()
+sparse.contract(Sparse)
+sparse.seal()
+
+
+def _sparse(into: bool) -> str:
+    """The documents, or what they are encoded to. Each key is missing, null or given by another digit of the row's number."""
+    absent = "NULL" if into else "'null'"  # null of a field that is optional and not nullable leaves no key
+
+    def part(k: str) -> str:
+        note = f"CASE {k} % 3 WHEN 0 THEN NULL WHEN 1 THEN '\"note\":null' ELSE '\"note\":\"n\"' END"
+        size = f"CASE ({k} // 3) % 3 WHEN 0 THEN NULL WHEN 1 THEN {'NULL' if into else repr(chr(34) + 'size' + chr(34) + ':null')} ELSE '\"size\":' || {k} END"
+        return f"'{{' || concat_ws(',', {note}, {size}) || '}}'"
+
+    def key(name: str, kind: str, none: str, given: str) -> str:
+        null = f"'\"{name}\":null'" if none != "NULL" else "NULL"
+        return f"CASE {kind} WHEN 0 THEN NULL WHEN 1 THEN {null} ELSE '\"{name}\":' || {given} END"
+
+    parts = [
+        f"'\"{'id' if into else 'key'}\":' || k", key("both", "k % 3", "'null'", "'\"b\"'"), key("some", "(k // 3) % 3", absent, "k"), "CASE WHEN k % 2 = 0 THEN '\"null\":null' ELSE '\"null\":\"x\"' END",
+        "CASE WHEN k % 2 = 0 THEN '\"late\":\"l\"' END" if into else "'\"late\":\"l\"'", key("part", "(k // 9) % 3", "'null'", part("(k // 27)")), key("parts", "(k // 5) % 3", absent, f"'[' || {part('k')} || ',' || {part('(k + 4)')} || ']'"),
+        key("named", "(k // 7) % 3", absent, f"'{{\"x\":' || {part('k')} || '}}'"),
+        key("pick", "(k // 11) % 3", absent, "CASE WHEN k % 2 = 0 THEN " + (f"replace(replace({part('k')}, '}}', ',\"kind\":\"a\"}}'), '{{,', '{{') ELSE '{{\"number\":\"1234\",\"kind\":\"b\"}}' END".replace("{{", "{").replace("}}", "}") if into else "'{\"kind\":\"a\",' || replace(replace(" + part("k") + ", '{', ''), '}', '') || CASE WHEN " + part("k") + " = '{}' THEN '\"z\":1}' ELSE '}' END ELSE '{\"kind\":\"b\",\"digits\":\"1234\"}' END")),
+    ]
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
+@register(f"SELECT k, {_sparse(True)} AS record FROM (SELECT o_orderkey AS k FROM orders)")
+def absent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document = F.expr(_sparse(False).replace("//", "div"))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select("k", document.alias("doc"))
+    decoded = sparse.decode(docs, Sparse, document="doc", presence=True)
+    return sparse.encode(decoded, Sparse, column="value", presence="presence", form="json").select("k", "record")
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

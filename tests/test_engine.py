@@ -439,3 +439,55 @@ def test_stream(spark, tmp_path):
     n = events.where("event_type in ('click', 'view')").count()
     assert spark.read.parquet(f"{tmp_path}/good").count() == n > 0
     assert spark.read.parquet(f"{tmp_path}/bad").count() == events.count() - n > 0
+
+
+def test_absent_keys_stay_absent(spark):
+    class Inner:
+        a = field(r.is_number(), optional=True)
+        b = field(r.is_string, optional=True, nullable=True)
+
+    class Outer:
+        id = field(r.is_int)  # noqa: A003
+        x = field(r.is_string, optional=True, nullable=True, decode_name="in", encode_name="ou\"t")
+        inner = field(type=Inner)
+        many = field(type=[Inner], optional=True)
+        hidden = field(r.is_string, optional=True, exclude="encode")
+        day = field(r.is_date, transform=r.iso_string, optional=True)
+
+    engine = sealed(Outer)
+    texts = [
+        '{"id":1,"inner":{}}', '{"id":2,"in":null,"inner":{"b":null,"a":null},"hidden":"h"}', '{"id":3,"in":"q\\"\\n","inner":{"a":1.5,"b":"b"},"many":[{},{"b":null},{"a":-0.25}],"day":"2020-01-02T03:04:05.678Z"}', '{"id":"no"}', "nothing", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "doc string")
+    want = ['{"id":1,"inner":{}}', '{"id":2,"ou\\"t":null,"inner":{"b":null}}', '{"id":3,"ou\\"t":"q\\"\\n","inner":{"a":1.5,"b":"b"},"many":[{},{"b":null},{"a":-0.25}],"day":"2020-01-02T03:04:05.678Z"}', None, None, None]
+    decoded = engine.decode(df, Outer, document="doc", presence=True)
+    assert [x.record for x in engine.encode(decoded, Outer, column="value", presence="presence", form="json").collect()] == want
+    # the same from a VARIANT, and out as one
+    decoded = engine.decode(df.select(F.try_parse_json("doc").alias("doc")), Outer, document="doc", presence=True)
+    out = engine.encode(decoded, Outer, column="value", presence="presence", form="variant").select(F.to_json("record").alias("j"))
+    assert [x.j and json.loads(x.j) for x in out.collect()] == [w and json.loads(w) for w in want]
+    # without flags: null is absent where it can't have been null
+    typed = spark.createDataFrame([(1, None, (None, None), None, None, None)], "id int, x string, inner struct<a:double,b:string>, many array<struct<a:double,b:string>>, hidden string, day timestamp")
+    assert engine.encode(typed, Outer, form="json").first().record == '{"id":1,"ou\\"t":null,"inner":{"b":null}}'
+    # flags of typed columns follow null_as
+    class Plain:
+        id = field(r.is_int)  # noqa: A003
+        x = field(r.is_string, optional=True, nullable=True)
+
+    for null_as, text in (("missing", '{"id":1}'), ("null", '{"id":1,"x":null}')):
+        engine = sealed(Plain, null_as=null_as)
+        decoded = engine.decode(typed.select("id", "x"), Plain, presence=True)
+        assert engine.encode(decoded, Plain, column="value", presence="presence", form="json").first().record == text
+    with pytest.raises(ContractError, match="presence needs"):
+        engine.encode(typed, Plain, presence="x")
+    with pytest.raises(ContractError, match="is none of"):
+        engine.encode(typed, Plain, form="xml")
+
+
+def test_contracts_without_optional_fields_need_no_flags(spark):
+    class A:
+        id = field(r.is_int)  # noqa: A003
+
+    engine = sealed(A)
+    decoded = engine.decode(spark.createDataFrame([('{"id":1}',)], "doc string"), A, document="doc", presence=True)
+    assert engine.encode(decoded, A, column="value", presence="presence", form="json").first().record == '{"id":1}'
