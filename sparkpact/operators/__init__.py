@@ -12,6 +12,7 @@ from .format_rules import (
 from .identifier_rules import is_cuid2, is_date_string, is_firebase_push_id, is_iso31661_alpha2, is_iso31661_alpha3, is_iso8601, is_isrc, is_mongo_id, is_sem_ver, is_ulid
 from .locale_rules import is_identity_card, is_mobile_phone, is_passport_number, is_postal_code
 from .rule import Rule, create_rule
+from .table_rules import is_in_table, is_not_in_table
 from .text_rules import (
     contains, is_alpha, is_alphanumeric, is_ascii, is_boolean_string, is_cors_origin, is_decimal, is_http_token, is_lowercase, is_number_string, is_origin, is_uppercase,
     length, matches, max_length, min_length, not_contains,

@@ -17,6 +17,7 @@ from ..functions.compat import iso_text, number_text, to_instant, to_number
 from ..functions.values import Val, constant, let, probed, typed, variant
 from ..operators.array_rules import identity
 from ..operators.rule import ASSERTS, Rule, elements_by_python
+from ..operators.table_rules import TableRule
 from . import issues as I
 from .field import DECODE, ENCODE, FieldSpec, RuleUse, declared, has_default
 
@@ -185,17 +186,41 @@ class Compiler:
 
     # ---- plain fields ----
 
-    def _plain(self, f: FieldSpec, v: Val, path: Column) -> tuple[Column, Column | None]:
+    def _gate(self, f: FieldSpec) -> tuple[str | None, RuleUse | None, bool]:
+        """The kind that a field's rules take for granted, the rule that asserts it, and whether values are converted to it."""
         single = [u for u in f.rules if not u.each]
-        gated, general = [u for u in single if u.rule.gate], [u for u in single if not u.rule.gate]
         converts = self.setting.auto_convert and not f.codecs
-        gate = gated[0].rule.gate if gated else None
-        asserter = None
+        gate = next((u.rule.gate for u in single if u.rule.gate), None)
+        general, asserter = [u for u in single if not u.rule.gate], None
         if gate:
             asserter = next((u for u in general if ASSERTS.get(u.rule.name) == gate), None)
         elif converts:
             asserter = next((u for u in general if u.rule.name in ASSERTS), None)
             gate = ASSERTS[asserter.rule.name] if asserter else f.type.contract if f.type and f.type.form == "hint" else None
+        return gate, asserter, converts
+
+    def looked_up_in_tables(self, cls: type, v: Val) -> list[tuple[TableRule, Val]]:
+        """The rules on tables, each with the value that it judges: of fields, and of fields of single nested records."""
+        found = []
+        for f in declared(cls).values():
+            if not f.takes_part(DECODE) or not f.visible(DECODE, self.setting.groups) or not uses_tables(f):
+                continue
+            if is_nested(f) and (f.type.form != "record" or f.type.union or any(u.each for u in f.rules)) or any(u.each and isinstance(u.rule, TableRule) for u in f.rules):
+                raise ContractError(f"{f.name}: a rule on a table can't judge what is in an array, a set, a map or a union")
+            x, _, _, _ = self._taken(f, v, F.lit(""))
+            if is_nested(f):
+                found += self.looked_up_in_tables(self._contract(f), x)
+                continue
+            gate, _, converts = self._gate(f)
+            if gate and converts and gate in _CONVERTIBLE:
+                x = convert(x, gate)
+            found += [(u.rule, x) for u in f.rules if isinstance(u.rule, TableRule) and self._runs(u)]
+        return found
+
+    def _plain(self, f: FieldSpec, v: Val, path: Column) -> tuple[Column, Column | None]:
+        single = [u for u in f.rules if not u.each]
+        gated, general = [u for u in single if u.rule.gate], [u for u in single if not u.rule.gate]
+        gate, asserter, converts = self._gate(f)
         lists = []
         if gate:
             ok = is_kind(v, gate)
@@ -463,6 +488,13 @@ def uses_python(cls: type, seen: frozenset[type] = frozenset()) -> bool:
     )
 
 
+def uses_tables(f: FieldSpec, seen: frozenset[type] = frozenset()) -> bool:
+    """Whether a rule of the field, or of what it holds, is on a table."""
+    if any(isinstance(u.rule, TableRule) for u in f.rules):
+        return True
+    return any(uses_tables(g, seen | {c}) for c in nested(f) if c not in seen for g in declared(c).values())
+
+
 def nested(f: FieldSpec) -> list[type]:
     if f.type is None or f.type.form == "hint":
         return []

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..errors import ContractError
 from ..functions.compat import strict_json
 from ..functions.values import let, probed, typed, variant
+from ..operators.table_rules import joined
 from . import compile as C
 from . import documents as D
 from . import issues as I
@@ -117,7 +118,9 @@ class Engine:
         return let(probed(parsed), lambda p: compiler.record(cls, replace(variant(p["x"], p), names=names), F.lit("")))
 
     def columns(self, cls: type, schema: T.StructType, groups: Iterable[str] | None = None, document: str | None = None) -> tuple[Column, Column]:
-        """(value, issues) for a frame of this schema."""
+        """(value, issues) for a frame of this schema. Rules on tables need a join, so they work in ``decode`` and ``check`` alone."""
+        if any(C.uses_tables(f) for f in declared(self._contract(cls)).values()):
+            raise ContractError(f"{cls.__name__} has rules on tables: use decode or check")
         whole = self._whole(cls, schema, groups, document)
         found = whole["issues"]
         return whole["value"], F.slice(found, 1, 1) if self.config.stop_at_first_error else found
@@ -159,9 +162,29 @@ class Engine:
     def _checked(self, df: DataFrame, cls: type, groups: Iterable[str] | None, document: str | None) -> DataFrame:
         """df with the whole result as one column, from which issues and value are taken: Spark computes it once."""
         found = F.col(_RESULT)["issues"]
-        out = df.withColumn(_RESULT, self._whole(cls, df.schema, groups, document))
+        whole, before = self._whole(cls, df.schema, groups, document), df.columns
+        df = self._with_tables(df, self._contract(cls), groups, document)
+        verdicts = [c for c in df.columns if c not in before]
+        out = df.withColumn(_RESULT, whole).drop(*verdicts)
         return out.withColumn("issues", F.slice(found, 1, 1) if self.config.stop_at_first_error else found)
 
+    def _with_tables(self, df: DataFrame, cls: type, groups: Iterable[str] | None, document: str | None) -> DataFrame:
+        """df with a column of verdicts for each of the contract's rules on tables."""
+        if not any(C.uses_tables(f) for f in declared(cls).values()):
+            return df
+        kind = df.schema[document].dataType if document else None
+        if document is None:
+            v = C.root([(f.name, f.dataType) for f in df.schema.fields], self.config.null_as)
+        elif isinstance(kind, T.StringType):
+            v = variant(strict_json(F.col(f"`{document}`")))
+        else:
+            v = typed(F.col(f"`{document}`"), kind, self.config.null_as)
+        for rule, value in self._compiler(groups).looked_up_in_tables(cls, v):
+            if rule.verdict in df.columns:
+                raise ContractError(f"{cls.__name__}: a rule on a table can be used once; make one for each field")
+            df = joined(df, rule, value)
+        return df
+
     def encode(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, column: str | None = None, form: str = "struct", presence: str | None = None) -> DataFrame:
         """df with ``record``: the fields under their outgoing names. column: a struct of the fields, else df's columns are they.
 

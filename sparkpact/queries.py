@@ -857,6 +857,31 @@ def absent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = sparse.decode(docs, Sparse, document="doc", presence=True)
     return sparse.encode(decoded, Sparse, column="value", presence="presence", form="json").select("k", "record")
 
+# ---- membership in tables ----
+@register("""
+SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 'l_orderkey:isIn' END,
+  CASE WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) THEN 'l_partkey:isNotIn' END, CASE WHEN l_returnflag NOT IN (SELECT o_orderstatus FROM orders) THEN 'l_returnflag:isIn' END,
+  CASE WHEN CAST(l_suppkey AS VARCHAR) NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0) THEN 'of.supplier:isIn' END) AS codes
+FROM lineitem
+""")
+def table_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, known = table(spark, sf_dir, "orders"), Engine()
+
+    class Supplied:
+        supplier = field(r.is_string, r.is_in_table(table(spark, sf_dir, "supplier").where("s_acctbal > 0").selectExpr("string(s_suppkey) AS s"), "s"))
+
+    @known.contract
+    class Delivered:
+        l_orderkey = field(r.is_int, r.is_in_table(orders.where("o_orderstatus = 'F'"), "o_orderkey"))
+        l_partkey = field(r.is_not_in_table(table(spark, sf_dir, "part").where("p_size > 25"), "p_partkey"))
+        l_returnflag = field(r.is_string, r.is_in_table(orders, "o_orderstatus"))
+        of = field(type=Supplied)
+
+    known.seal()
+    lines = table(spark, sf_dir, "lineitem").withColumn("of", F.struct(F.col("l_suppkey").cast("string").alias("supplier")))
+    codes = F.array_join(F.transform("issues", lambda i: F.concat(i["path"], F.lit(":"), i["code"])), ",")
+    return known.check(lines, Delivered).select("l_orderkey", "l_linenumber", codes.alias("codes"))
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
