@@ -140,3 +140,10 @@ def strict_json(c: Column) -> Column:
 def valid_json(c: Column) -> Column:
     """Whether JSON.parse takes the text."""
     return strict_json(c).isNotNull()
+
+
+def brackets_deep(c: Column) -> Column:
+    """How deep a JSON text's brackets are nested."""
+    brackets = F.regexp_replace(c, r'"(?:[^"\\]|\\.)*+"|[^\[\]{}"]+', "")
+    step = lambda a, x: F.struct((a["at"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("at"), F.greatest(a["most"], a["at"] + 1).alias("most"))
+    return F.aggregate(code_units(brackets), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda a: a["most"])

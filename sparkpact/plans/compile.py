@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ContractError
-from ..functions.compat import iso_text, number_text, to_instant, to_number
+from ..functions.compat import brackets_deep, iso_text, number_text, to_instant, to_number
 from ..functions.values import Val, constant, let, probed, typed, variant
 from ..operators.array_rules import identity
 from ..operators.rule import ASSERTS, Rule, elements_by_python
@@ -24,6 +24,8 @@ from .field import DECODE, ENCODE, FieldSpec, RuleUse, declared, has_default
 #: Asserters that test more than their kind.
 _MORE_THAN_KIND = {"isNumber", "isInt"}
 _CONVERTIBLE = {"string", "number", "boolean", "date"}
+#: How many levels are judged at a time below ``max_depth``.
+LEVELS_BELOW = 1
 _SQL = {"string": "string", "number": "double", "boolean": "boolean", "date": "timestamp", "binary": "binary"}
 
 
@@ -69,6 +71,8 @@ def convert(v: Val, kind: str, inside: bool = False) -> Val:
 class Compiler:
     def __init__(self, setting: Setting):
         self.setting = setting
+        #: The contracts (and the union tags allowed in them) that recursion leads to below ``max_depth``, in the order found.
+        self.below: list[tuple[type, str | None]] = []
 
     def _gathered(self, maybe: list[I.Maybe]) -> Column:
         return I.gathered(maybe, self.setting.first)
@@ -279,9 +283,44 @@ class Compiler:
         return cls
 
     def _deeper(self, f: FieldSpec, v: Val, prefix: Column, depth: int, tag: str | None = None, cls: type | None = None) -> Column:
-        if depth >= self.setting.max_depth:
+        cls = cls or self._contract(f)
+        if depth < self.setting.max_depth or v.raw is not None and isinstance(v.shape, T.StructType):  # a struct's type ends by itself
+            return self.record(cls, v, prefix, depth + 1, tag)
+        if not isinstance(v.shape, T.VariantType) or not self.setting.binds:
             return result(F.lit(None).cast("struct<>"), F.when(v.either_missing_or_null(), I.none()).otherwise(F.array(I.issue(prefix, I.TOO_DEEP))))
-        return self.record(cls or self._contract(f), v, prefix, depth + 1, tag)
+        if (cls, tag) not in self.below:
+            self.below.append((cls, tag))
+        node = v.raw if v.raw is not None else v.get("object")
+        left = I.issue(prefix, I.TOO_DEEP, F.lit(str(self.below.index((cls, tag)))), F.to_json(node))
+        return result(node, F.when(v.either_missing_or_null(), I.none()).otherwise(F.array(left)))
+
+    def judged_below(self, found: Column) -> Column:
+        """A record's issues with what recursion left open judged: each open place's issue, which holds the node as text,
+        gives way to the node's own issues, again and again, as many times as the row's deepest node asks for."""
+        if not self.below:
+            return found
+        start = max(0, self.setting.max_depth - LEVELS_BELOW)
+
+        def one(i: Column) -> Column:
+            """An issue, or what the node that it stands for has in its place."""
+            out, k = F.array(i), 0
+            while k < len(self.below):  # compiling one may find others
+                cls, tag = self.below[k]
+                node = F.when(i["message"] == str(k), F.parse_json(i["context"]))
+                out = F.when((i["code"] == I.TOO_DEEP) & (i["message"] == str(k)), let(probed(node), lambda p: self.record(cls, variant(p["x"], p), i["path"], start, tag)["issues"])).otherwise(out)  # noqa: B023
+                k += 1
+            return out
+
+        def is_open(i: Column) -> Column:
+            return i["code"] == I.TOO_DEEP
+
+        def rounds(found: Column) -> Column:
+            most = F.array_max(F.transform(F.filter(found, is_open), lambda i: brackets_deep(i["context"])))
+            return F.sequence(F.lit(1), F.ceil(most / (LEVELS_BELOW + 1)).cast("int") + 1)
+
+        step = lambda held, _: F.when(F.exists(held, is_open), F.flatten(F.transform(held, one))).otherwise(held)
+        return F.when(F.exists(found, is_open), F.aggregate(rounds(found), found, step)).otherwise(found)
+
 
     def _nested(self, f: FieldSpec, v: Val, path: Column, depth: int) -> Column:
         def one(x: Val, at: Column, below: Column) -> Column:
@@ -495,6 +534,11 @@ def uses_tables(f: FieldSpec, seen: frozenset[type] = frozenset()) -> bool:
     return any(uses_tables(g, seen | {c}) for c in nested(f) if c not in seen for g in declared(c).values())
 
 
+def recursive(cls: type, path: tuple[type, ...] = ()) -> bool:
+    """Whether a contract can hold itself, or one that it holds can."""
+    return cls in path or any(recursive(c, (*path, cls)) for f in declared(cls).values() for c in nested(f))
+
+
 def nested(f: FieldSpec) -> list[type]:
     if f.type is None or f.type.form == "hint":
         return []

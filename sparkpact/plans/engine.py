@@ -24,7 +24,8 @@ class Config:
     """auto_convert: convert values of another kind. allow_class_defaults: a missing key takes the field's default.
     stop_at_first_error: the first issue only; what comes after it is not looked at. forbid_unknown: keys that no field declares are issues.
     debug: ``explain`` names what was left out. null_as: what SQL's null stands for in typed columns, 'missing' or 'null'.
-    max_depth: how deep recursive contracts are followed; what is deeper is an issue.
+    max_depth: how many levels of a recursive contract a decoded document's value has as structs. What is deeper is judged like the
+    rest, to any depth, and stands in the value as VARIANT, as it came.
     """
 
     auto_convert: bool = False
@@ -52,6 +53,7 @@ class Engine:
         self._registered: dict[type, None] = {}
         self._sealed: set[type] = set()
         self._plans: dict = {}
+        self._compilers: dict = {}
 
     def contract(self, cls: type) -> type:
         """Class decorator: the class is a contract of this engine."""
@@ -86,18 +88,29 @@ class Engine:
             raise ContractError(f"{cls.__name__} is no sealed contract of this engine")
         return found
 
-    def _compiler(self, groups: Iterable[str] | None, binds: bool = True) -> C.Compiler:
+    def _compiler(self, groups: Iterable[str] | None, binds: bool = True, gathers: bool = False) -> C.Compiler:
         if isinstance(groups, str) or groups is not None and not all(isinstance(g, str) for g in groups):
             raise ContractError("groups is a list of texts")
         c = self.config
-        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth, binds, c.stop_at_first_error))
+        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth, binds, c.stop_at_first_error and not gathers))
+
+    def _below(self, cls: type, schema: T.StructType, groups: Iterable[str] | None, document: str | None, found: Column) -> Column:
+        """The issues that ``_whole`` found, with what recursion left open judged. (A projection of its own, since Spark resolves
+        nested lambdas one level at a time and bounds how often.)"""
+        key = (self._contract(cls), schema.json(), frozenset(groups or ()), document, "below")
+        if key not in self._plans:
+            compiler = self._compilers.get(key[:-1])
+            self._plans[key] = (lambda c: c) if compiler is None or not compiler.below else compiler.judged_below
+        return self._plans[key](found)
 
     def _whole(self, cls: type, schema: T.StructType, groups: Iterable[str] | None, document: str | None) -> Column:
         """The result of a row, compiled once for each contract, schema and set of groups."""
         cls = self._contract(cls)
-        compiler = self._compiler(groups, not C.uses_python(cls))
+        # with a first issue alone, what recursion leaves open would hide what comes behind it: all are gathered there
+        compiler = self._compiler(groups, not C.uses_python(cls), document is not None and C.recursive(cls))
         key = (cls, schema.json(), compiler.setting.groups, document)
         if key not in self._plans:
+            self._compilers[key] = compiler
             if document is None:
                 v = C.root([(f.name, f.dataType) for f in schema.fields], self.config.null_as)
             elif isinstance(kind := schema[document].dataType, (T.VariantType, T.StringType)):
@@ -122,7 +135,7 @@ class Engine:
         if any(C.uses_tables(f) for f in declared(self._contract(cls)).values()):
             raise ContractError(f"{cls.__name__} has rules on tables: use decode or check")
         whole = self._whole(cls, schema, groups, document)
-        found = whole["issues"]
+        found = self._below(cls, schema, groups, document, whole["issues"])
         return whole["value"], F.slice(found, 1, 1) if self.config.stop_at_first_error else found
 
     def decode(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, document: str | None = None, presence: bool = False) -> DataFrame:
@@ -162,10 +175,12 @@ class Engine:
     def _checked(self, df: DataFrame, cls: type, groups: Iterable[str] | None, document: str | None) -> DataFrame:
         """df with the whole result as one column, from which issues and value are taken: Spark computes it once."""
         found = F.col(_RESULT)["issues"]
-        whole, before = self._whole(cls, df.schema, groups, document), df.columns
+        schema, before = df.schema, df.columns
+        whole = self._whole(cls, schema, groups, document)
         df = self._with_tables(df, self._contract(cls), groups, document)
         verdicts = [c for c in df.columns if c not in before]
         out = df.withColumn(_RESULT, whole).drop(*verdicts)
+        found = self._below(cls, schema, groups, document, found)
         return out.withColumn("issues", F.slice(found, 1, 1) if self.config.stop_at_first_error else found)
 
     def _with_tables(self, df: DataFrame, cls: type, groups: Iterable[str] | None, document: str | None) -> DataFrame:

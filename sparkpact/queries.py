@@ -882,6 +882,30 @@ def table_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.array_join(F.transform("issues", lambda i: F.concat(i["path"], F.lit(":"), i["code"])), ",")
     return known.check(lines, Delivered).select("l_orderkey", "l_linenumber", codes.alias("codes"))
 
+# ---- recursion ----
+class Branch:
+    v = field(r.is_int, r.is_positive)
+    kids = field(type=lambda: [Branch], optional=True)
+
+
+growing = Engine(max_depth=3)
+growing.contract(Branch)
+growing.seal()
+
+#: A chain of k % 42 records with two kids each, whose first kid is sound in every other row; what it ends in is sound in a third.
+_CHAIN = "repeat('{\"v\":1,\"kids\":[{\"v\":' || CASE WHEN k % 2 = 0 THEN '2' ELSE '-2' END || '},', CAST(k % 42 AS INT)) || CASE k % 3 WHEN 0 THEN '{\"v\":7}' WHEN 1 THEN '{\"v\":\"x\",\"kids\":[]}' ELSE '5' END || repeat(']}', CAST(k % 42 AS INT))"
+
+
+@register("""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 42 AS n FROM customer),
+i AS (SELECT k, repeat('kids[1].', CAST(d AS INT)) || 'kids[0].v' AS path, 'isPositive' AS code FROM c, range(42) r(d) WHERE d < n AND k % 2 = 1
+  UNION ALL SELECT k, repeat('kids[1].', CAST(n AS INT)) || CASE k % 3 WHEN 1 THEN 'v' ELSE '' END, CASE WHEN k % 3 = 1 THEN 'isInt' ELSE 'invalidInput' END FROM c WHERE k % 3 > 0)
+SELECT k, path, code FROM i
+""")
+def recursive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select("k", F.expr(_CHAIN).alias("doc"))
+    return exploded(growing.check(docs, Branch, document="doc"), "k").select("k", "path", "code")
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -198,13 +198,52 @@ def test_element_rules_on_no_array(spark):
     assert issues(spark, A, [{"a": 1, "b": 2}]) == [[("a", "isArray"), ("a", "isArray"), ("b", "arrayMinSize"), ("b", "isArray")]]
 
 
-def test_recursion_is_bounded(spark):
+def test_recursion_of_any_depth(spark):
+    def deep(n, last):
+        return {"v": 1, "kids": [{"v": 2}, deep(n - 1, last)]} if n else last
+
+    def path(n):
+        return "kids[1]." * n
+
+    docs = [deep(2, {"v": "x"}), deep(6, {"v": "x"}), deep(40, {"v": "]}"}), deep(41, {"v": 3, "kids": [{"v": None}, 5, {"v": 1, "kids": {}}]}), deep(39, {"v": 1}), {"v": "y", "kids": [deep(12, {"v": "x"}), {"v": "z"}, deep(9, {})]}]
+    want = [
+        [(path(2) + "v", "isNumber")], [(path(6) + "v", "isNumber")], [(path(40) + "v", "isNumber")], [(path(41) + "kids[0].v", "isDefined"), (path(41) + "kids[1].", "invalidInput"), (path(41) + "kids[2].kids", "isArray")], [],
+        [("v", "isNumber"), ("kids[0]." + path(12) + "v", "isNumber"), ("kids[1].v", "isNumber"), ("kids[2]." + path(9) + "v", "isDefined")],
+    ]
+    for depth in (2, 4):
+        found = decoded(spark, Tree, docs, max_depth=depth)
+        assert [x for _, x in found] == want
+    assert found[4][0]["kids"][1]["kids"][1]["v"] == 1
+    # the first issue alone, and a row's own fault behind a deep tree that has none
+    assert issues(spark, Tree, [docs[2], docs[5], {"v": "y", "kids": [deep(9, {"v": 1})]}], max_depth=2, stop_at_first_error=True) == [want[2], want[5][:1], [("v", "isNumber")]]
+
+
+def test_recursion_through_several_contracts_and_unions(spark):
     def deep(n):
-        return {"v": 1, "kids": [deep(n - 1)]} if n else {"v": "x"}
+        return {"kind": "leaf", "x": "no"} if n == 0 else {"kind": "fork", "left": {"node": deep(n - 1)}} if n % 2 else {"kind": "fork", "left": {"node": None}, "right": {"node": deep(n - 1)}}
+
+    class Leaf:
+        x = field(r.is_number())
+
+    class Fork:
+        left = field(type=lambda: Holder, optional=True)
+        right = field(type=lambda: Holder, optional=True)
+
+    class Holder:
+        node = field(discriminator=union("kind", leaf=Leaf, fork=Fork), optional=True)
+
+    found = issues(spark, Holder, [{"node": deep(n)} for n in (0, 1, 15)] + [{"node": {"kind": "fork", "right": {"node": {"kind": "fork", "left": {"node": {"kind": "odd"}}, "z": 1}}}}], max_depth=3, forbid_unknown=True)
+    steps = "node." + "".join("left.node." if n % 2 else "right.node." for n in range(15, 0, -1))
+    assert found[:3] == [[("node.x", "isNumber")], [("node.left.node.x", "isNumber")], [(steps + "x", "isNumber")]]
+    assert found[3] == [("node.right.node.z", "whitelistViolation"), ("node.right.node.left.node", "invalidDiscriminator")]
+
 
-    got = issues(spark, Tree, [deep(2), deep(6)], max_depth=4)
-    assert got[0] == [("kids[0].kids[0].v", "isNumber")]
-    assert got[1] == [("kids[0].kids[0].kids[0].kids[0].kids[0].", "depthExceeded")]
+def test_structs_end_by_themselves(spark):
+    kind, value = "struct<v:string>", ("x",)
+    for _ in range(12):
+        kind, value = f"struct<v:double,kids:array<{kind}>>", (1.0, [value])
+    df = spark.createDataFrame([(value,)], f"doc {kind}")
+    assert [(i.path, i.code) for i in sealed(Tree, max_depth=3).check(df, Tree, document="doc").first().issues] == [("kids[0]." * 12 + "v", "isNumber")]
 
 
 class Dog:
