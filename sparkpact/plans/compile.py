@@ -7,6 +7,8 @@ configuration are settled here, so what they rule out is not in the plan at all.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..errors import ContractError
 from ..functions.compat import brackets_deep, iso_text, number_text, to_instant, to_number
-from ..functions.values import Val, constant, let, probed, typed, variant
+from ..functions.values import Val, constant, kind_of, let, probed, typed, variant
 from ..operators.array_rules import identity
 from ..operators.rule import ASSERTS, Rule, elements_by_python
 from ..operators.table_rules import TableRule
@@ -221,30 +223,117 @@ class Compiler:
             found += [(u.rule, x) for u in f.rules if isinstance(u.rule, TableRule) and self._runs(u)]
         return found
 
-    def _plain(self, f: FieldSpec, v: Val, path: Column) -> tuple[Column, Column | None]:
+    def _judged(self, f: FieldSpec, v: Val) -> tuple[Val, str | None, Column | None, RuleUse | None, list[RuleUse]]:
+        """The value as the rules see it, the gate and whether the value passes it, the rule that stands for a failed gate (none
+        where it is the conversion that fails), and the rules behind the gate in their order."""
         single = [u for u in f.rules if not u.each]
         gated, general = [u for u in single if u.rule.gate], [u for u in single if not u.rule.gate]
         gate, asserter, converts = self._gate(f)
+        if not gate:
+            return v, None, None, None, general
+        uses = [asserter] if asserter is not None and asserter.rule.name in _MORE_THAN_KIND else []
+        uses += [u for u in general if u is not asserter] + [u for u in gated if u not in uses]
+        if converts and gate in _CONVERTIBLE:
+            v = convert(v, gate)
+            return v, gate, v.has(gate), None, uses
+        return v, gate, is_kind(v, gate), asserter or gated[0], uses
+
+    def _plain(self, f: FieldSpec, v: Val, path: Column) -> tuple[Column, Column | None]:
+        v, gate, ok, stands, uses = self._judged(f, v)
         lists = []
         if gate:
-            ok = is_kind(v, gate)
-            if converts and gate in _CONVERTIBLE:
-                v = convert(v, gate)
-                ok, failed = v.has(gate), I.issue(path, I.NOT_CONVERTED)
-            elif asserter is not None:
-                failed = I.issue(path, asserter.rule.name, *self._extras(f, asserter, v))
-            else:
-                failed = I.issue(path, gated[0].rule.name, *self._extras(f, None, v))
-            uses = [asserter] if asserter is not None and asserter.rule.name in _MORE_THAN_KIND else []
-            uses += [u for u in general if u is not asserter] + [u for u in gated if u not in uses]
+            failed = I.issue(path, I.NOT_CONVERTED)
+            if stands is not None:
+                failed = I.issue(path, stands.rule.name, *self._extras(f, None if stands.rule.gate else stands, v))
             lists.append(F.when(~ok, F.array(failed)).otherwise(self._gathered(self._broken(f, uses, v, path))))
-        elif general:
-            lists.append(self._gathered(self._broken(f, general, v, path)))
+        elif uses:
+            lists.append(self._gathered(self._broken(f, uses, v, path)))
         each = [u for u in f.rules if u.each]
         if each:
             lists.append(self._each(f, each, v, path))
         return self._output(f, v, gate, each), self._joined(lists) if lists else None
 
+    # ---- sound records of known types ----
+
+    def sound(self, cls: type, v: Val, depth: int = 0) -> tuple[Column, Column] | None:
+        """Whether a record of known types has no issue, and its value if so; None where that isn't told apart.
+
+        The test is one Boolean: it builds nothing, and outside of arrays nothing of it is interpreted.
+        """
+        fields = declared(cls)
+        own = [f for f in fields.values() if f.takes_part(DECODE) and f.visible(DECODE, self.setting.groups)]
+        if not isinstance(v.shape, T.StructType) or not own or self.setting.forbid_unknown and {*v.shape.names} - {f.input_name for f in fields.values()}:
+            return None
+        good, values = v.has("object"), []
+        for f in own:
+            x, path, gone, skipped = self._taken(f, v, F.lit(""))
+            found = self._sound_nested(f, x, depth) if is_nested(f) else self._sound_plain(f, x)
+            if found is None:
+                return None
+            ok = skipped | found[0]
+            if gone is not None:
+                ok = ~gone & ok
+            if f.when is not None:
+                ok = ~F.coalesce(f.when(v), F.lit(False)) | ok
+            good = good & ok
+            values.append(self._guarded(f, v, x, path, gone, skipped, found[1], None)[0].alias(f.name))
+        return F.coalesce(good, F.lit(False)), F.struct(*values)
+
+    def _sound_plain(self, f: FieldSpec, v: Val) -> tuple[Column, Column] | None:
+        v, gate, ok, _, uses = self._judged(f, v)
+        each = [u for u in f.rules if u.each]
+        if any(u.rule.python for u in [*uses, *each]) or each and "array" not in v.kinds:
+            return None
+        tests = [ok] if gate else []
+        tests += [u.rule.passes(v) for u in uses if self._runs(u)]
+        good = reduce(and_, tests, F.lit(True))
+        passing = [u.rule for u in each if self._runs(u)]
+        if each:
+            good = good & v.has("array")
+        if passing:
+            good = good & F.forall(v.get("array"), lambda x: reduce(and_, (rule.passes(v.item(x)) for rule in passing)))
+        return good, self._output(f, v, gate, each)
+
+    def _sound_nested(self, f: FieldSpec, v: Val, depth: int) -> tuple[Column, Column] | None:
+        uses = [u for u in f.rules if not u.each]
+        if f.type.union or f.type.form not in ("record", "records") or any(u.rule.python for u in f.rules):
+            return None
+        cls = self._contract(f)
+        if f.type.form == "record" and not any(u.each for u in f.rules):
+            return self.sound(cls, v, depth + 1)
+        if "array" not in v.kinds or not isinstance(v.element, T.StructType):
+            return None
+        whole = v.get("array")
+        if self.sound(cls, v.item(F.lit(None).cast(v.element)), depth + 1) is None:
+            return None
+        good = v.has("array") & reduce(and_, (u.rule.passes(v) for u in uses if self._runs(u)), F.lit(True))
+        good = good & F.forall(whole, lambda x: self.sound(cls, v.item(x), depth + 1)[0])
+        return good, whole if self._as_it_came(cls, v.element) else F.transform(whole, lambda x: self.sound(cls, v.item(x), depth + 1)[1])
+
+    def _as_it_came(self, cls: type, shape: T.StructType) -> bool:
+        """Whether a sound record's value is the very struct that came in."""
+        own = [f for f in declared(cls).values() if f.takes_part(DECODE) and f.visible(DECODE, self.setting.groups)]
+        if self.setting.auto_convert or [f.name for f in own] != shape.names:
+            return False
+
+        def same(f: FieldSpec, kind: T.DataType) -> bool:
+            if f.input_name != f.name or f.codecs or f.when is not None or self.setting.allow_class_defaults and has_default(f):
+                return False
+            if is_nested(f):
+                below = kind.elementType if f.type.form == "records" and isinstance(kind, T.ArrayType) else kind
+                return f.type.form in ("record", "records") and isinstance(below, T.StructType) and self._as_it_came(self._contract(f), below)
+            gives = self._kind(f)
+            return not any(u.each for u in f.rules) and (gives is None or kind_of(kind) == gives)
+
+        return all(same(f, shape[f.name].dataType) for f in own)
+
+    def whole(self, cls: type, v: Val) -> Column:
+        """The result of a record. Where it holds records of known types, sound ones are told by one test beforehand."""
+        full = self.record(cls, v, F.lit(""))
+        if not any(is_nested(f) for f in declared(cls).values()) or (quick := self.sound(cls, v)) is None:
+            return full
+        return F.when(quick[0], result(quick[1], None)).otherwise(full)
+
     def _each(self, f: FieldSpec, uses: list[RuleUse], v: Val, path: Column) -> Column:
         """Element rules: one pass over the elements for each rule."""
         if isinstance(v.shape, T.MapType) and "array" not in v.kinds:
@@ -266,9 +355,13 @@ class Compiler:
         found = F.array_compact(F.transform(whole, lambda x, i: F.when(~use.rule.passes(item(x)), I.issue(at(i), use.rule.name, *self._extras(f, use, item(x))))))
         return F.when(F.exists(whole, lambda x: ~use.rule.passes(item(x))), found).otherwise(I.none())
 
+    def _kind(self, f: FieldSpec) -> str | None:
+        """The kind that a field's value has, by its rules, codecs or hint."""
+        kind = self._gate(f)[0] or next((ASSERTS[u.rule.name] for u in f.rules if not u.each and u.rule.name in ASSERTS), None)
+        return kind or next((u.codec.gives for u in f.codecs if u.codec.gives), None) or (f.type.contract if f.type and f.type.form == "hint" else None)
+
     def _output(self, f: FieldSpec, v: Val, gate: str | None, each: list[RuleUse]) -> Column:
-        kind = gate or next((ASSERTS[u.rule.name] for u in f.rules if not u.each and u.rule.name in ASSERTS), None)
-        kind = kind or next((u.codec.gives for u in f.codecs if u.codec.gives), None) or (f.type.contract if f.type and f.type.form == "hint" else None)
+        kind = self._kind(f)
         element = _kind_of_rules([u.rule for u in each])
         if (kind == "array" or each) and element and "array" in v.kinds and isinstance(v.element, T.VariantType):
             return F.transform(v.get("array"), lambda x: v.item(x).get(element))

@@ -118,7 +118,7 @@ class Engine:
                 return self._plans[key]
             else:
                 v = typed(F.col(f"`{document}`"), kind, self.config.null_as)
-            self._plans[key] = compiler.record(cls, v, F.lit(""))
+            self._plans[key] = compiler.whole(cls, v)
         return self._plans[key]
 
     @staticmethod
