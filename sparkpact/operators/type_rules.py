@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from ..errors import ContractError
 from ..functions.compat import at_most_decimals, is_finite
-from ..functions.values import Val, is_literal
-from .rule import Rule
+from ..functions.values import Val, is_literal, kind_of
+from .rule import ASSERTS, Rule
 
 is_string = Rule("isString", lambda v: v.has("string"))
 is_boolean = Rule("isBoolean", lambda v: v.has("boolean"))
@@ -168,17 +168,29 @@ def is_not_empty_object(*, nullable: bool | None = None) -> Rule:
 
 
 def is_instance(contract: type) -> Rule:
-    """An object whose type has all fields that a contract declares; decided from the column's type."""
+    """An object whose type has all fields that a contract declares, each of the kind that its rules or its hint ask for and
+    records of contracts down to their fields; decided from the column's type."""
+    return Rule("isInstance", lambda v: v.has("object") & F.lit(_fits(contract, v.shape)), constraints={"type": contract.__name__})
 
-    def test(v: Val) -> Column:
-        from ..plans.field import declared
 
-        names = {f.input_name for f in declared(contract).values()}
-        if isinstance(v.shape, T.StructType):
-            return v.has("object") & F.lit(names <= {*v.shape.names})
-        return F.lit(False)
+def _fits(contract: type, shape: T.DataType | None) -> bool:
+    from ..plans.field import declared
+
+    return isinstance(shape, T.StructType) and all(f.input_name in shape.names and _holds(f, shape[f.input_name].dataType) for f in declared(contract).values() if f.takes_part("decode"))
+
 
-    return Rule("isInstance", test, constraints={"type": contract.__name__})
+def _holds(f, kind: T.DataType) -> bool:
+    form = f.type.form if f.type is not None else "hint"
+    if form in ("set", "records"):
+        if not isinstance(kind, T.ArrayType):
+            return False
+        return f.type.union is not None or f.type.resolve() is None or _fits(f.type.resolve(), kind.elementType)
+    if form == "map":
+        return isinstance(kind, T.MapType) and (f.type.resolve() is None or _fits(f.type.resolve(), kind.valueType))
+    if form == "record":
+        return isinstance(kind, T.StructType) if f.type.union else _fits(f.type.resolve(), kind)
+    asked = next((k for u in f.rules if not u.each and (k := u.rule.gate or ASSERTS.get(u.rule.name))), None) or (f.type.contract if f.type else None)
+    return asked is None or bool(f.codecs) or kind_of(kind) == asked
 
 
 def is_byte_size(minimum: int, maximum: int | None = None) -> Rule:

@@ -197,3 +197,58 @@ def test_iso_countries(spark):
     from sparkpact.operators.identifier_rules import iso_countries
 
     assert 240 < len(iso_countries(2)) < 260 and len(iso_countries(3)) == len(iso_countries(2))
+
+
+def test_ipv6_hosts_of_origins_are_canonical(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(6)
+    hosts = [":::::", "1:2", "0:0:0:0:0:0:0:1", "::1", "::", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1:0:0:2::3", "1::2:0:0:3", "1:0:2:3:4:5:6:7", "0:0:1::", "::1:0:0", "1::2::3", "01::1", "A::1", "12345::1", ":1", "1:", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6::7:8:9"]
+    for _ in range(300):
+        pieces = [rng.choice((0, 0, 0, 1, 0xAB)) for _ in range(8)]
+        text = ":".join(f"{p:x}" for p in pieces)
+        whole = str(ipaddress.IPv6Address(text))
+        a, b = sorted((rng.randrange(9), rng.randrange(9)))
+        other = ":".join(f"{p:x}" for p in pieces[:a]) + "::" + ":".join(f"{p:x}" for p in pieces[b:])
+        hosts += [text, whole, other]
+
+    def canonical(host):
+        try:
+            address = ipaddress.IPv6Address(host)
+        except ValueError:
+            return False
+        # Python writes the same form, but for addresses that hold an IPv4 one, which it may write with dots
+        return ":".join(f"{int(p, 16):x}" for p in address.exploded.split(":")) == host or host == str(address) if "." not in str(address) else None
+
+    want = [(h, canonical(h)) for h in dict.fromkeys(hosts)]
+    want = [(h, w and not (":0:0:" in f":{h}:" and "::" not in h)) for h, w in want if w is not None]
+    df = spark.createDataFrame([(f"https://[{h}]{port}", w) for h, w in want for port in ("", ":8443")], "x string, want boolean")
+    from sparkpact import rules
+
+    wrong = df.where(rules.is_origin(F.col("x")) != F.col("want")).collect()
+    assert not wrong
+    assert df.where("want").count() > 100
+
+
+def test_instances_have_the_types_of_their_contract(spark):
+    from sparkpact import array_of, field
+
+    class Inner:
+        x = field(r.is_number())
+
+    class Outer:
+        a = field(r.is_string, name="A")
+        b = field(r.min_value(1), optional=True)
+        inner = field(type=Inner)
+        many = field(type=[Inner])
+        words = field(r.array_min_size(1), array_of(r.is_string))
+        free = field()
+
+    good = "struct<A:string,b:int,inner:struct<x:double>,many:array<struct<x:int>>,words:array<string>,free:date,more:int>"
+    bad = [good.replace("A:string", "a:string"), good.replace("b:int", "b:string"), good.replace("inner:struct<x:double>", "inner:struct<y:double>"), good.replace("inner:struct<x:double>", "inner:struct<x:string>"), good.replace("array<struct<x:int>>", "struct<x:int>"),
+           good.replace("array<struct<x:int>>", "array<struct<x:boolean>>"), good.replace("words:array<string>", "words:string"), "map<string,string>", "string"]
+    for kind in [good, *bad]:
+        df = spark.range(1).select(F.lit(None).cast(kind).alias("n"), F.from_json(F.lit("{}"), kind).alias("v") if kind.startswith("struct") else F.lit(None).cast(kind).alias("v"))
+        got = df.select(r.is_instance(Outer)(F.col("v"), kind).alias("v"), r.is_instance(Outer)(F.col("n"), kind).alias("n")).first()
+        assert (got.v, got.n) == (kind == good, False), kind

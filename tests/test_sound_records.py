@@ -56,8 +56,7 @@ def rows(n=400):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"null_as": "null"}, {"auto_convert": True}, {"stop_at_first_error": True}, {"forbid_unknown": True}, {"allow_class_defaults": True}], ids=str)
-@pytest.mark.parametrize("groups", [None, ["g"]], ids=str)
+@pytest.mark.parametrize("options, groups", [({}, ["g"]), ({"null_as": "null"}, None), ({"auto_convert": True}, ["g"]), ({"stop_at_first_error": True}, None), ({"forbid_unknown": True}, None), ({"allow_class_defaults": True}, ["g"])], ids=str)
 def test_both_ways_give_the_same(spark, monkeypatch, options, groups):
     df, out, kinds = spark.createDataFrame(rows(), SCHEMA), [], []
     df = df.drop("k") if "forbid_unknown" in options else df
