@@ -38,6 +38,8 @@ class Config:
 
 
 _RESULT = "__contract_result"
+#: Where a class keeps what has been compiled of it, for all engines of equal options. It goes when the class goes.
+_COMPILED = "__compiled_contract__"
 
 
 class Engine:
@@ -52,8 +54,6 @@ class Engine:
             raise ContractError("null_as is 'missing' or 'null'")
         self._registered: dict[type, None] = {}
         self._sealed: set[type] = set()
-        self._plans: dict = {}
-        self._compilers: dict = {}
 
     def contract(self, cls: type) -> type:
         """Class decorator: the class is a contract of this engine."""
@@ -88,6 +88,12 @@ class Engine:
             raise ContractError(f"{cls.__name__} is no sealed contract of this engine")
         return found
 
+    def _compiled(self, cls: type) -> dict:
+        """What has been compiled of a contract under this engine's options: plans, and the compilers that made them."""
+        if _COMPILED not in vars(cls):
+            setattr(cls, _COMPILED, {})
+        return vars(cls)[_COMPILED].setdefault(self.config, {})
+
     def _compiler(self, groups: Iterable[str] | None, binds: bool = True, gathers: bool = False) -> C.Compiler:
         if isinstance(groups, str) or groups is not None and not all(isinstance(g, str) for g in groups):
             raise ContractError("groups is a list of texts")
@@ -97,29 +103,26 @@ class Engine:
     def _below(self, cls: type, schema: T.StructType, groups: Iterable[str] | None, document: str | None, found: Column) -> Column:
         """The issues that ``_whole`` found, with what recursion left open judged. (A projection of its own, since Spark resolves
         nested lambdas one level at a time and bounds how often.)"""
-        key = (self._contract(cls), schema.json(), frozenset(groups or ()), document, "below")
-        if key not in self._plans:
-            compiler = self._compilers.get(key[:-1])
-            self._plans[key] = (lambda c: c) if compiler is None or not compiler.below else compiler.judged_below
-        return self._plans[key](found)
+        key, plans = (schema.json(), frozenset(groups or ()), document, "below"), self._compiled(self._contract(cls))
+        if key not in plans:
+            plans[key] = plans[(*key[:-1], "compiler")].judged_below(found)
+        return plans[key]
 
     def _whole(self, cls: type, schema: T.StructType, groups: Iterable[str] | None, document: str | None) -> Column:
-        """The result of a row, compiled once for each contract, schema and set of groups."""
+        """The result of a row, compiled once for each contract, schema and set of groups, by whichever engine of these options."""
         cls = self._contract(cls)
         # with a first issue alone, what recursion leaves open would hide what comes behind it: all are gathered there
         compiler = self._compiler(groups, not C.uses_python(cls), document is not None and C.recursive(cls))
-        key = (cls, schema.json(), compiler.setting.groups, document)
-        if key not in self._plans:
-            self._compilers[key] = compiler
-            if document is None:
-                v = C.root([(f.name, f.dataType) for f in schema.fields], self.config.null_as)
-            elif isinstance(kind := schema[document].dataType, (T.VariantType, T.StringType)):
-                self._plans[key] = self._document(compiler, cls, F.col(f"`{document}`"), isinstance(kind, T.StringType))
-                return self._plans[key]
+        key, plans = (schema.json(), compiler.setting.groups, document), self._compiled(cls)
+        if key not in plans:
+            kind = schema[document].dataType if document else None
+            if isinstance(kind, (T.VariantType, T.StringType)):
+                plans[key] = self._document(compiler, cls, F.col(f"`{document}`"), isinstance(kind, T.StringType))
             else:
-                v = typed(F.col(f"`{document}`"), kind, self.config.null_as)
-            self._plans[key] = compiler.whole(cls, v)
-        return self._plans[key]
+                v = C.root([(f.name, f.dataType) for f in schema.fields], self.config.null_as) if document is None else typed(F.col(f"`{document}`"), kind, self.config.null_as)
+                plans[key] = compiler.whole(cls, v)
+            plans[(*key, "compiler")] = compiler
+        return plans[key]
 
     @staticmethod
     def _document(compiler: C.Compiler, cls: type, column: Column, is_text: bool) -> Column:
@@ -135,7 +138,8 @@ class Engine:
         if any(C.uses_tables(f) for f in declared(self._contract(cls)).values()):
             raise ContractError(f"{cls.__name__} has rules on tables: use decode or check")
         whole = self._whole(cls, schema, groups, document)
-        found = self._below(cls, schema, groups, document, whole["issues"])
+        compiler = self._compiled(self._contract(cls))[(schema.json(), frozenset(groups or ()), document, "compiler")]
+        found = compiler.judged_below(whole["issues"])
         return whole["value"], F.slice(found, 1, 1) if self.config.stop_at_first_error else found
 
     def decode(self, df: DataFrame, cls: type, *, groups: Iterable[str] | None = None, document: str | None = None, presence: bool = False) -> DataFrame:
@@ -152,10 +156,10 @@ class Engine:
     def _presence(self, df: DataFrame, cls: type, groups: Iterable[str] | None, document: str | None) -> Column:
         """The flags of a row, compiled once like its result."""
         compiler, cls = self._compiler(groups), self._contract(cls)
-        key = (cls, df.schema.json(), compiler.setting.groups, document, "presence")
-        if key not in self._plans:
-            self._plans[key] = self._flags(compiler, df, cls, document)
-        return self._plans[key]
+        key, plans = (df.schema.json(), compiler.setting.groups, document, "presence"), self._compiled(cls)
+        if key not in plans:
+            plans[key] = self._flags(compiler, df, cls, document)
+        return plans[key]
 
     def _flags(self, compiler: C.Compiler, df: DataFrame, cls: type, document: str | None) -> Column:
         kind = df.schema[document].dataType if document else None

@@ -530,3 +530,30 @@ def test_contracts_without_optional_fields_need_no_flags(spark):
     engine = sealed(A)
     decoded = engine.decode(spark.createDataFrame([('{"id":1}',)], "doc string"), A, document="doc", presence=True)
     assert engine.encode(decoded, A, column="value", presence="presence", form="json").first().record == '{"id":1}'
+
+
+def test_engines_of_equal_options_compile_once(spark, monkeypatch):
+    from sparkpact.plans.compile import Compiler
+
+    class A:
+        x = field(r.is_string)
+
+    class B(A):
+        y = field(r.is_string, optional=True)
+
+    compiled, record = [], Compiler.record
+    monkeypatch.setattr(Compiler, "record", lambda self, cls, *more: (compiled.append(cls), record(self, cls, *more))[1])
+    df = spark.createDataFrame([("a", "b")], "x string, y string")
+    for options in ({}, {}, {"null_as": "missing"}, {"forbid_unknown": True}):
+        assert sealed(A, **options).check(df, A).count() == 1
+    assert compiled == [A, A]
+    assert sealed(B).check(df, B).count() == 1 and sealed(A).check(df.select("x"), A).count() == 1
+    assert compiled == [A, A, B, A]
+    import gc
+    import weakref
+
+    gone = weakref.ref(B)
+    del B
+    compiled.clear()
+    gc.collect()
+    assert gone() is None
