@@ -908,7 +908,7 @@ def recursive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- names of one direction, lists of rules, keys of elements, contracts known by their base ----
 class Named:
-    title = field(r.is_string, r.max_length(30), name="both") & field(decode_name="p_name")
+    title = field(r.is_string, r.max_length(11), name="both") & field(decode_name="p_name")
     words = field(r.array_unique(lambda v: v.with_kinds(string=F.substring(v.get("string"), 1, 1))))
     size = field(r.is_int, extra_rules=[r.max_value(40), *(r.not_equals(n) for n in (7, 9))], decode_name="p_size", encode_name="size")
     shown = field(r.is_string, r.min_length(1000), encode_name="shown")
@@ -926,7 +926,7 @@ naming.seal()
 
 
 @register("""
-SELECT p_partkey, concat_ws(',', CASE WHEN length(p_name) > 30 THEN 'title:maxLength' END, CASE WHEN len(list_distinct(list_transform(w, lambda x: substr(x, 1, 1)))) < len(w) THEN 'words:arrayUnique' END,
+SELECT p_partkey, concat_ws(',', CASE WHEN length(p_name) > 11 THEN 'title:maxLength' END, CASE WHEN len(list_distinct(list_transform(w, lambda x: substr(x, 1, 1)))) < len(w) THEN 'words:arrayUnique' END,
        CASE WHEN p_size IN (7, 9) THEN 'size:notEquals' END, CASE WHEN p_size > 40 THEN 'size:max' END) AS codes
 FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)
 """)
