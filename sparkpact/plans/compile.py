@@ -6,6 +6,7 @@ configuration are settled here, so what they rule out is not in the plan at all.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -16,11 +17,12 @@ from pyspark.sql import types as T
 
 from ..errors import ContractError
 from ..functions.compat import brackets_deep, iso_text, number_text, to_instant, to_number
-from ..functions.values import Val, constant, kind_of, let, probed, typed, variant
+from ..functions.values import Val, constant, kind_of, let, probed, truth, typed, variant
 from ..operators.array_rules import identity
 from ..operators.rule import ASSERTS, Rule, elements_by_python
 from ..operators.table_rules import TableRule
 from . import issues as I
+from . import python_rules as P
 from .field import DECODE, ENCODE, FieldSpec, RuleUse, declared, has_default
 
 #: Asserters that test more than their kind.
@@ -75,6 +77,41 @@ class Compiler:
         self.setting = setting
         #: The contracts (and the union tags allowed in them) that recursion leads to below ``max_depth``, in the order found.
         self.below: list[tuple[type, str | None]] = []
+        #: The names that lead to the record in hand, and the verdicts of Python rules judged beforehand, by place and use.
+        self.scope: P.Scope = ()
+        self.verdicts: dict[P.Key, Column] = {}
+
+    @contextmanager
+    def _inside(self, name: str, at: Column | None = None):
+        """In what is held under a name; at: in an element, whose verdicts lie at its place."""
+        before = self.scope, self.verdicts
+        self.scope = (*self.scope, name)
+        if at is not None:
+            self.verdicts = {k: F.get(v, at) if k[0][: len(self.scope)] == self.scope else v for k, v in self.verdicts.items()}
+        try:
+            yield
+        finally:
+            self.scope, self.verdicts = before
+
+    def _passes(self, use: RuleUse, v: Val) -> Column:
+        verdict = self.verdicts.get((self.scope, id(use)))
+        return use.rule.passes(v) if verdict is None else truth(verdict)
+
+    def judged_beforehand(self, seen, body) -> Column:
+        """The body with the verdicts of Python rules at hand. seen: what a ``Gathering`` finds for them."""
+        gathering = P.Gathering(self)
+        found = seen(gathering)
+        if not gathering.sites:
+            return body()
+
+        def with_verdicts(r: Column) -> Column:
+            self.verdicts = {k: r[s.name] for k, s in gathering.sites.items()}
+            try:
+                return body()
+            finally:
+                self.verdicts = {}
+
+        return let(P.verdicts(gathering, found), with_verdicts)
 
     def _gathered(self, maybe: list[I.Maybe]) -> Column:
         return I.gathered(maybe, self.setting.first)
@@ -163,7 +200,8 @@ class Compiler:
 
     def _nested_field(self, f: FieldSpec, record: Val, prefix: Column, depth: int) -> Column:
         v, path, gone, skipped = self._taken(f, record, prefix)
-        inner = (self._nested if f.type.form in ("record", "records") else self._collection)(f, v, path, depth)
+        with self._inside(f.name):
+            inner = (self._nested if f.type.form in ("record", "records") else self._collection)(f, v, path, depth)
         return self._let(inner, lambda r: result(*self._guarded(f, record, v, path, gone, skipped, r["value"], r["issues"])))
 
     @staticmethod
@@ -188,7 +226,7 @@ class Compiler:
         return not use.groups or not self.setting.groups or bool(self.setting.groups & {*use.groups})
 
     def _broken(self, f: FieldSpec, uses: list[RuleUse], v: Val, path: Column) -> list[I.Maybe]:
-        return [I.when(~use.rule.passes(v), I.issue(path, use.rule.name, *self._extras(f, use, v))) for use in uses if self._runs(use)]
+        return [I.when(~self._passes(use, v), I.issue(path, use.rule.name, *self._extras(f, use, v))) for use in uses if self._runs(use)]
 
     # ---- plain fields ----
 
@@ -350,7 +388,8 @@ class Compiler:
             return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
 
         if use.rule.python:
-            good = elements_by_python(use.rule, v)
+            good = self.verdicts.get((self.scope, id(use)))
+            good = elements_by_python(use.rule, v) if good is None else good
             return F.array_compact(F.transform(good, lambda ok, i: F.when(~ok, I.issue(at(i), use.rule.name, *self._extras(f, use, v)))))
         found = F.array_compact(F.transform(whole, lambda x, i: F.when(~use.rule.passes(item(x)), I.issue(at(i), use.rule.name, *self._extras(f, use, item(x))))))
         return F.when(F.exists(whole, lambda x: ~use.rule.passes(item(x))), found).otherwise(I.none())
@@ -436,7 +475,11 @@ class Compiler:
         def at(i: Column) -> Column:
             return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
 
-        each = F.transform(v.get("array"), lambda x, i: one(v.item(x), at(i), F.concat(at(i), F.lit("."))))
+        def element(x: Column, i: Column) -> Column:
+            with self._inside(P.ELEMENT, i):
+                return one(v.item(x), at(i), F.concat(at(i), F.lit(".")))
+
+        each = F.transform(v.get("array"), element)
 
         def whole(r: Column) -> Column:
             below = F.flatten(r["issues"])
@@ -450,7 +493,12 @@ class Compiler:
         received = F.coalesce(F.concat(F.lit('"received":'), _quoted(tag), F.lit(",")), F.lit(""))
         names = ",".join(f'"{n}"' for n in cases)
         context = F.concat(F.lit("{"), received, F.lit(f'"validSubTypes":[{names}]}}'))
-        inner = F.struct(tag.alias("tag"), *(F.when(tag == n, self._deeper(f, v, below, depth, f.type.union.property, cls)).alias(n) for n, cls in cases.items()))
+
+        def case(name: str, cls: type) -> Column:
+            with self._inside(name):
+                return F.when(tag == name, self._deeper(f, v, below, depth, f.type.union.property, cls)).alias(name)
+
+        inner = F.struct(tag.alias("tag"), *(case(n, cls) for n, cls in cases.items()))
 
         def whole(r: Column) -> Column:
             tag, values, found = r["tag"], [r["tag"].alias("tag")], F.when(F.lit(False), I.none())
@@ -485,12 +533,13 @@ class Compiler:
         if "object" not in v.kinds:
             return result(F.lit(None).cast("string"), wrong)
 
-        def one(e: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
             if cls is None:
                 return result(v.entry_item(e["value"]).output(_kind_of_rules([u.rule for u in each])), I.none())
-            return self._deeper(f, v.entry_item(e["value"]), F.concat(path, F.lit("["), e["key"], F.lit("].")), depth)
+            with self._inside(P.ELEMENT, i):
+                return self._deeper(f, v.entry_item(e["value"]), F.concat(path, F.lit("["), e["key"], F.lit("].")), depth)
 
-        entries = F.transform(v.entries(), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), one(e).alias("r")))
+        entries = F.transform(v.entries(), lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), one(e, i).alias("r")))
 
         def whole(r: Column) -> Column:
             value = F.map_from_entries(F.transform(r, lambda e: F.struct(e["key"], e["r"]["value"])))

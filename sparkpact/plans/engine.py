@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable
 from dataclasses import dataclass, fields, replace
 
@@ -16,6 +17,7 @@ from ..operators.table_rules import joined
 from . import compile as C
 from . import documents as D
 from . import issues as I
+from . import python_rules as P
 from .field import DECODE, ENCODE, check, declared
 
 
@@ -94,11 +96,11 @@ class Engine:
             setattr(cls, _COMPILED, {})
         return vars(cls)[_COMPILED].setdefault(self.config, {})
 
-    def _compiler(self, groups: Iterable[str] | None, binds: bool = True, gathers: bool = False) -> C.Compiler:
+    def _compiler(self, groups: Iterable[str] | None, binds: bool = True, gathers: bool = False, max_depth: int | None = None) -> C.Compiler:
         if isinstance(groups, str) or groups is not None and not all(isinstance(g, str) for g in groups):
             raise ContractError("groups is a list of texts")
         c = self.config
-        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth, binds, c.stop_at_first_error and not gathers))
+        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth if max_depth is None else max_depth, binds, c.stop_at_first_error and not gathers))
 
     def _below(self, cls: type, schema: T.StructType, groups: Iterable[str] | None, document: str | None, found: Column) -> Column:
         """The issues that ``_whole`` found, with what recursion left open judged. (A projection of its own, since Spark resolves
@@ -112,26 +114,33 @@ class Engine:
         """The result of a row, compiled once for each contract, schema and set of groups, by whichever engine of these options."""
         cls = self._contract(cls)
         # with a first issue alone, what recursion leaves open would hide what comes behind it: all are gathered there
-        compiler = self._compiler(groups, not C.uses_python(cls), document is not None and C.recursive(cls))
+        beforehand = not C.recursive(cls) and P.in_arrays(cls)
+        compiler = self._compiler(groups, beforehand or not C.uses_python(cls), document is not None and C.recursive(cls), sys.maxsize if beforehand else None)
         key, plans = (schema.json(), compiler.setting.groups, document), self._compiled(cls)
         if key not in plans:
             kind = schema[document].dataType if document else None
             if isinstance(kind, (T.VariantType, T.StringType)):
-                plans[key] = self._document(compiler, cls, F.col(f"`{document}`"), isinstance(kind, T.StringType))
+                plans[key] = self._document(compiler, cls, F.col(f"`{document}`"), isinstance(kind, T.StringType), beforehand)
             else:
                 v = C.root([(f.name, f.dataType) for f in schema.fields], self.config.null_as) if document is None else typed(F.col(f"`{document}`"), kind, self.config.null_as)
-                plans[key] = compiler.whole(cls, v)
+                plans[key] = compiler.judged_beforehand(lambda g: g.record(cls, v), lambda: compiler.record(cls, v, F.lit(""))) if beforehand else compiler.whole(cls, v)
             plans[(*key, "compiler")] = compiler
         return plans[key]
 
     @staticmethod
-    def _document(compiler: C.Compiler, cls: type, column: Column, is_text: bool) -> Column:
+    def _document(compiler: C.Compiler, cls: type, column: Column, is_text: bool, beforehand: bool) -> Column:
         """A document's result: its text must be one JSON value and nothing more; its keys are read in the text's order."""
         names = F.json_object_keys(column) if is_text else None
         parsed = strict_json(column) if is_text else column
         if not compiler.setting.binds:
             return compiler.record(cls, replace(variant(parsed), names=names), F.lit(""))
-        return let(probed(parsed), lambda p: compiler.record(cls, replace(variant(p["x"], p), names=names), F.lit("")))
+
+        def judged() -> Column:
+            return let(probed(parsed), lambda p: compiler.record(cls, replace(variant(p["x"], p), names=names), F.lit("")))
+
+        if not beforehand:
+            return judged()
+        return compiler.judged_beforehand(lambda g: let(probed(parsed), lambda p: g.record(cls, variant(p["x"], p))), judged)
 
     def columns(self, cls: type, schema: T.StructType, groups: Iterable[str] | None = None, document: str | None = None) -> tuple[Column, Column]:
         """(value, issues) for a frame of this schema. Rules on tables need a join, so they work in ``decode`` and ``check`` alone."""

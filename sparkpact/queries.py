@@ -936,6 +936,37 @@ def declared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.check(df, NamedMore).select("p_partkey", codes.alias("codes"))
 
 
+# ---- Python rules in arrays of arrays of records ----
+class Token:
+    word = field(r.is_string, r.create_rule("isNoPalindrome", python=lambda w: len(w) < 3 or not w.isascii() or w != w[::-1]))
+
+
+class TextLine:
+    tokens = field(r.create_rule("hasFewTokens", python=lambda tokens: len(tokens) <= 12), type=[Token])
+
+
+class Paged:
+    doc_id = field(r.is_int)
+    lines = field(type=[TextLine])
+
+
+paging = Engine()
+paging.contract(Paged)
+paging.seal()
+
+
+@register("""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, string_split(unnest(x), ' ') AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+w AS (SELECT doc_id, i, generate_subscripts(t, 1) - 1 AS j, unnest(t) AS w FROM l)
+SELECT doc_id, 'lines[' || i || '].tokens' AS path, 'hasFewTokens' AS code FROM l WHERE len(t) > 12
+UNION ALL SELECT doc_id, 'lines[' || i || '].tokens[' || j || '].word', 'isNoPalindrome' FROM w WHERE length(w) >= 3 AND regexp_full_match(w, '[\x01-\x7F]*') AND w = reverse(w)
+""")
+def python_rules_in_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.struct(F.transform(F.split(t, " "), lambda w: F.struct(w.alias("word"))).alias("tokens")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    return exploded(paging.check(docs, Paged), "doc_id").select("doc_id", "path", "code")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
