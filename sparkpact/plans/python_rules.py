@@ -184,9 +184,27 @@ def _judged(values: pa.Array, judge: Callable, levels: int, as_json: bool) -> pa
     if levels:
         ends = np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _judged(values.flatten(), judge, levels - 1, as_json))
-    plain = values.to_pylist()
+    plain = _as_python(values)
     if as_json:
         plain = [None if x is None else json.loads(x) for x in plain]
-    elif pa.types.is_timestamp(values.type):
-        plain = [None if x is None else x.replace(tzinfo=None) for x in plain]
     return pa.array([judge(x) for x in plain], pa.bool_())
+
+
+def _as_python(values: pa.Array) -> list:
+    """The values as Python has them: records as dicts, times as the session's clock shows them. Column by column, since Arrow
+    makes a scalar of every part of a record otherwise."""
+    kind = values.type
+    if pa.types.is_struct(kind):
+        parts = [_as_python(part) for part in values.flatten()]
+        names = [kind.field(i).name for i in range(kind.num_fields)]
+        out = [dict(zip(names, row, strict=True)) for row in zip(*parts, strict=True)]
+    elif pa.types.is_list(kind):
+        flat, ends = _as_python(values.flatten()), np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)).tolist()
+        out = [flat[start:end] for start, end in zip([0, *ends], ends)]  # noqa: B905
+    elif pa.types.is_timestamp(kind):
+        return [None if x is None else x.replace(tzinfo=None) for x in values.to_pylist()]
+    elif pa.types.is_string(kind):
+        return values.to_numpy(zero_copy_only=False).tolist()
+    else:
+        return values.to_pylist()
+    return [x if there else None for x, there in zip(out, values.is_valid().to_pylist(), strict=True)] if values.null_count else out

@@ -152,3 +152,20 @@ def test_groups_and_values(spark):
     got = engine.decode(df, Root, groups=["admin"]).collect()
     assert [len(x.issues) for x in got] == [1, 0, 0, 1]
     assert got[1].value.leaves[0].asDict() == {"n": 1, "s": "b"}
+
+
+def test_what_a_rule_sees(spark):
+    """Records as dicts, nulls as None, times without a zone, whatever holds them."""
+    from datetime import datetime
+
+    seen = "[{'t': datetime.datetime(2024, 5, 1, 12, 0), 'm': [1, None], 's': None}, None]"
+
+    class Leaf:
+        held = field(r.create_rule("asSeen", python=lambda x: repr(x) == seen))
+
+    class Root:
+        leaves = field(type=[Leaf])
+
+    row = [(datetime(2024, 5, 1, 12), [1, None], None), None]
+    df = spark.createDataFrame([([(row,), (row[:1],)],)], "leaves array<struct<held:array<struct<t:timestamp,m:array<int>,s:string>>>>")
+    assert [(i.path, i.code) for i in sealed(Root).check(df, Root).first().issues] == [("leaves[1].held", "asSeen")]
