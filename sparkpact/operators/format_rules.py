@@ -22,9 +22,10 @@ is_multibyte = pattern_rule("isMultibyte", r"[^\x00-\xFF]")
 is_surrogate_pair = pattern_rule("isSurrogatePair", r"[\x{10000}-\x{10FFFF}]")
 
 # ---- encodings ----
-_HEX = "[0-9A-Fa-f]"
+#: Digits of the bases.
+_HEX = "[0-9a-fA-F]"
 is_hexadecimal = pattern_rule("isHexadecimal", f"^{_HEX}+$")
-is_octal = pattern_rule("isOctal", "^(0[Oo])?[0-7]+$")
+is_octal = pattern_rule("isOctal", "^(0[oO])?[0-7]+$")
 is_base58 = pattern_rule("isBase58", "^[1-9A-HJ-NP-Za-km-z]+$")
 
 
@@ -39,6 +40,7 @@ def is_base64(*, url_safe: bool | None = None) -> Rule:
 
 
 # ---- colours ----
+#: The parts of a colour.
 _BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _PART = "(100|[0-9]{1,2})%"
 _ALPHA = r"(0|0?\.[0-9]+|1(\.0+)?)"
@@ -67,6 +69,7 @@ _PORT_TEXT = "(6553[0-5]|655[0-2][0-9]|65[0-4][0-9]{2}|6[0-4][0-9]{3}|[1-5][0-9]
 
 
 def is_email() -> Rule:
+    # a fixed value
     return pattern_rule("isEmail", rf"^[a-zA-Z0-9.!#$%&'*+/=?^_`{{|}}~-]+@({_LABEL}\.)+[a-zA-Z]{{2,}}$", constraints={"format": "email"})
 
 
@@ -124,6 +127,7 @@ def is_fqdn(*, require_tld: bool = True, allow_underscores: bool = False, allow_
 
 
 # ---- other formats ----
+#: The formats as they are accepted.
 is_jwt = pattern_rule("isJWT", r"^[\w-]+(\.[\w-]+){2}$")
 is_locale = pattern_rule("isLocale", "^[a-zA-Z]{2,3}(-[a-zA-Z]{4})?(-([a-zA-Z]{2}|[0-9]{3}))?(-([a-zA-Z0-9]{5,8}|[0-9][a-zA-Z0-9]{3}))*$")
 _MEDIA = r"[a-zA-Z0-9!#$&\-^_]+"
@@ -185,6 +189,7 @@ def _degrees(name: str, bound: float) -> Rule:
 
 is_latitude = _degrees("isLatitude", 90.0)
 is_longitude = _degrees("isLongitude", 180.0)
+#: The forms of the coins' addresses.
 is_ethereum_address = pattern_rule("isEthereumAddress", f"^0x{_HEX}{{40}}$")
 is_btc_address = pattern_rule("isBtcAddress", "^[13][a-km-zA-HJ-NP-Z1-9]{25,34}$", "^(bc|tb)1[a-z0-9]{6,87}$", "^(BC|TB)1[A-Z0-9]{6,87}$")
 #: Hex digits by algorithm: fixed values.
@@ -200,5 +205,6 @@ def is_hash(algorithm: str) -> Rule:
     return pattern_rule("isHash", f"^{_HEX}{{{HASH_DIGITS[algorithm]}}}$", constraints={"algorithm": algorithm})
 
 
+#: The forms of times.
 is_rfc3339 = pattern_rule("isRFC3339", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$", flags="i")
 is_military_time = pattern_rule("isMilitaryTime", "^([01][0-9]|2[0-3]):[0-5][0-9]$")
