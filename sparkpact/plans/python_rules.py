@@ -27,6 +27,8 @@ if TYPE_CHECKING:
 
 #: The step of a scope that stands for any element.
 ELEMENT = "[]"
+#: About how many bytes of Arrow's values are Python's objects at a time.
+SLICE = 1 << 20
 Scope = tuple[str, ...]
 #: A use of a rule at a place in the contract: the names that lead to it, and the use.
 Key = tuple[Scope, int]
@@ -184,10 +186,14 @@ def _judged(values: pa.Array, judge: Callable, levels: int, as_json: bool) -> pa
     if levels:
         ends = np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _judged(values.flatten(), judge, levels - 1, as_json))
-    plain = _as_python(values)
-    if as_json:
-        plain = [None if x is None else json.loads(x) for x in plain]
-    return pa.array([judge(x) for x in plain], pa.bool_())
+    parts = [pa.array([], pa.bool_())]
+    step = max(1, len(values) * SLICE // max(1, values.nbytes))
+    for start in range(0, len(values), step):
+        plain = _as_python(values.slice(start, step))
+        if as_json:
+            plain = [None if x is None else json.loads(x) for x in plain]
+        parts.append(pa.array([judge(x) for x in plain], pa.bool_()))
+    return pa.concat_arrays(parts)
 
 
 def _as_python(values: pa.Array) -> list:
