@@ -12,7 +12,10 @@ a few bits, so it is small by construction. No fingerprint is left out.
 ``drop_similar`` asks for texts of a given Jaccard similarity instead of fingerprints of a given distance. At similarity 0.8
 some 15 % of the bits differ, too many for whole blocks to be promised alike, so it takes a longer fingerprint (``SPAN``
 words of 64 bits) of the set of shingles, samples many keys from its bits, and verifies every link that a key proposes by
-the exact similarity of the two sets. Texts with equal sets are one node.
+the exact similarity of the two sets. Texts with equal sets are one node. A search by sampled bits misses some links, and
+stands in for the pairs of a crowded key by some of them; so an exact search between the components it found follows: two
+sets of the similarity hold a common shingle among the first of each in any one order of all shingles (the prefix filter),
+and every pair that meets there, of two components, is verified unless a bound of its overlap rules it out.
 
 Null and empty texts have fingerprint 0, which links like any other. Rows with a null id take part; a group of only such
 rows has a null component. Repeated rows, empty tables and further columns are handled without special cases.
@@ -20,6 +23,7 @@ rows has a null component. Repeated rows, empty tables and further columns are h
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,6 +39,10 @@ from .components import connected_components
 SEED = 42
 #: Words of 64 bits in the long fingerprint.
 SPAN = 8
+#: Words of 64 bits in the parities of a set.
+PARITY = 8
+#: One text in so many is counted to tell common shingles, and so many of these are put last in the order.
+SAMPLE, COMMON = 32, 50_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -193,7 +201,8 @@ def close_pairs(keys: np.ndarray, checks: np.ndarray, nodes: np.ndarray, distanc
 
     Of a key that more than ``small`` share, a spanning forest of its close pairs and the nearest of each member stand for
     all pairs, within overlapping runs of ``window`` neighbours: their number grows with the members, not their square. The
-    forest starts from the smallest node, so that it takes much the same pairs under all keys.
+    forest starts from the smallest node, so that it takes much the same pairs under all keys. Links lost by that (the
+    checks are no proof) are found by ``_missed``.
     """
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(cuts)
@@ -263,6 +272,100 @@ def _candidates(nodes: DataFrame, bands: int, bits: int, distance: int) -> DataF
     return keyed.repartition("key").sortWithinPartitions("key", "check").mapInArrow(meet, "a long, b long").distinct()
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * ``PARITY`` residues whether an odd number of the set's hashes has it: two sets' parities differ in no
+    more places than there are hashes in only one of them."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def head(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set (sorted), common ones coming last: sets of the similarity share one of their heads."""
+    if len(common) and len(hashes):
+        often = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate((hashes[~often], hashes[often]))
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]
+
+
+def crossing_pairs(keys: np.ndarray, nodes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, places: np.ndarray, similarity: float, small: int = 8, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of nodes that hold a key in common and lie in different parts, but for those whose overlap is too small if
+    the key is the first they share. Rows are sorted by key and node; sizes are those of the sets, places those of the key."""
+    fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
+    keys, nodes, parts, sizes, rest = (c[fresh] for c in (keys, nodes, parts, sizes, sizes - places))
+    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    counts = np.diff(cuts)
+    mixed = np.minimum.reduceat(parts, cuts[:-1]) != np.maximum.reduceat(parts, cuts[:-1])
+    share = similarity / (1 + similarity)
+
+    def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (parts[i] != parts[j]) & (np.minimum(rest[i], rest[j]) >= share * (sizes[i] + sizes[j]) - 1e-6)
+
+    at = np.flatnonzero(np.repeat(mixed & (counts <= small), counts))
+    for step in range(1, small):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        if not len(at):
+            break
+        left = at[able(at, at + step)]
+        yield nodes[left], nodes[left + step]
+    for k in np.flatnonzero(mixed & (counts > small)).tolist():
+        own = np.arange(cuts[k], cuts[k + 1])
+        for a in range(0, len(own), block):
+            i, j = np.nonzero(able(own[a : a + block, None], own[None, a:]))
+            up = i < j
+            yield nodes[own[a:][i[up]]], nodes[own[a:][j[up]]]
+
+
+def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Hashes of shingles that several of the counted texts hold, sorted. Which they are changes the work, not the result."""
+
+    def each(ids: pa.Array, texts: list[bytes]) -> dict:
+        return {"hash": pa.array(np.concatenate([np.unique(shingle_hashes(t, width)) for t in texts]).view(np.int64))}
+
+    counted = texts.where(F.pmod("mark", F.lit(SAMPLE)) == 0).dropDuplicates(["mark"]).select("id", "text")
+    often = map_texts(counted, "hash long", each).groupBy("hash").count().where("count > 3")
+    return np.unique(np.array([r[0] for r in often.orderBy(F.desc("count"), "hash").limit(COMMON).select("hash").collect()], np.int64).view(np.uint64))
+
+
+def _missed(texts: DataFrame, linked: DataFrame, width: int, similarity: float) -> DataFrame:
+    """linked(print, first, component, size, x0, x1, ...) to distinct pairs (a, b) of nodes of different components, among
+    them all of the similarity."""
+    common = _common_shingles(texts, width)
+
+    def each(ids: pa.Array, texts: list[bytes]) -> dict:
+        heads = [head(np.unique(shingle_hashes(t, width)), common, similarity) for t in texts]
+        marks = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64)
+        ends = pa.array(np.cumsum([0, *map(len, heads)]), pa.int32())
+        return {"id": ids, "mark": pa.array(marks), "head": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(heads).view(np.int64)))}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 5
+
+        def done(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in crossing_pairs(*columns, similarity) if len(columns[0]) else ():
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+
+        for batch in batches:
+            if batch.num_rows:
+                held = [np.concatenate((h, batch.column(k).to_numpy())) for k, h in enumerate(held)]
+                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+                yield from done([h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        yield from done(held)
+
+    own = linked.select(F.col("first.id").alias("own_id"), F.col("first.mark").alias("own_mark"), "print", "component", "size")
+    heads = map_texts(texts.select("id", "text"), "id long, mark long, head array<long>", each)
+    heads = heads.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")))
+    entered = heads.select("print", "component", "size", F.posexplode("head").alias("place", "key"))
+    entered = entered.select("key", "print", "component", "size", F.col("place").cast("long").alias("place"))
+    met = entered.repartition("key").sortWithinPartitions("key", "print").mapInArrow(meet, "a long, b long").distinct()
+    for side in "ab":
+        met = met.join(linked.select(F.col("print").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("size", *(f"x{k}" for k in range(PARITY))))), side)
+    apart = sum((F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b"))) for k in range(PARITY)), F.lit(0))
+    return met.where(apart <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("a", "b")
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """The similarity of two sets of hashes, each without repeats; that of two empty sets is 1."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -305,18 +408,22 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of df, one for each component of texts whose shingle sets have the Jaccard similarity: the one with the smallest id.
 
     The defaults of the search are made for similarities of 0.8 and more: bands keys of ``bits`` bits, ``distance`` of 64
-    bits for the check. Every link is verified. Rows without an id come last in their component; of rows alike in id and
-    text one stays. Each text is fingerprinted once; rows are told apart by id and a hash of their text.
+    bits for the check. Every link is verified, and those that the search misses are found by an exact one: the components
+    are those of all links. Rows without an id come last in their component; of rows alike in id and
+    text one stays. Each text is fingerprinted once, and hashed once more for the exact search; rows are told apart by id and a hash of their text.
     """
 
     def each(ids: pa.Array, texts: list[bytes]) -> dict:
         sets = [np.unique(shingle_hashes(t, width)) for t in texts]
         words = np.stack([long_print(h) for h in sets]).view(np.int64)
+        odd = np.stack([parities(h) for h in sets]).view(np.int64)
         marks = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64)  # as Spark's xxhash64
-        return {"id": ids, "mark": pa.array(marks), "print": pa.array([set_node(h) for h in sets], pa.int64())} | {f"w{k}": pa.array(words[:, k]) for k in range(SPAN)}
+        named = {"id": ids, "mark": pa.array(marks), "print": pa.array([set_node(h) for h in sets], pa.int64()), "size": pa.array([len(h) for h in sets], pa.int64())}
+        return named | {f"w{k}": pa.array(words[:, k]) for k in range(SPAN)} | {f"x{k}": pa.array(odd[:, k]) for k in range(PARITY)}
 
-    extra = [f"w{k}" for k in range(SPAN)]
-    docs = map_texts(texts_of(df, id_col, text_col), "id long, mark long, print long, " + ", ".join(f"{c} long" for c in extra), each)
+    apart = ["size", *(f"x{k}" for k in range(PARITY))]
+    extra = [*(f"w{k}" for k in range(SPAN)), *apart]
+    docs = map_texts(texts_of(df, id_col, text_col), "id long, mark long, print long, size long, " + ", ".join(f"{c} long" for c in extra if c != "size"), each)
     docs = durable(docs.groupBy("print", "id", "mark").agg(F.count("*").alias("copies"), *(F.min(c).alias(c) for c in extra)))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
     nodes = durable(docs.groupBy("print").agg(first, *(F.min(c).alias(c) for c in extra)))
@@ -324,7 +431,15 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # texts without words have equal sets, and are like no others
     pairs = durable(_candidates(nodes.where("print <> 0"), bands, bits, distance))
     parts = connected_components(_verified(pairs, nodes, texts, width, similarity))
-    named = nodes.join(parts, nodes["print"] == parts["node"], "left").select("print", "first", F.coalesce("component", "print").alias("component"))
+    linked = durable(nodes.join(parts, nodes["print"] == parts["node"], "left").select("print", "first", F.coalesce("component", "print").alias("component"), *apart))
+    missed = durable(_missed(texts, linked.where("print <> 0"), width, similarity))
+    named = linked.select("print", "first", "component")
+    if not missed.isEmpty():
+        ends = _verified(missed, nodes, texts, width, similarity)
+        for side in "ab":
+            ends = ends.join(linked.select(F.col("print").alias(side), F.col("component").alias(f"{side}_part")), side)
+        joined = connected_components(ends.select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        named = named.join(joined, "component", "left").select("print", "first", F.coalesce("whole", "component").alias("component"))
     best = named.groupBy("component").agg(F.min("first").alias("best"))
     rows = docs.join(named.join(best, "component").select("print", "best"), "print")
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))

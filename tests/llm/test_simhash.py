@@ -135,3 +135,38 @@ def test_similar_texts_against_brute_force_jaccard(spark):
     assert not want - got  # nothing below the similarity is joined
     assert len(got - want) <= 1
     assert H.drop_similar(frame(spark, [])).count() == 0
+
+
+def test_heads_and_parities_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for similarity in (0.5, 0.8, 1.0):
+        base = [rng.integers(0, 1 << 64, n, np.uint64) for n in (1, 4, 9, 30, 200)]
+        sets = [np.unique(np.concatenate((b[rng.random(len(b)) < 0.9], rng.integers(0, 1 << 64, rng.integers(0, 1 + len(b) // 8), np.uint64), [b[0]]))) for b in base for _ in range(30)]
+        common = np.unique(np.concatenate([b[::3] for b in base]))
+        for often in (common, common[:0]):
+            rows = sorted((int(h), k, place) for k, own in enumerate(sets) for place, h in enumerate(H.head(own, often, similarity).view(np.int64)))
+            keys, nodes, places = (np.array(c) for c in zip(*rows, strict=True))
+            parts, sizes = nodes // 2, np.array([len(x) for x in sets])[nodes]
+            met = {(int(a), int(b)) for i, j in H.crossing_pairs(keys, nodes, parts, sizes, places, similarity, block=16) for a, b in zip(i, j, strict=True)}
+            alike = {(a, b) for b in range(len(sets)) for a in range(b) if a // 2 != b // 2 and H.jaccard(sets[a], sets[b]) >= similarity}
+            assert alike <= met and all(a < b and a // 2 != b // 2 for a, b in met) and (similarity == 1 or len(alike) > 50)
+    for a, b in zip(sets, sets[1:], strict=False):
+        assert np.bitwise_count(H.parities(a) ^ H.parities(b)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_no_link_is_lost(spark):
+    rng, rows = random.Random(21), []
+    for k in range(150):
+        a, near, far = edited(rng, 0.8)
+        rows += [(1000 + 10 * k, a, "en", 0, "", 0), (1001 + 10 * k, near, "en", 0, "", 0), (1002 + 10 * k, far, "en", 0, "", 0)]
+    base = words(rng, 60, 10**9)
+    for k in range(150):  # a crowd of which most are near each other but not alike
+        own = list(base)
+        for at in rng.sample(range(60), 2):
+            own[at] = f"new{rng.randrange(40)}"
+        rows.append((5000 + k, " ".join(own), "en", 0, "", 0))
+    sets = [shingle_set(r[1]) for r in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = sorted({rows[g][0] for g in components(pairs, range(len(rows))).values()})
+    for bands in (128, 1):  # the search alone lost links under either, the more the fewer keys it has
+        assert sorted(r.doc_id for r in H.drop_similar(frame(spark, rows), bands=bands).collect()) == want
