@@ -39,8 +39,10 @@ from .components import connected_components
 SEED = 42
 #: Words of 64 bits in the long fingerprint.
 SPAN = 8
-#: Words of 64 bits in the parities of a set.
-PARITY = 8
+#: Words of eight counts in the tally of a set, and in the finer one that is made for pairs which pass the first.
+TALLY, FINER = 16, 128
+#: Rows up to which the names of wanted texts are broadcast to where the texts are.
+BROADCAST = 200_000
 #: One text in so many is counted to tell common shingles, and so many of these are put last in the order.
 SAMPLE, COMMON = 32, 50_000
 
@@ -272,11 +274,11 @@ def _candidates(nodes: DataFrame, bands: int, bits: int, distance: int) -> DataF
     return keyed.repartition("key").sortWithinPartitions("key", "check").mapInArrow(meet, "a long, b long").distinct()
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * ``PARITY`` residues whether an odd number of the set's hashes has it: two sets' parities differ in no
-    more places than there are hashes in only one of them."""
-    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+def tally(hashes: np.ndarray, words: int = TALLY) -> np.ndarray:
+    """How many of the set's hashes have each of 8 * ``words`` residues, 255 at most: the differences of two sets' counts add
+    up to no more than there are hashes in only one of them."""
+    counts = np.bincount((hashes % np.uint64(8 * words)).astype(np.int64), minlength=8 * words)
+    return np.minimum(counts, 255).astype(np.uint8).view("<u8")
 
 
 def head(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
@@ -360,10 +362,20 @@ def _missed(texts: DataFrame, linked: DataFrame, width: int, similarity: float)
     entered = heads.select("print", "component", "size", F.posexplode("head").alias("place", "key"))
     entered = entered.select("key", "print", "component", "size", F.col("place").cast("long").alias("place"))
     met = entered.repartition("key").sortWithinPartitions("key", "print").mapInArrow(meet, "a long, b long").distinct()
+    tallies = [f"x{k}" for k in range(TALLY)]
     for side in "ab":
-        met = met.join(linked.select(F.col("print").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("size", *(f"x{k}" for k in range(PARITY))))), side)
-    apart = sum((F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b"))) for k in range(PARITY)), F.lit(0))
-    return met.where(apart <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("a", "b")
+        met = met.join(linked.select(F.col("print").alias(side), F.struct("size", *tallies).alias(f"of_{side}")), side)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                sides = [dict(zip(["size", *tallies], part.column(f"of_{c}").flatten(), strict=True)) for c in "ab"]
+                counts = [np.stack([own[x].to_numpy() for x in tallies], axis=1).view(np.uint8).astype(np.int32) for own in sides]
+                most = (sides[0]["size"].to_numpy() + sides[1]["size"].to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-6
+                yield part.select(["a", "b"]).filter(pa.array(np.abs(counts[0] - counts[1]).sum(1) <= most))
+
+    return met.select("a", "b", "of_a", "of_b").mapInArrow(near, "a long, b long")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -372,6 +384,37 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def _held(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(print, text) of the nodes in pairs (a, b)."""
+    wanted = pairs.select(F.col("a").alias("print")).unionAll(pairs.select("b")).distinct()
+    wanted = durable(nodes.join(wanted, "print", "left_semi").select("print", F.col("first.id").alias("own_id"), F.col("first.mark").alias("own_mark")))
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    held = texts.join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")))
+    return held.groupBy("print").agg(F.min("text").alias("text"))
+
+
+def _near_by_finer_tallies(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose finer tallies leave room for the similarity; so only few texts are brought together."""
+
+    def each(ids: pa.Array, texts: list[bytes]) -> dict:
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+        return {"id": ids, "size": pa.array([len(h) for h in sets], pa.int64()), "counts": pa.array([tally(h, FINER).tobytes() for h in sets], pa.binary())}
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                a, b = (np.frombuffer(b"".join(part.column(f"counts_{c}").to_pylist()), np.uint8).reshape(part.num_rows, -1).astype(np.int16) for c in "ab")
+                most = (part.column("size_a").to_numpy() + part.column("size_b").to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-6
+                yield part.select(["a", "b"]).filter(pa.array(np.abs(a - b).sum(1, dtype=np.int64) <= most))
+
+    finer = durable(map_texts(_held(pairs, nodes, texts).select(F.col("print").alias("id"), "text"), "id long, size long, counts binary", each))
+    for side in "ab":
+        pairs = pairs.join(finer.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("counts").alias(f"counts_{side}")), side)
+    return pairs.mapInArrow(near, "a long, b long")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts have at least the similarity. nodes name one row (id, mark) of texts each."""
 
@@ -386,10 +429,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
             alike = [jaccard(sets[a], sets[b]) >= similarity for a, b in zip(*ends, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("print")).unionAll(pairs.select("b")).distinct()
-    wanted = nodes.join(wanted, "print", "left_semi").select("print", F.col("first.id").alias("own_id"), F.col("first.mark").alias("own_mark"))
-    held = texts.join(wanted, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")))
-    held = durable(held.groupBy("print").agg(F.min("text").alias("text")))
+    held = durable(_held(pairs, nodes, texts))
     both = pairs.join(held.select(F.col("print").alias("a"), F.col("text").alias("left")), "a").join(held.select(F.col("print").alias("b"), F.col("text").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
 
@@ -416,12 +456,12 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def each(ids: pa.Array, texts: list[bytes]) -> dict:
         sets = [np.unique(shingle_hashes(t, width)) for t in texts]
         words = np.stack([long_print(h) for h in sets]).view(np.int64)
-        odd = np.stack([parities(h) for h in sets]).view(np.int64)
+        tallies = np.stack([tally(h) for h in sets]).view(np.int64)
         marks = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64)  # as Spark's xxhash64
         named = {"id": ids, "mark": pa.array(marks), "print": pa.array([set_node(h) for h in sets], pa.int64()), "size": pa.array([len(h) for h in sets], pa.int64())}
-        return named | {f"w{k}": pa.array(words[:, k]) for k in range(SPAN)} | {f"x{k}": pa.array(odd[:, k]) for k in range(PARITY)}
+        return named | {f"w{k}": pa.array(words[:, k]) for k in range(SPAN)} | {f"x{k}": pa.array(tallies[:, k]) for k in range(TALLY)}
 
-    apart = ["size", *(f"x{k}" for k in range(PARITY))]
+    apart = ["size", *(f"x{k}" for k in range(TALLY))]
     extra = [*(f"w{k}" for k in range(SPAN)), *apart]
     docs = map_texts(texts_of(df, id_col, text_col), "id long, mark long, print long, size long, " + ", ".join(f"{c} long" for c in extra if c != "size"), each)
     docs = durable(docs.groupBy("print", "id", "mark").agg(F.count("*").alias("copies"), *(F.min(c).alias(c) for c in extra)))
@@ -435,6 +475,7 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     missed = durable(_missed(texts, linked.where("print <> 0"), width, similarity))
     named = linked.select("print", "first", "component")
     if not missed.isEmpty():
+        missed = durable(_near_by_finer_tallies(missed, nodes, texts, width, similarity))
         ends = _verified(missed, nodes, texts, width, similarity)
         for side in "ab":
             ends = ends.join(linked.select(F.col("print").alias(side), F.col("component").alias(f"{side}_part")), side)
