@@ -143,7 +143,10 @@ def valid_json(c: Column) -> Column:
 
 
 def brackets_deep(c: Column) -> Column:
-    """How deep a JSON text's brackets are nested."""
+    """How deep a JSON text's brackets are nested. The innermost pairs are taken out first, so that a long chain is one run of
+    opening brackets and one of closing ones."""
     brackets = F.regexp_replace(c, r'"(?:[^"\\]|\\.)*+"|[^\[\]{}"]+', "")
-    step = lambda a, x: F.struct((a["at"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("at"), F.greatest(a["most"], a["at"] + 1).alias("most"))
-    return F.aggregate(code_units(brackets), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    runs = F.regexp_extract_all(F.regexp_replace(brackets, r"\[\]|\{\}", ""), F.lit(r"[\[{]+|[\]}]+"), F.lit(0))
+    opened = lambda x: F.when(x.startswith("[") | x.startswith("{"), F.length(x)).otherwise(-F.length(x))
+    step = lambda a, x: F.struct((a["at"] + opened(x)).alias("at"), F.greatest(a["most"], a["at"] + opened(x)).alias("most"))
+    return F.when(brackets == "", F.lit(0)).otherwise(F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda a: a["most"]) + 1)

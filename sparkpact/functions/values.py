@@ -74,6 +74,15 @@ class Val:
             return typed(self.kinds["object"].getField(key), self.shape[key].dataType, self.null_as)
         return typed(F.try_element_at(self.kinds["object"], F.lit(key)), self.shape.valueType, self.null_as)
 
+    def members(self, keys: list[str]) -> Column:
+        """What a variant object has under some keys, as a struct of c0, c1 and so on, null where the value is no object: found in
+        one pass, and without the exception that Spark's lookup of a single key leaves its loop by where there is no such key."""
+        if not all(keys):  # a type has no field without a name
+            return F.when(self.has("object"), F.struct(*(self.child(k).raw.alias(f"c{n}") for n, k in enumerate(keys))))
+        shape = ", ".join(f"`{k.replace('`', '``')}`: variant" for k in keys)
+        names = ", ".join(f"c{n}: variant" for n, _ in enumerate(keys))
+        return F.try_variant_get(self.get("object"), "$", f"struct<{shape}>").cast(f"struct<{names}>")
+
     def item(self, column: Column) -> "Val":
         """An element of the array, inside a higher-order function: null counts as null, not as missing."""
         if self.element is None or isinstance(self.element, T.VariantType):
@@ -152,17 +161,22 @@ def _is_number(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
 
 
-def probed(c: Column) -> Column:
-    """A variant with its type's name and its plain value; both are dear to find, so it is done once and handed on."""
-    pair = F.struct(c.alias("x"), F.coalesce(F.schema_of_variant(c), F.lit("")).alias("k"))
+def _kind_name(c: Column) -> Column:
+    """A variant's type, of objects and arrays without what they hold: the whole type of a subtree takes a walk through it, at
+    every level again."""
+    held = F.when(F.try_variant_get(c, "$", "struct<>").isNotNull(), F.lit("OBJECT<>")).when(F.try_variant_get(c, "$", "array<struct<>>").isNotNull(), F.lit("ARRAY<>"))
+    return held.otherwise(F.coalesce(F.schema_of_variant(c), F.lit("")))
 
-    def plain(p: Column) -> Column:
-        text = F.when(p["k"] == "STRING", F.try_variant_get(p["x"], "$", "string"))
-        number = F.when(_is_number(p["k"]), F.try_variant_get(p["x"], "$", "double"))
-        flag = F.when(p["k"] == "BOOLEAN", F.try_variant_get(p["x"], "$", "boolean"))
-        return F.struct(p["x"].alias("x"), p["k"].alias("k"), text.alias("s"), number.alias("n"), flag.alias("b"))
 
-    return let(pair, plain)
+def probed(c: Column) -> Column:
+    """A variant with its type's name and its plain value; both are dear to find, so it is done once and handed on. c is looked at
+    several times: bind it by ``let`` unless it is at hand. (No binding in here: Spark's analyser takes rounds for each.)"""
+    kind, is_text = F.schema_of_variant(c), F.try_variant_get(c, "$", "binary").isNotNull()  # only a text, or bytes, can be read as bytes
+    number, flag = F.try_variant_get(c, "$", "double"), F.try_variant_get(c, "$", "boolean")
+    text = F.when(is_text & (kind == "STRING"), F.try_variant_get(c, "$", "string"))
+    number = F.when(~is_text & number.isNotNull() & _is_number(kind), number)
+    flag = F.when(~is_text & flag.isNotNull() & (kind == "BOOLEAN"), flag)
+    return F.struct(c.alias("x"), _kind_name(c).alias("k"), text.alias("s"), number.alias("n"), flag.alias("b"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

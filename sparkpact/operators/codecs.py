@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.compat import is_finite, iso_text, js_trim, number_text, to_instant, valid_json
-from ..functions.values import Val, probed, variant
+from ..functions.values import Val, let, probed, variant
 
 Step = Callable[[Val], Val]
 
@@ -145,7 +145,7 @@ def csv(separator: str = ",") -> Codec:
             return v
         parts = F.split(v.kinds["string"], quoted, -1)
         if "array" in v.kinds:  # elements of both origins as variants
-            parts = F.coalesce(v.kinds["array"], F.transform(parts, lambda x: probed(F.parse_json(F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - F.lit(2))))))
+            parts = F.coalesce(v.kinds["array"], F.transform(parts, lambda x: let(F.parse_json(F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - F.lit(2))), probed)))
             return replace(v.with_kinds(array=parts), kinds={k: c for k, c in (v.kinds | {"array": parts}).items() if k != "string"})
         return Val({k: x for k, x in v.kinds.items() if k != "string"} | {"array": parts}, v.missing, v.null, element=T.StringType(), shape=v.shape)
 

@@ -96,11 +96,11 @@ class Engine:
             setattr(cls, _COMPILED, {})
         return vars(cls)[_COMPILED].setdefault(self.config, {})
 
-    def _compiler(self, groups: Iterable[str] | None, binds: bool = True, gathers: bool = False, max_depth: int | None = None) -> C.Compiler:
+    def _compiler(self, groups: Iterable[str] | None, binds: bool = True, gathers: bool = False, max_depth: int | None = None, holds: bool = False) -> C.Compiler:
         if isinstance(groups, str) or groups is not None and not all(isinstance(g, str) for g in groups):
             raise ContractError("groups is a list of texts")
         c = self.config
-        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth if max_depth is None else max_depth, binds, c.stop_at_first_error and not gathers))
+        return C.Compiler(C.Setting(c.auto_convert, c.allow_class_defaults, c.forbid_unknown, frozenset(groups or ()), c.max_depth if max_depth is None else max_depth, binds, c.stop_at_first_error and not gathers, holds))
 
     def _below(self, cls: type, schema: T.StructType, groups: Iterable[str] | None, document: str | None, found: Column) -> Column:
         """The issues that ``_whole`` found, with what recursion left open judged. (A projection of its own, since Spark resolves
@@ -115,10 +115,12 @@ class Engine:
         cls = self._contract(cls)
         # with a first issue alone, what recursion leaves open would hide what comes behind it: all are gathered there
         beforehand = not C.recursive(cls) and P.in_arrays(cls)
-        compiler = self._compiler(groups, beforehand or not C.uses_python(cls), document is not None and C.recursive(cls), sys.maxsize if beforehand else None)
+        binds, most = beforehand or not C.uses_python(cls), sys.maxsize if beforehand else self.config.max_depth
+        kind = schema[document].dataType if document else schema
+        holds = binds and (isinstance(kind, T.StringType) or '"variant"' in kind.json()) and C.deeper_than(cls, most)
+        compiler = self._compiler(groups, binds, document is not None and C.recursive(cls), most, holds)
         key, plans = (schema.json(), compiler.setting.groups, document), self._compiled(cls)
         if key not in plans:
-            kind = schema[document].dataType if document else None
             if isinstance(kind, (T.VariantType, T.StringType)):
                 plans[key] = self._document(compiler, cls, F.col(f"`{document}`"), isinstance(kind, T.StringType), beforehand)
             else:
@@ -136,11 +138,11 @@ class Engine:
             return compiler.record(cls, replace(variant(parsed), names=names), F.lit(""))
 
         def judged() -> Column:
-            return let(probed(parsed), lambda p: compiler.record(cls, replace(variant(p["x"], p), names=names), F.lit("")))
+            return let(let(parsed, probed), lambda p: compiler.record(cls, replace(variant(p["x"], p), names=names), F.lit("")))
 
         if not beforehand:
             return judged()
-        return compiler.judged_beforehand(lambda g: let(probed(parsed), lambda p: g.record(cls, variant(p["x"], p))), judged)
+        return compiler.judged_beforehand(lambda g: let(let(parsed, probed), lambda p: g.record(cls, variant(p["x"], p))), judged)
 
     def columns(self, cls: type, schema: T.StructType, groups: Iterable[str] | None = None, document: str | None = None) -> tuple[Column, Column]:
         """(value, issues) for a frame of this schema. Rules on tables need a join, so they work in ``decode`` and ``check`` alone."""
@@ -176,7 +178,7 @@ class Engine:
             parsed = strict_json(F.col(f"`{document}`")) if isinstance(kind, T.StringType) else F.col(f"`{document}`")
             if not D.any_may_be_absent(compiler, cls):
                 return F.lit(True)
-            return let(probed(parsed), lambda p: D.presence(compiler, cls, variant(p["x"], p)))
+            return let(let(parsed, probed), lambda p: D.presence(compiler, cls, variant(p["x"], p)))
         v = C.root([(f.name, f.dataType) for f in df.schema.fields], self.config.null_as) if document is None else typed(F.col(f"`{document}`"), kind, self.config.null_as)
         flags = D.presence(compiler, cls, v)
         return F.lit(True) if flags is None else flags
@@ -255,8 +257,9 @@ class Engine:
 
 
 def exploded(df: DataFrame, *keys: str) -> DataFrame:
-    """One row for each issue, with its place in the list."""
-    return df.select(*keys, F.posexplode("issues").alias("position", "issue")).select(*keys, "position", "issue.*")
+    """One row for each issue, with its place in the list. (From a plain explode Spark infers a filter on the list's size, which
+    it pushes below the projection that makes the list: every record would be judged again there.)"""
+    return df.select(*keys, F.posexplode_outer("issues").alias("position", "issue")).where(F.col("position").isNotNull()).select(*keys, "position", "issue.*")
 
 
 __all__ = ["Config", "Engine", "exploded", "I"]

@@ -903,7 +903,8 @@ i AS (SELECT k, repeat('kids[1].', CAST(d AS INT)) || 'kids[0].v' AS path, 'isPo
 SELECT k, path, code FROM i
 """)
 def recursive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select("k", F.expr(_CHAIN).alias("doc"))
+    # a key of eight bytes becomes a document with up to 83 records: keys are dealt over all cores, as Spark splits files by their size alone
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).repartition(4 * spark.sparkContext.defaultParallelism, "k").select("k", F.expr(_CHAIN).alias("doc"))
     return exploded(growing.check(docs, Branch, document="doc"), "k").select("k", "path", "code")
 
 # ---- names of one direction, lists of rules, keys of elements, contracts known by their base ----

@@ -2,13 +2,17 @@
 
 import json
 import random
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkpact import ContractError, Engine, array_of, field, rules as r, union
+from sparkpact.functions.compat import brackets_deep
 from sparkpact.operators.rule import Rule
+from sparkpact.plans.engine import exploded
+from sparkpact.queries import queries
 from sparkpact.sources import read_documents, split
 from sparkpact.streaming import quarantine_stream
 
@@ -238,6 +242,71 @@ def test_recursion_through_several_contracts_and_unions(spark):
     assert found[3] == [("node.right.node.z", "whitelistViolation"), ("node.right.node.left.node", "invalidDiscriminator")]
 
 
+def test_what_lies_below_keeps_its_type(spark):
+    class Dated:
+        day = field(r.is_date)
+        kids = field(type=lambda: [Dated], optional=True)
+
+    node = "named_struct('day', date'2020-01-02')"
+    for _ in range(7):
+        node = f"named_struct('day', date'2020-01-01', 'kids', array({node}))"
+    df = spark.sql(f"SELECT to_variant_object({node}) AS doc UNION ALL SELECT to_variant_object({node.replace(chr(39) + '2020-01-02' + chr(39), '').replace('date)', 'true)')})")
+    assert [[(i.path, i.code) for i in x.issues] for x in sealed(Dated, max_depth=2).check(df, Dated, document="doc").collect()] == [[], [("kids[0]." * 7 + "day", "isDate")]]
+
+
+def test_recursion_with_no_compiled_level_below(spark):
+    class Link:
+        v = field(r.is_number())
+        next = field(type=lambda: Link, optional=True)
+
+    doc = {"v": "x"}
+    for _ in range(12):
+        doc = {"v": 1, "next": doc}
+    for depth in (0, 1, 5):
+        assert issues(spark, Link, [doc, {"v": 1, "next": 5}], max_depth=depth) == [[("next." * 12 + "v", "isNumber")], [("next", "isObject")]]
+
+
+def test_issues_below_come_in_the_order_of_the_text(spark):
+    def tree(n):
+        return {"v": "x", "kids": [tree(n - 1), 5, tree(n - 2)]} if n > 1 else {"v": "y", "kids": 7} if n else {"v": 1}
+
+    def want(t, path=""):
+        found = [] if t["v"] == 1 else [(path + "v", "isNumber")]
+        if t.get("kids") == 7:
+            return [*found, (path + "kids", "isArray")]
+        for k, x in enumerate(t.get("kids", ())):
+            found += [(f"{path}kids[{k}].", "invalidInput")] if x == 5 else want(x, f"{path}kids[{k}].")
+        return found
+
+    assert issues(spark, Tree, [tree(n) for n in range(9)], max_depth=1) == [want(tree(n)) for n in range(9)]
+
+
+def test_brackets_are_counted(spark):
+    texts = ["", "5", '"[["', "[]", "{}", "[[],[]]", '{"a":{"b":[1,{"c":"}}]"}]},"d":[]}', "[[[]],[[[{}]]],[]]", '["\\"[[[", []]', "[" * 300 + "]" * 300]
+
+    def depth(x):
+        x, at, most = re.sub(r'"(?:[^"\\]|\\.)*"', "", x), 0, 0
+        for c in x:
+            at += (c in "[{") - (c in "]}")
+            most = max(most, at)
+        return most
+
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(brackets_deep(F.col("t")).alias("n")).collect()
+    assert [x.n for x in found] == [depth(t) for t in texts]
+
+
+def test_exploded_issues_are_judged_once(spark):
+    df = sealed(Tree, max_depth=2).check(spark.createDataFrame([(1, '{"v":"x"}'), (2, '{"v":1}'), (3, "{}")], "k long, doc string"), Tree, document="doc")
+    found = exploded(df, "k")
+    assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and "size(" in x]
+    assert sorted((x.k, x.position, x.path, x.code) for x in found.collect()) == [(1, 0, "v", "isNumber"), (3, 0, "v", "isDefined")]
+
+
+def test_documents_made_from_keys_are_dealt_over_the_cores(spark, tmp_path):
+    spark.range(200).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert queries()["recursive_documents"](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_structs_end_by_themselves(spark):
     kind, value = "struct<v:string>", ("x",)
     for _ in range(12):
