@@ -62,11 +62,6 @@ def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"\\A[{SPACES}]+|[{SPACES}]+\\z", "")
 
 
-def code_units(c: Column) -> Column:
-    """An array with the text's characters."""
-    return F.filter(F.split(c, ""), lambda x: x != "")
-
-
 def is_finite(c: Column) -> Column:
     return ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
